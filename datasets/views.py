@@ -212,8 +212,7 @@ def build(dialect: str) -> dict[str, str]:
                || ',"category":"phishing"}},"h2":{{"detected":' || {_flag('pid % 5 = 0')}
                || '}},"h3":{{"detected":false,"category":"spam"}},"h4":{{"detected":' || {_flag('pid % 6 = 0')}
                || ',"category":"fraud"}}' END || '}}}}}}' AS report
-        FROM v_distinct_urls WHERE pid % 3 = 0""".replace("{{", "{").replace("}}", "}")
-    v["v_url_reports_a"] = v["v_url_reports_a"].replace("{{", "{").replace("}}", "}")
+        FROM v_distinct_urls WHERE pid % 3 = 0"""
 
     v["v_file_hashes"] = f"""
         SELECT {d['SHA']('data')} AS file_hash, min(p_partkey) AS pid
@@ -222,7 +221,7 @@ def build(dialect: str) -> dict[str, str]:
         SELECT file_hash, '{{"positives":' || (pid % 8) || ',"total":8,"scans":{{"e1":{{"detected":' || {_flag('pid % 3 = 0')}
                || ',"result":' || {_case('pid % 5', _quoted(['"Trojan.Win32"', '"Crypto.Locker"', '"AdWare.Bundle"', '"Backdoor.X"', '"Generic"']))}
                || '}},"e2":{{"detected":' || {_flag('pid % 4 = 0')} || ',"result":"Worm.Mail"}}}}}}' AS report
-        FROM v_file_hashes WHERE pid % 4 <> 1""".replace("{{", "{").replace("}}", "}")
+        FROM v_file_hashes WHERE pid % 4 <> 1"""
 
     v["v_ioc_urls"] = "SELECT url AS ioc, pid AS k FROM v_distinct_urls"
     v["v_ioc_ips"] = """
