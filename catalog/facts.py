@@ -25,7 +25,8 @@ LEVELS = """count_if(threat_level IN ('HIGH', 'CRITICAL')) AS high_threats, coun
     SELECT count(*) AS total_analyses, count_if(is_phishing) AS phishing_detected, round(avg(threat_score), 8) AS avg_threat_score,
            round(avg(duration_ms), 8) AS avg_processing_time, count_if(threat_level = 'CRITICAL') AS critical_threats,
            count_if(threat_level = 'HIGH') AS high_threats, count_if(threat_level = 'MEDIUM') AS medium_threats,
-           count_if(threat_level = 'LOW') AS low_threats FROM v_analyses WHERE {recent('created_at', "'30 days'")}""")
+           count_if(threat_level = 'LOW') AS low_threats FROM v_analyses
+    WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL '30 days' AND created_at <= TIMESTAMP '{AS_OF}'""")
 def stats_overall_30d(spark, sf):
     return plain(reports.overall(facts(spark, sf), AS_OF))
 
@@ -33,7 +34,7 @@ def stats_overall_30d(spark, sf):
 @register("stats_url_30d", f"""
     SELECT count(*) AS total_urls, count_if(is_malicious) AS malicious_urls, round(avg(scan_score), 8) AS avg_vt_score,
            round(avg(host_score), 8) AS avg_uv_score, count(DISTINCT domain) AS unique_domains
-    FROM s_judged WHERE page_id % 50 <= 30""", URL_CTES)
+    FROM s_judged WHERE page_id % 50 < 30""", URL_CTES)
 def stats_url_30d(spark, sf):
     return plain(reports.link_stats(urls.link_facts(spark, sf), AS_OF))
 
@@ -41,7 +42,7 @@ def stats_url_30d(spark, sf):
 @register("stats_attachment_30d", """
     SELECT count(*) AS total_attachments, count_if(is_malware) AS malware_count, round(avg(rule_score), 8) AS avg_yara_score,
            count(DISTINCT malware_family) FILTER (WHERE malware_family <> '') AS malware_families, count_if(rules <> '') AS yara_detections
-    FROM a_scored WHERE p_partkey % 50 <= 30""", FILES)
+    FROM a_scored WHERE p_partkey % 50 < 30""", FILES)
 def stats_attachment_30d(spark, sf):
     return plain(reports.attachment_stats(attachments.file_facts(spark, sf), AS_OF))
 
@@ -50,7 +51,7 @@ def stats_attachment_30d(spark, sf):
     SELECT count(*) AS total_analyses, count_if(spf_result = 'pass') AS spf_pass_count, count_if(dkim_result = 'pass') AS dkim_pass_count,
            count_if(dmarc_result = 'pass') AS dmarc_pass_count, count_if(suspicious_routing) AS suspicious_routing_count,
            count_if(timestamp_anomalies) AS timestamp_anomaly_count, round(avg(header_score), 8) AS avg_header_score
-    FROM h_all WHERE substr(message_id, 2)::INT % 50 <= 30""", HEADERS)
+    FROM h_all WHERE substr(message_id, 2)::INT % 50 < 30""", HEADERS)
 def stats_header_30d(spark, sf):
     return plain(reports.header_stats(headers.header_facts(spark, sf), AS_OF))
 

@@ -169,8 +169,7 @@ def build(dialect: str) -> dict[str, str]:
                 "+ CASE WHEN doc_id % 12 = 0 AND i = 1 THEN 7200 ELSE 0 END) * INTERVAL '1' SECOND)")
     hop = (f"'from ' || {hop_host} || ' ([' || {hop_ip} || ']) by mx' || i || '.example.com with ESMTP; ' || "
            f"{d['MAILDATE'](hop_time)} || CASE WHEN (doc_id + i) % 6 = 0 THEN ' +0200' ELSE ' +0000 (UTC)' END")
-    v["v_headers"] = f"""
-        SELECT 'm' || doc_id AS message_id, doc_id,
+    header_columns = f"""
                CASE WHEN doc_id % 29 = 0 THEN NULL ELSE
                  'User <user' || (doc_id % 37) || '@' || {_case('doc_id % 5', _quoted(
                      ['microsoft.com', 'example.com', 'mailinator.com', 'corp.example.org', 'gmail.com']))} || '>' END AS from_h,
@@ -185,8 +184,9 @@ def build(dialect: str) -> dict[str, str]:
                    ['mx; dkim=pass; dmarc=pass', 'mx; dkim=fail; dmarc=fail', 'mx; dmarc=quarantine', 'mx; DMARC=reject']))} END AS auth,
                CASE WHEN doc_id % 29 = 0 THEN NULL ELSE
                  {d['MAILDATE'](f"({start} + (doc_id * 2400 - 3600) * INTERVAL '1' SECOND)")} || ' +0000' END AS date_h,
-               {d['REPEAT']('CASE WHEN doc_id % 29 = 0 THEN 0 ELSE doc_id % 13 END', 'i', hop)} AS hops
-        FROM documents"""
+               {d['REPEAT']('CASE WHEN doc_id % 29 = 0 THEN 0 ELSE doc_id % 13 END', 'i', hop)} AS hops"""
+    v["v_headers"] = f"SELECT 'm' || doc_id AS message_id, doc_id, {header_columns} FROM documents"
+    v["v_mails"] = f"SELECT v_emails.*, {header_columns} FROM v_emails"
 
     v["v_attachments"] = f"""
         SELECT 'm' || doc_id AS message_id, p_partkey,

@@ -45,12 +45,17 @@ def spelling_errors(lowered: Column) -> Column:
 
 def content_features(emails: DataFrame) -> DataFrame:
     """The text features of each mail; row-wise, so bodies never pass a shuffle."""
+    return with_content_features(emails, ["message_id"])
+
+
+def with_content_features(emails: DataFrame, keep: list) -> DataFrame:
+    """The columns in ``keep`` and the text features."""
     mails = split_body(emails).withColumn("_raw", _full_text()).withColumn("_text", F.lower("_raw"))
     text, html = F.col("_text"), F.col("body_html")
     words = word_count(text)
     is_html = html != ""
     return mails.select(
-        "message_id",
+        *keep,
         F.length(text).alias("text_length"),
         words.alias("word_count"),
         sentence_count(text).alias("sentence_count"),

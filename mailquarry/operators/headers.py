@@ -81,11 +81,13 @@ def _with_authentication(mails: DataFrame) -> DataFrame:
 
 def hop_addresses(mails: DataFrame) -> DataFrame:
     """(mail, hop, pos, ip) of the public addresses in the Received headers."""
-    per_hop = F.transform(hops(), lambda value, i: F.struct(i.alias("hop"), net.public_ips(value).alias("ips")))
-    return (
-        mails.select("message_id", F.inline(per_hop))
-        .select("message_id", "hop", F.posexplode("ips").alias("pos", "ip"))
-    )
+    return mails.select("message_id", F.inline(address_list()))
+
+
+def address_list() -> Column:
+    """The public addresses of a mail's hops as array<struct<hop, pos, ip>>."""
+    return F.flatten(F.transform(hops(), lambda value, hop: F.transform(
+        net.public_ips(value), lambda ip, pos: F.struct(hop.alias("hop"), pos.alias("pos"), ip.alias("ip")))))
 
 
 def sender_ip(mails: DataFrame) -> DataFrame:
@@ -233,38 +235,43 @@ def sender(mails: DataFrame, ranges: DataFrame) -> DataFrame:
 def _warnings() -> Column:
     risky = F.coalesce(F.col("sender_country").isin(lx.HIGH_RISK_COUNTRIES), F.lit(False))
     return flags(
-        (~F.col("_present"), NO_HEADERS),
-        (F.col("_present") & (F.col("spf_result") == "fail"), "SPF authentication failed"),
-        (F.col("_present") & (F.col("dkim_result") == "fail"), "DKIM signature verification failed"),
-        (F.col("_present") & (F.col("dmarc_result") == "fail"), "DMARC policy violation"),
-        (F.col("_present") & (F.col("suspicious_hops") > 0),
+        (~F.col("headers_present"), NO_HEADERS),
+        (F.col("headers_present") & (F.col("spf_result") == "fail"), "SPF authentication failed"),
+        (F.col("headers_present") & (F.col("dkim_result") == "fail"), "DKIM signature verification failed"),
+        (F.col("headers_present") & (F.col("dmarc_result") == "fail"), "DMARC policy violation"),
+        (F.col("headers_present") & (F.col("suspicious_hops") > 0),
          F.concat(F.lit("Suspicious routing detected ("), F.col("suspicious_hops").cast("string"), F.lit(" anomalies)"))),
-        (F.col("_present") & F.col("timestamp_anomalies"), "Timestamp anomalies detected"),
-        (F.col("_present") & F.col("return_path_mismatch"), "Return-Path and From header mismatch"),
-        (F.col("_present") & risky,
+        (F.col("headers_present") & F.col("timestamp_anomalies"), "Timestamp anomalies detected"),
+        (F.col("headers_present") & F.col("return_path_mismatch"), "Return-Path and From header mismatch"),
+        (F.col("headers_present") & risky,
          F.concat(F.lit("Email originated from high-risk country: "), F.col("sender_country"))),
     )
 
 
-def score_headers(mails: DataFrame, ranges: DataFrame, as_of: Column) -> DataFrame:
-    """Weighted header score per mail with its parts and warnings.
+SCORE_COLUMNS = [
+    "header_score", "authentication_score", "routing_score", "timestamp_score", "sender_score",
+    "spf_result", "dkim_result", "dmarc_result", "sender_ip", "sender_country", "hop_count",
+    "suspicious_routing", "timestamp_anomalies", "return_path_mismatch", "warnings",
+]
 
-    One pass over the mails for all row-wise parts and one join with the address roll-up.
-    """
-    own = mails.select("message_id", "headers").withColumns({
-        "_present": has_headers(), **_route_columns(), **_sender_columns()})
-    own = _with_timestamps(_with_authentication(own), as_of).drop("headers")
-    located = address_rollup(geo_join(hop_addresses(mails), ranges))
+
+def with_header_parts(mails: DataFrame, as_of: Column) -> DataFrame:
+    """Adds every part that needs only the mail's own headers; drops the headers."""
+    own = mails.withColumns({"headers_present": has_headers(), **_route_columns(), **_sender_columns()})
+    return _with_timestamps(_with_authentication(own), as_of).drop(
+        "headers", "spf_score", "dkim_score", "dmarc_score", "stamps", "backward_steps", "long_gaps",
+        "zone_changes", "timezone_inconsistencies")
+
+
+def finish_scores(parts: DataFrame, addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Joins the located addresses to the header parts and adds the scores and warnings."""
+    located = address_rollup(geo_join(addresses, ranges))
     joined = (
-        own.join(located, "message_id", "left")
+        parts.join(located, "message_id", "left")
         .withColumn("routing_score", _routing_score()).withColumn("suspicious_hops", _evidence_count())
         .withColumn("sender_score", _sender_score())
     )
-    return _finish(joined)
-
-
-def _finish(joined: DataFrame) -> DataFrame:
-    present = F.col("_present")
+    present = F.col("headers_present")
     total = cap(F.col("authentication_score") * 0.4 + F.col("routing_score") * 0.3
                 + F.col("timestamp_score") * 0.2 + F.col("sender_score") * 0.1)
     return (
@@ -273,12 +280,18 @@ def _finish(joined: DataFrame) -> DataFrame:
         .withColumn("authentication_score", F.when(present, F.col("authentication_score")).otherwise(F.lit(0.5)))
         .withColumn("routing_score", F.when(present, F.col("routing_score")).otherwise(F.lit(0.5)))
         .withColumn("suspicious_routing", present & (F.col("suspicious_hops") > 0))
-        .select("message_id", "header_score", "authentication_score", "routing_score", "timestamp_score",
-                "sender_score", "spf_result", "dkim_result", "dmarc_result", "sender_ip", "sender_country",
-                "hop_count", "suspicious_routing", "timestamp_anomalies", "return_path_mismatch", "warnings")
     )
 
 
+def score_headers(mails: DataFrame, ranges: DataFrame, as_of: Column) -> DataFrame:
+    """Weighted header score per mail with its parts and warnings.
+
+    One pass over the mails for all row-wise parts and one join with the address roll-up.
+    """
+    parts = with_header_parts(mails.select("message_id", "headers"), as_of)
+    return finish_scores(parts, hop_addresses(mails), ranges).select("message_id", *SCORE_COLUMNS)
+
+
 def header_facts(scored: DataFrame, analyzed_at: Column) -> DataFrame:
     """Rows of the header fact table."""
     return scored.select(

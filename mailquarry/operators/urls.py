@@ -16,10 +16,13 @@ MALICIOUS_ABOVE = 0.7
 
 def extract_links(emails: DataFrame) -> DataFrame:
     """One row per (mail, url), first-seen order; trailing punctuation removed."""
-    found = F.transform(
-        F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(lk.LINK), F.lit(0)),
-        lambda u: F.regexp_replace(u, "[.,;!?]+$", ""))
-    return emails.select("message_id", F.posexplode(F.array_distinct(found)).alias("pos", "url"))
+    return emails.select("message_id", F.posexplode(link_list()).alias("pos", "url"))
+
+
+def link_list():
+    """The distinct links of a body as an array."""
+    found = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(lk.LINK), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, "[.,;!?]+$", "")))
 
 
 def score_static(links: DataFrame) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def since(as_of: str, column: str, interval: str) -> Column:
-    """Strictly newer than ``as_of`` minus the interval, and not after ``as_of``.
+def since(as_of: str, column: str, interval: str, open_start: bool = False) -> Column:
+    """From ``as_of`` minus the interval (left out with ``open_start``) up to ``as_of``.
 
     A literal range on the time column, so date partitions and Parquet statistics prune the scan.
     """
     end = F.lit(as_of).cast("timestamp_ntz")
     start = F.expr(f"cast('{as_of}' as timestamp_ntz) - interval {interval}")
-    return (F.col(column) >= start) & (F.col(column) <= end)
+    begun = F.col(column) > start if open_start else F.col(column) >= start
+    return begun & (F.col(column) <= end)
 
 
 
@@ -37,7 +38,7 @@ def _count_level(level: str) -> Column:
 
 def overall(facts: DataFrame, as_of: str) -> DataFrame:
     """Thirty days: totals, phishing, means and counts per confidence level, in one scan."""
-    return facts.filter(since(as_of, "created_at", "30 days")).agg(
+    return facts.filter(since(as_of, "created_at", "30 days", open_start=True)).agg(
         F.count(F.lit(1)).alias("total_analyses"), F.count_if("is_phishing").alias("phishing_detected"),
         F.avg("threat_score").alias("avg_threat_score"), F.avg("duration_ms").alias("avg_processing_time"),
         *[F.count_if(F.col("threat_level") == level).alias(f"{level.lower()}_threats")
@@ -45,14 +46,14 @@ def overall(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def link_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days")).agg(
+    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
         F.count(F.lit(1)).alias("total_urls"), F.count_if("is_malicious").alias("malicious_urls"),
         F.avg("virustotal_score").alias("avg_vt_score"), F.avg("urlvoid_score").alias("avg_uv_score"),
         F.countDistinct("domain").alias("unique_domains"))
 
 
 def attachment_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days")).agg(
+    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
         F.count(F.lit(1)).alias("total_attachments"), F.count_if("is_malware").alias("malware_count"),
         F.avg("yara_threat_score").alias("avg_yara_score"),
         F.countDistinct(F.when(F.col("malware_family") != "", F.col("malware_family"))).alias("malware_families"),
@@ -60,7 +61,7 @@ def attachment_stats(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def header_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days")).agg(
+    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
         F.count(F.lit(1)).alias("total_analyses"),
         F.count_if(F.col("spf_result") == "pass").alias("spf_pass_count"),
         F.count_if(F.col("dkim_result") == "pass").alias("dkim_pass_count"),
