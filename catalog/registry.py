@@ -31,7 +31,8 @@ def register(key: str, oracle: str | None = None, ctes: dict[str, str] | None =
             raise ValueError(f"{key} registered twice")
         QUERIES[key] = fn
         if oracle is not None:
-            ORACLES[key] = with_views("duckdb", oracle, ctes)
+            done = oracle.lstrip().startswith("WITH")
+            ORACLES[key] = oracle if done else with_views("duckdb", oracle, ctes)
         return fn
 
     return wrap

@@ -343,10 +343,12 @@ def with_views(dialect: str, body: str, extra: dict[str, str] | None = None) ->
     """``body`` preceded by a WITH clause holding every view it uses, directly or not."""
     views = {**VIEWS[dialect], **(extra or {})}
     wanted: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in sorted(_needed(text, views)):
-            if name not in wanted:
+            if name not in wanted and name not in open_:
+                open_.add(name)
                 visit(views[name])
                 wanted.append(name)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions.text import has_any
 from mailquarry.operators import attachments, content, ensemble, features, headers, urls
-from mailquarry.sinks.facts import new_table_path
+from mailquarry.sinks.facts import staged
 
 KEPT = ["message_id", "sender", "recipients", "subject", "received_at"]
 TEXT = ["urgent_words_count", "suspicious_words_count", "financial_words_count"]
@@ -63,10 +63,3 @@ def score_mailbox(mails: DataFrame, files: DataFrame, url_verdicts: DataFrame, f
         "threats": ensemble.threat_types(),
         "recommendations": ensemble.recommendation_list(),
     })
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and go on from the written table."""
-    path = new_table_path(df.sparkSession, name)
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

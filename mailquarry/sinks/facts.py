@@ -32,3 +32,13 @@ def append_and_read(df: DataFrame, name: str, time_column: str | None = None) ->
     path = new_table_path(spark, name)
     append(df, path, time_column)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and go on from the written table.
+
+    Cuts the lineage: later branches read the narrow table, and a lost executor repeats nothing.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from datasets.views import TABLES  # noqa: E402
 
 
+TIMES: dict[str, float] = {}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -46,15 +49,18 @@ def duck_rows(con, sql):
 
 def difference(spark, con, key, query, oracle, sf_dir):
     """None when equal, otherwise a short description."""
+    t = time.time()
     got_names, got = spark_rows(query(spark, sf_dir))
+    TIMES[key] = time.time() - t
     if oracle is None:
         return None, len(got)
     want_names, want = duck_rows(con, oracle)
     if got_names != want_names:
         return f"columns {got_names} != {want_names}", len(got)
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:2]
-        only_want = [r for r in want if r not in set(got)][:2]
+        in_got, in_want = set(got), set(want)
+        only_got = [r for r in got if r not in in_want][:2]
+        only_want = [r for r in want if r not in in_got][:2]
         return (f"rows {len(got)} vs {len(want)}; names {got_names}\n   spark  {only_got}\n   duckdb {only_want}")[:3000], len(got)
     return None, len(got)
 
@@ -88,7 +94,7 @@ def main() -> None:
         status = "ok" if diff is None else "FAIL"
         bad += diff is not None
         kind = "" if key in registry.ORACLES else " (rows only)"
-        print(f"{status:5s}{key}{kind} rows={n} {time.time() - t:.1f}s" + ("" if diff is None else f"\n   {diff}"), flush=True)
+        print(f"{status:5s}{key}{kind} rows={n} {TIMES.get(key, -1):.1f}s of {time.time() - t:.1f}s" + ("" if diff is None else f"\n   {diff}"), flush=True)
     print(f"{len(keys)} checked, {bad} failed")
 
 
