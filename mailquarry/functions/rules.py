@@ -22,10 +22,12 @@ def rule_matches(text: Column, lowered: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [has_any(lowered, [s.lower() for s in g]) for g in rule.groups])
 
 
-def matches(text: Column, rules: list[Rule] | None = None) -> Column:
-    """array<struct<rule_name, category, severity, score>> of the rules that match."""
+def matches(text: Column, lowered: Column, rules: list[Rule] | None = None) -> Column:
+    """array<struct<rule_name, category, severity, score>> of the rules that match.
+
+    ``lowered`` must be a column of its own: an expression would be evaluated once per string.
+    """
     rules = lx.RULES if rules is None else rules
-    lowered = F.lower(text)
     found = [
         F.when(rule_matches(text, lowered, r), F.struct(
             F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("category"),

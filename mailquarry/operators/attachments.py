@@ -68,14 +68,16 @@ def scan(files: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
 
     Bytes are read as Latin-1, one character per byte, so any file can be searched for ASCII.
     """
-    scanned = files.withColumn("_bytes", file_bytes())
+    decoded = files.withColumn("_data", F.try_to_binary("file_data", F.lit("base64")))
+    scanned = decoded.withColumn("_bytes", F.when(F.length("_data") > 0, F.col("_data"))).drop("_data")
     scannable = F.col("_bytes").isNotNull() & (F.length("_bytes") <= lx.MAX_SCAN_BYTES)
     text = F.when(scannable, F.decode("_bytes", "ISO-8859-1")).otherwise(F.lit(""))
     return (
         scanned.withColumn("file_hash", F.sha2("_bytes", 256))
-        .withColumn("_text", text).withColumn("matches", rl.matches(F.col("_text"), rules))
+        .withColumn("_text", text).withColumn("_lower", F.lower("_text"))
+        .withColumn("matches", rl.matches(F.col("_text"), F.col("_lower"), rules))
         .withColumn("rule_score", rl.score(F.col("matches")))
-        .drop("_bytes", "_text", "file_data")
+        .drop("_bytes", "_text", "_lower", "file_data")
     )
 
 

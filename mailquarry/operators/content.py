@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions import rules as rl
 from mailquarry.functions.text import (
-    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, has_any, matched_terms, occurrences,
+    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, count_pattern, has_any, matched_terms, occurrences,
     sentence_count, term_hits, word_count, word_letters,
 )
 
@@ -35,12 +35,26 @@ def split_body(emails: DataFrame) -> DataFrame:
     ).withColumn("body_html", F.when(F.col("content_type") == "html", content).otherwise(F.lit("")))
 
 
+def with_lowered(emails: DataFrame) -> DataFrame:
+    """Adds _text and _lower as columns, so that a body is lower-cased once, not once per term."""
+    texts = emails.withColumn("_text", F.coalesce("content", F.lit("")))
+    return texts.withColumn("_lower", F.lower("_text"))
+
+
 def _full_text() -> Column:
     return F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.col("body_text"), F.lit(" "), F.col("body_html"))
 
 
 def spelling_errors(lowered: Column) -> Column:
-    return F.regexp_count(lowered, F.lit(TRIPLED_LETTER)) + F.regexp_count(lowered, F.lit(ODD_PAIR))
+    # the plain core of each pattern is a cheap first test
+    tripled = F.when(lowered.rlike(r"([a-z])\1\1"), F.regexp_count(lowered, F.lit(TRIPLED_LETTER))).otherwise(0)
+    odd = F.when(lowered.rlike("[qwxz]{2}"), F.regexp_count(lowered, F.lit(ODD_PAIR))).otherwise(0)
+    return tripled + odd
+
+
+def grammar_errors(lowered: Column) -> Column:
+    return ((has_any(lowered, ["welcome", "wellcome"]) & lowered.rlike(GRAMMAR[0])).cast("int")
+            + (has_any(lowered, ["there", "their", "they're"]) & lowered.rlike(GRAMMAR[1])).cast("int"))
 
 
 def content_features(emails: DataFrame) -> DataFrame:
@@ -65,7 +79,7 @@ def with_content_features(emails: DataFrame, keep: list) -> DataFrame:
         term_hits(text, lx.FINANCIAL).alias("financial_words_count"),
         term_hits(text, lx.BRAND).alias("brand_words_count"),
         spelling_errors(text).alias("spelling_errors"),
-        add([text.rlike(p).cast("int") for p in GRAMMAR]).alias("grammar_errors"),
+        grammar_errors(text).alias("grammar_errors"),
         F.when(is_html, F.regexp_count(html, F.lit("<[^>]+>"))).otherwise(0).alias("html_tag_count"),
         (is_html & has_any(html, ["display:none", "visibility:hidden"])).cast("int").alias("hidden_text"),
         (is_html & has_any(html, ["font-size:0", "color:white"])).cast("int").alias("suspicious_css"),
@@ -93,7 +107,7 @@ def _by_language(lang: Column, per_language: dict[str, Column]) -> Column:
 def manipulation(emails: DataFrame) -> DataFrame:
     """Per mail: share of matched terms per tactic, the matched terms, and the mean."""
     lang = known_language(F.col("lang"))
-    text = F.lower(F.coalesce("content", F.lit("")))
+    text = F.col("_lower")
     scores, terms = [], []
     for category in lx.MANIPULATION_CATEGORIES:
         lists = {code: categories[category] for code, categories in lx.MANIPULATION.items()}
@@ -101,7 +115,7 @@ def manipulation(emails: DataFrame) -> DataFrame:
             code: term_hits(text, t) / len(t) for code, t in lists.items()}).alias(category))
         terms.append(_by_language(lang, {
             code: matched_terms(text, t) for code, t in lists.items()}).alias(f"{category}_terms"))
-    scored = emails.select("message_id", lang.alias("detected_language"), *scores, *terms)
+    scored = with_lowered(emails).select("message_id", lang.alias("detected_language"), *scores, *terms)
     return scored.withColumn(
         "manipulation_score", add([F.col(c) for c in lx.MANIPULATION_CATEGORIES]) / len(lx.MANIPULATION_CATEGORIES))
 
@@ -117,9 +131,9 @@ def manipulation_score(text: Column, lang: Column) -> Column:
 
 def manipulation_short(emails: DataFrame) -> DataFrame:
     """A quarter per matched term of the short list, at most 1."""
-    text = F.lower(F.coalesce("content", F.lit("")))
     terms = [t for group in lx.MANIPULATION_SHORT.values() for t in group]
-    return emails.select("message_id", cap(term_hits(text, terms) * F.lit(0.25)).alias("manipulation_score"))
+    return with_lowered(emails).select(
+        "message_id", cap(term_hits(F.col("_lower"), terms) * F.lit(0.25)).alias("manipulation_score"))
 
 
 def money_amounts(text: Column) -> Column:
@@ -142,10 +156,9 @@ def money_and_phones(emails: DataFrame) -> DataFrame:
 def scam_level(emails: DataFrame) -> DataFrame:
     """Scam terms, money and phones per mail, with the level of manipulation plus scam score."""
     lang = known_language(F.col("lang"))
-    text = F.coalesce("content", F.lit(""))
-    lowered = F.lower(text)
+    text, lowered = F.col("_text"), F.col("_lower")
     terms = _by_language(lang, {code: term_hits(lowered, t) for code, t in lx.SCAM_TERMS.items()})
-    found = emails.select(
+    found = with_lowered(emails).select(
         "message_id", terms.alias("scam_terms"),
         F.size(money_amounts(text)).alias("money_count"), F.size(phone_numbers(text)).alias("phone_count"),
         manipulation_score(lowered, lang).alias("manipulation_score"))
@@ -158,12 +171,11 @@ def scam_level(emails: DataFrame) -> DataFrame:
 
 def style(emails: DataFrame) -> DataFrame:
     """Readability, polarity and sentence figures per mail."""
-    raw = F.coalesce("content", F.lit(""))
-    text = F.lower(raw)
-    syllables = (F.regexp_count(text, F.lit("[aeiouy]+")) - F.regexp_count(text, F.lit(SILENT_E))
-                 + F.regexp_count(text, F.lit(NO_VOWEL)))
+    raw, text = F.col("_text"), F.col("_lower")
+    syllables = (F.regexp_count(text, F.lit("[aeiouy]+")) - count_pattern(text, SILENT_E)
+                 + count_pattern(text, NO_VOWEL))
     positive, negative = term_hits(text, lx.SENTIMENT_POSITIVE), term_hits(text, lx.SENTIMENT_NEGATIVE)
-    counted = emails.select(
+    counted = with_lowered(emails).select(
         "message_id", "sender", "lang", word_count(raw).alias("words"), sentence_count(raw).alias("sentences"),
         syllables.alias("syllables"), positive.alias("positive"), negative.alias("negative"),
         F.regexp_count(raw, F.lit(f"(?:^|{SENTENCE_END})[{SPACE}]*\\p{{Ll}}")).alias("lower_starts"))
@@ -217,7 +229,8 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, max_terms: int
 
 def scan_text(emails: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
     """Rule score and matched rules per mail."""
-    scanned = emails.select("message_id", rl.matches(F.coalesce("content", F.lit("")), rules).alias("matches"))
+    scanned = with_lowered(emails).select(
+        "message_id", rl.matches(F.col("_text"), F.col("_lower"), rules).alias("matches"))
     return scanned.withColumn("rule_score", rl.score(F.col("matches")))
 
 
@@ -239,8 +252,8 @@ def rule_statistics(hits: DataFrame, rules: DataFrame) -> DataFrame:
 def term_frequencies(emails: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every lexicon term with the number of mails that contain it."""
     terms = [r.term for r in lexicon.select("term").distinct().orderBy("term").collect()]
-    text = F.lower(F.concat_ws(" ", "subject", "content"))
-    counts = emails.select(F.explode(matched_terms(text, terms)).alias("term")).groupBy("term").agg(
+    texts = emails.select(F.lower(F.concat_ws(" ", "subject", "content")).alias("_lower"))
+    counts = texts.select(F.explode(matched_terms(F.col("_lower"), terms)).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("mails"))
     return lexicon.join(F.broadcast(counts), "term", "left").select(
         "lexicon", "lang", "category", "term", F.coalesce("mails", F.lit(0)).alias("mails"))
@@ -248,7 +261,8 @@ def term_frequencies(emails: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def visual_threats(images: DataFrame) -> DataFrame:
     """Brand impersonation from recognised text and shape counts, and the visual level of a page."""
-    found = images.withColumn("brands", matched_terms(F.lower("ocr_text"), lx.VISUAL_BRANDS))
+    read = images.withColumn("_lower", F.lower("ocr_text"))
+    found = read.withColumn("brands", matched_terms(F.col("_lower"), lx.VISUAL_BRANDS))
     raw = F.size("brands") * F.lit(0.3) + cap(F.col("shapes") * F.lit(0.1)) * F.lit(0.7)
     visual = (F.col("brand_score") + F.col("template_score")) / 2
 

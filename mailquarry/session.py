@@ -17,6 +17,7 @@ def local_session(cpus: str = "8", memory: str = "8g", name: str = "mailquarry")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
