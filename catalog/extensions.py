@@ -1 +1,57 @@
+"""Extension points: rules, languages and feeds added as rows."""
 
+from pyspark.sql import functions as F
+
+from catalog.registry import plain, register
+from datasets.views import view
+from mailquarry import lexicon as lx
+from mailquarry.lexicon import Rule
+from mailquarry.operators import content, reputation
+from oracles import content as oc
+from oracles.sql import hits, items
+
+CUSTOM = [
+    Rule("Hidden_Frame", "phishing", "medium", (("<html", "</html>"), ("display:none", "visibility:hidden"))),
+    Rule("Dollar_Amounts", "financial_scam", "low", pattern=r"\$[0-9]+", more_than=0),
+]
+
+
+@register("ext_custom_rules", f"""
+    SELECT message_id, rule_name, category, severity, score FROM ({oc.rule_rows('v_emails', 'message_id', 'content', lx.RULES + CUSTOM)}) r
+    WHERE rule_name IN ('Hidden_Frame', 'Dollar_Amounts')""")
+def ext_custom_rules(spark, sf):
+    table = lx.rule_table(spark).unionByName(lx.rule_table(spark, CUSTOM))
+    found = content.rule_hits(content.scan_text(view(spark, sf, "v_emails"), lx.rules_from(table)))
+    return plain(found.filter(F.col("rule_name").isin([r.name for r in CUSTOM])))
+
+
+GERMAN = {"urgency": ["sofort", "dringend", "und"], "trust": ["die", "bitte"]}
+
+
+@register("ext_language", " UNION ALL ".join(
+    f"SELECT message_id, '{cat}' AS category, {hits('lower(content)', terms)}::BIGINT AS hits, "
+    f"array_to_string(list_filter({items(terms)}, lambda x: contains(lower(content), x)), '|') AS terms FROM v_emails WHERE lang = 'de'"
+    for cat, terms in GERMAN.items()))
+def ext_language(spark, sf):
+    extra = [("manipulation", "de", cat, i, t) for cat, terms in GERMAN.items() for i, t in enumerate(terms)]
+    found = content.lexicon_hits(view(spark, sf, "v_emails"), lx.lexicon_table(spark, extra), "manipulation")
+    german = view(spark, sf, "v_emails").filter("lang = 'de'").select("message_id")
+    return plain(found.join(german, "message_id", "left_semi").drop("size"))
+
+
+@register("ext_feed", """
+    SELECT ioc, count(*) AS sources_checked, round(avg(threat_score), 8) AS threat_score FROM (
+        SELECT ioc, CASE WHEN error IS NULL THEN (malicious + suspicious) / greatest(malicious + suspicious + harmless, 1)::DOUBLE END AS threat_score
+        FROM v_feeds WHERE source = 'virustotal_domain'
+        UNION ALL SELECT 'd' || (user_id % 97) || '.example.com' AS ioc, count_if(event_type = 'error') / count(*)::DOUBLE AS threat_score
+        FROM events GROUP BY 1) x GROUP BY ioc""")
+def ext_feed(spark, sf):
+    base = view(spark, sf, "v_feeds").filter("source = 'virustotal_domain'")
+    # a new source: error share of the domain's events, as counts
+    added = view(spark, sf, "events").groupBy(
+        F.concat(F.lit("d"), (F.col("user_id") % 97).cast("string"), F.lit(".example.com")).alias("ioc")
+    ).agg(F.count_if(F.col("event_type") == "error").alias("malicious"), F.count(F.lit(1)).alias("n")).select(
+        "ioc", F.lit("domain").alias("ioc_type"), F.lit("event_errors").alias("source"), "malicious",
+        F.lit(0).cast("bigint").alias("suspicious"), (F.col("n") - F.col("malicious")).alias("harmless"))
+    merged = reputation.normalise_feeds(base.unionByName(added, allowMissingColumns=True))
+    return plain(reputation.aggregate_verdicts(merged).select("ioc", "sources_checked", "threat_score"))
