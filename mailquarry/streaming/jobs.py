@@ -1,23 +1,218 @@
-"""Structured Streaming forms of the jobs."""
+"""Structured Streaming forms of the jobs.
+
+Every query has its own checkpoint in the shared folder. Batches that are written with
+``foreachBatch`` go to a folder named after the batch and replace it on a repeat, so a restarted
+query writes nothing twice.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from mailquarry import lexicon as lx
+from mailquarry.operators import access
+from mailquarry.plans.health import status
 from mailquarry.session import shared_dir
+from mailquarry.sinks import maintenance
+from mailquarry.sinks.facts import append
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything that has arrived and return what it wrote.
+def new_base(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The sink is a Parquet folder with its own checkpoint in the shared folder.
-    """
+
+def read_landing(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of Parquet landing files with an explicit schema."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run an append stream over everything that has arrived and return what it wrote."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_base(spark, name)
     query = (
-        stream.writeStream.format("parquet").outputMode(mode).trigger(availableNow=True)
+        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{base}/checkpoint").start(f"{base}/rows"))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def each_batch(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run ``handle(batch, batch_id)`` over everything that has arrived."""
+    query = (
+        stream.writeStream.foreachBatch(handle).outputMode(mode).trigger(availableNow=True)
+        .option("checkpointLocation", f"{base}/checkpoint").start())
+    query.awaitTermination()
+
+
+def drain_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an updating aggregate and return the last state of every key."""
+    spark = stream.sparkSession
+    base = new_base(spark, name)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/rows/{batch_id:08d}")
+
+    each_batch(stream, base, handle, "update")
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.parquet(f"{base}/rows/*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("s")).select(*keys, "s.*")
+
+
+# ------------------------------------------------------------------ windowed aggregates
+
+def tumbling_levels(facts: DataFrame, width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+    """Counts per level in tumbling windows."""
+    return facts.withWatermark("created_at", lateness).groupBy(F.window("created_at", width)).agg(
+        *[F.count_if(F.col("threat_level") == level).alias(level.lower()) for level in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
+        F.count(F.lit(1)).alias("total")).select(F.col("window.start").alias("start"), "critical", "high", "medium", "low", "total")
+
+
+def sliding_stats(facts: DataFrame, width: str = "24 hours", step: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+    """Rolling totals refreshed every step."""
+    return facts.withWatermark("created_at", lateness).groupBy(F.window("created_at", width, step)).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("threat_level").isin("HIGH", "CRITICAL")).alias("high"),
+        F.count_if("is_quarantined").alias("quarantined")).select(
+        F.col("window.start").alias("start"), "total", "high", "quarantined")
+
+
+def rolling_health(facts: DataFrame, step: str = "15 minutes", lateness: str = "1 day") -> DataFrame:
+    """Mean time, error share and status over a rolling hour."""
+    windows = facts.withWatermark("created_at", lateness).groupBy(F.window("created_at", "1 hour", step)).agg(
+        F.avg("duration_ms").alias("mean_ms"), F.count_if(F.col("status") == "error").alias("errors"),
+        F.count(F.lit(1)).alias("n"))
+    share = F.col("errors") / F.col("n") * 100
+    return windows.select(
+        F.col("window.start").alias("start"), "n", "mean_ms", share.alias("error_rate"),
+        status((F.col("mean_ms") > 10000) | (share > 15), (F.col("mean_ms") > 5000) | (share > 5)).alias("status"))
+
+
+def sender_sessions(facts: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Bursts per sender: mails less than ``gap`` apart; a session is written once it is closed."""
+    return facts.withWatermark("created_at", lateness).groupBy(
+        F.session_window("created_at", gap), "sender_email").agg(F.count(F.lit(1)).alias("mails")).select(
+        "sender_email", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "mails")
+
+
+# ------------------------------------------------------------------ row streams
+
+def alert_rows(facts: DataFrame) -> DataFrame:
+    """HIGH mails of priority high."""
+    return facts.filter(F.col("threat_level").isin("HIGH", "CRITICAL") & (F.col("priority") == "high")).select(
+        "email_id", "threat_level", "threat_score", F.col("created_at").alias("alert_sent_at"))
+
+
+def dedup(notifications: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Repeated notifications of a message within the lateness are dropped."""
+    return notifications.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["message_id"])
+
+
+def upsert_or_create(spark: SparkSession, path: str, results: DataFrame) -> None:
+    """Apply results to the fact table, creating it with the first batch."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        empty = spark.createDataFrame([], results.schema).select(
+            "email_id", *maintenance.KEPT, *maintenance.REPLACED, F.lit(False).alias("is_quarantined"),
+            F.col("received_at").alias("created_at"), F.col("received_at").alias("updated_at"))
+        append(maintenance.upsert(empty, results), path, "created_at")
+        return
+    maintenance.upsert_table(spark, path, results)
+
+
+def score_stream(mails: DataFrame, score: Callable[[DataFrame], DataFrame], base: str) -> str:
+    """Score each micro-batch with the batch plan and upsert it; returns the table path.
+
+    ``score`` returns email_id, the identity and result columns, received_at and seq.
+    """
+    table = f"{base}/email_analyses"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        upsert_or_create(batch.sparkSession, table, score(batch))
+
+    each_batch(mails, base, handle)
+    return table
+
+
+def split_late(facts: DataFrame, base: str, lateness: str = "1 hour") -> tuple[str, str]:
+    """Write rows older than the watermark of the earlier batches to a side table.
+
+    The watermark is the highest time of the batches before, less the lateness. Returns the two
+    folders (kept, late).
+    """
+    kept, late, marks = f"{base}/kept", f"{base}/late", f"{base}/marks"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        limit = F.lit("1000-01-01 00:00:00").cast("timestamp")
+        if batch_id > 0:
+            mark = spark.read.parquet(f"{marks}/{batch_id - 1:08d}").first()[0]
+            limit = F.lit(mark) - F.expr(f"interval {lateness}")
+        is_late = F.col("created_at") < limit
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{kept}/{batch_id:08d}")
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/{batch_id:08d}")
+        newest = batch.agg(F.max("created_at").alias("mark"))
+        if batch_id > 0:
+            newest = newest.union(spark.read.parquet(f"{marks}/{batch_id - 1:08d}")).agg(F.max("mark").alias("mark"))
+        newest.write.mode("overwrite").parquet(f"{marks}/{batch_id:08d}")
+
+    each_batch(facts, base, handle)
+    return kept, late
+
+
+# ------------------------------------------------------------------ keyed windows
+
+def _carried(spark: SparkSession, states: str, batch_id: int) -> DataFrame | None:
+    return None if batch_id == 0 else spark.read.parquet(f"{states}/{batch_id - 1:08d}")
+
+
+def rate_limit_stream(requests: DataFrame, base: str) -> DataFrame:
+    """Rate-limit decisions per request; the open windows are carried from batch to batch.
+
+    The per-batch work is the batch job, so a client that sends a third of all requests is spread
+    like there. The state is one row per client.
+    """
+    spark = requests.sparkSession
+    states = f"{base}/state"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        decisions, newest = access.rate_limit(batch, carry=_carried(session, states, batch_id))
+        decisions.write.mode("overwrite").parquet(f"{base}/rows/{batch_id:08d}")
+        newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
+
+    each_batch(requests, base, handle)
+    return spark.read.parquet(f"{base}/rows/*")
+
+
+def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SECONDS) -> DataFrame:
+    """Cache decisions per lookup; the last refresh of each key is carried from batch to batch."""
+    spark = lookups.sparkSession
+    states = f"{base}/state"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = _carried(session, states, batch_id)
+        rows = f"{base}/rows/{batch_id:08d}"
+        access.lookup_cache(batch, ttl, before).write.mode("overwrite").parquet(rows)
+        newest = session.read.parquet(rows).groupBy("key").agg(F.max("start").alias("start"))
+        if before is not None:
+            newest = newest.unionByName(before.join(newest.select("key"), "key", "left_anti"))
+        newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
+
+    each_batch(lookups, base, handle)
+    return spark.read.parquet(f"{base}/rows/*")
+
+
+def as_instant(column: str) -> Column:
+    """Watermarks need an instant; the landing files hold zoneless times."""
+    return F.col(column).cast("timestamp").alias(column)
