@@ -23,7 +23,7 @@ CTES = {
     "g_now": """SELECT h.sender, mails, avg_length, r.recipients FROM (SELECT sender, count(*) AS mails, avg(body_length) AS avg_length FROM g_recent GROUP BY sender) h
         LEFT JOIN (SELECT sender, list_sort(list(recipient)) AS recipients FROM g_recent_top GROUP BY sender) r USING (sender)""",
     "g_both": """SELECT b.*, n.avg_length AS recent_length, coalesce(n.recipients, []) AS recent_recipients FROM g_base b LEFT JOIN g_now n USING (sender)""",
-    "g_score": """SELECT *, CASE WHEN mails < 10 THEN 0e0 ELSE least(coalesce(least(abs(avg_length - recent_length) / avg_length, 1e0), 0e0) * 0.3e0
+    "g_score": """SELECT *, CASE WHEN mails < 10 THEN 0e0 ELSE least(CASE WHEN recent_length IS NULL THEN 0e0 ELSE coalesce(least(abs(avg_length - recent_length) / nullif(avg_length, 0), 1e0), 0e0) END * 0.3e0
                + (1e0 - len(list_intersect(recipients, recent_recipients)) / len(recipients)::DOUBLE) * 0.4e0, 1e0) END AS score FROM g_both""",
 }
 

@@ -109,7 +109,9 @@ def anomaly(history: DataFrame, as_of: str) -> DataFrame:
     """Behaviour score per sender: change of length and of usual recipients."""
     both = _compared(history, as_of)
     change = F.abs(F.col("avg_length") - F.col("recent_length"))
-    length_part = F.coalesce(F.least(F.try_divide(change, F.col("avg_length")), F.lit(1.0)), F.lit(0.0))
+    # least() skips nulls, so a sender without recent mail is taken out first
+    length_part = F.when(F.col("recent_length").isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.least(F.try_divide(change, F.col("avg_length")), F.lit(1.0)), F.lit(0.0)))
     overlap = F.size(F.array_intersect("recipients", "recent_recipients"))
     recipient_part = F.when(F.size("recipients") > 0, 1 - overlap / F.size("recipients")).otherwise(F.lit(0.0))
     established = F.col("mails") >= MIN_HISTORY

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,21 +26,16 @@ def local_session(cpus: str = "8", memory: str = "8g", name: str = "mailquarry")
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a new temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
+    machine, a new temporary folder is made and given to the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = os.environ.get("MAILQUARRY_SCRATCH") or tempfile.mkdtemp(prefix="mailquarry-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    made = spark.sparkContext.getCheckpointDir()
+    if made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailquarry-"))
+        made = spark.sparkContext.getCheckpointDir()
     return made
-
-
-def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Make ``DataFrame.checkpoint`` usable on this session."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return spark
