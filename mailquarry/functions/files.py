@@ -10,7 +10,11 @@ from mailquarry.functions.text import cap, term_hits
 
 
 def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A literal map from text to text or number."""
+    def literal(v):
+        return f"{v!r}D" if isinstance(v, float) else f"'{v}'"
+
+    return F.expr("map(" + ", ".join(f"'{k}', {literal(v)}" for k, v in values.items()) + ")")
 
 
 def extension(filename: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
-from mailquarry.functions.text import add, cap, has, has_any, term_hits
+from mailquarry.functions.text import add, cap, has, mentions, term_hits
 
 # Fixed pattern of a link in a mail body
 LINK = r"""https?://[^\s<>"{}|\\^`\[\]]+"""
@@ -18,9 +18,8 @@ def authority(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SCHEME + "([^/?#]*)", 1))
 
 
-def unparsable(url: Column) -> Column:
+def unparsable(host: Column) -> Column:
     """An unbalanced bracket in the host part, which no URL parser accepts."""
-    host = authority(url)
     return has(host, "[") != has(host, "]")
 
 
@@ -71,12 +70,13 @@ def length_score(url: Column) -> Column:
             .when(n > 100, F.lit(0.3)).otherwise(F.lit(0.0)))
 
 
-def domain_score(url: Column, host: Column) -> Column:
+def domain_score(url: Column, host: Column, best: Column) -> Column:
+    """``best`` is the brand similarity of the host; give it as a column, it is tested repeatedly."""
     return cap(
         F.when(is_ipv4(host), F.lit(0.8)).otherwise(F.lit(0.0))
-        + F.when(has_any(F.lower(url), lx.SUSPICIOUS_TLDS), F.lit(0.6)).otherwise(F.lit(0.0))
-        + F.when(has_any(host, lx.SHORTENERS), F.lit(0.4)).otherwise(F.lit(0.0))
-        + typosquat_score(brand_similarity(host))
+        + F.when(mentions(F.lower(url), lx.SUSPICIOUS_TLDS), F.lit(0.6)).otherwise(F.lit(0.0))
+        + F.when(mentions(host, lx.SHORTENERS), F.lit(0.4)).otherwise(F.lit(0.0))
+        + typosquat_score(best)
         + F.when(label_count(host) - 2 > 2, F.lit(0.3)).otherwise(F.lit(0.0))
     )
 

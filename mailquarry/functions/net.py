@@ -37,27 +37,39 @@ def is_public(number: Column) -> Column:
 
 
 def public_ips(text: Column) -> Column:
-    """Public addresses in the text, in order of appearance."""
-    return F.filter(F.regexp_extract_all(text, F.lit(IPV4), F.lit(0)), lambda ip: is_public(ip_number(ip)))
-
-
-def mail_time(text: Column) -> Column:
-    """Instant of a mail date as struct<epoch, zone_minutes>, null when it cannot be read."""
-    zone = F.regexp_extract(text, _DATE, 6)
-    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    named = F.lit(0)
-    for name, hours in ZONES.items():
-        named = F.when(zone == name, F.lit(hours * 60)).otherwise(named)
-    minutes = F.when(
-        zone.rlike("^[+-]"),
-        sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))
-    ).otherwise(named)
-    seconds = F.regexp_extract(text, _DATE, 5)
-    clock = F.concat(F.regexp_extract(text, _DATE, 4), F.when(seconds == "", F.lit(":00")).otherwise(seconds))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]),
-                             F.lower(F.regexp_extract(text, _DATE, 2))).cast("string")
+    """Public addresses in the text, in order of appearance.
+
+    The number is bound in a struct first: inside one lambda it would be parsed once per block.
+    """
+    numbered = F.transform(
+        F.regexp_extract_all(text, F.lit(IPV4), F.lit(0)),
+        lambda ip: F.struct(ip.alias("ip"), ip_number(ip).alias("n")))
+    return F.transform(F.filter(numbered, lambda a: is_public(a["n"])), lambda a: a["ip"])
+
+
+def _pieces(text: Column) -> Column:
+    group = [F.regexp_extract(text, _DATE, i) for i in range(1, 7)]
+    return F.struct(*[g.alias(n) for g, n in zip(group, ("day", "month", "year", "clock", "seconds", "zone"))])
+
+
+def _instant(p: Column) -> Column:
+    zone = p["zone"]
+    named = F.try_element_at(F.expr("map(" + ", ".join(f"'{z}', {h * 60}" for z, h in ZONES.items()) + ")"), zone)
+    written = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    minutes = (F.when(zone.startswith("-"), -written).when(zone.startswith("+"), written)
+               .otherwise(F.coalesce(named, F.lit(0))))
+    month = F.array_position(F.expr("array(" + ", ".join(f"'{m}'" for m in MONTHS) + ")"), F.lower(p["month"]))
     stamp = F.concat(
-        F.regexp_extract(text, _DATE, 3), F.lit("-"), month, F.lit("-"),
-        F.regexp_extract(text, _DATE, 1), F.lit(" "), clock, F.lit(" +0000"))
-    epoch = F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:mm:ss Z"))) - minutes * 60
-    return F.when(epoch.isNotNull(), F.struct(epoch.alias("epoch"), minutes.alias("zone_minutes")))
+        p["year"], F.lit("-"), month.cast("string"), F.lit("-"), p["day"], F.lit(" "), p["clock"],
+        F.when(p["seconds"] == "", F.lit(":00")).otherwise(p["seconds"]), F.lit(" +0000"))
+    return F.struct(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:mm:ss Z"))).alias("utc"),
+                    minutes.alias("zone_minutes"))
+
+
+def mail_times(texts: Column) -> Column:
+    """Instants of an array of mail dates as array<struct<epoch, zone_minutes>>; unreadable ones
+    are left out. Each step binds its result before the next one uses it."""
+    instants = F.transform(F.transform(texts, _pieces), _instant)
+    readable = F.filter(instants, lambda i: i["utc"].isNotNull())
+    return F.transform(readable, lambda i: F.struct(
+        (i["utc"] - i["zone_minutes"] * 60).alias("epoch"), i["zone_minutes"].alias("zone_minutes")))

@@ -38,6 +38,16 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return any_of([has(text, t) for t in terms])
 
 
+def mentions(text: Column, terms: list[str]) -> Column:
+    """Like ``has_any`` for short texts such as hosts and file names: one pattern for all terms."""
+    return text.rlike("|".join(rf"\Q{t}\E" for t in terms))
+
+
+def texts(values: list[str]) -> Column:
+    """A literal array of strings."""
+    return F.expr("array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")")
+
+
 def term_hits(text: Column, terms: list[str]) -> Column:
     """How many distinct terms occur in the text."""
     return add([has(text, t).cast("int") for t in terms])
@@ -45,7 +55,7 @@ def term_hits(text: Column, terms: list[str]) -> Column:
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """The terms that occur in the text, in list order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    return F.filter(texts(terms), lambda t: F.contains(text, t))
 
 
 def occurrences(text: Column, piece: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions import files as fl
 from mailquarry.functions import rules as rl
-from mailquarry.functions.text import cap, has, has_any
+from mailquarry.functions.text import cap, has, mentions
 from mailquarry.plans.skew import spread_join
 
 MALWARE_ABOVE = 0.7
@@ -175,7 +175,7 @@ def attachment_features(files: DataFrame) -> DataFrame:
     size = F.coalesce("file_size", F.lit(0))
     return files.groupBy("message_id").agg(
         F.lit(1).alias("has_attachments"), F.count(F.lit(1)).alias("attachment_count"),
-        F.count_if(has_any(name, lx.FEATURE_SUSPICIOUS_EXTENSIONS)).alias("suspicious_extensions"),
-        F.count_if(has_any(name, lx.FEATURE_EXECUTABLE_EXTENSIONS)).alias("executable_attachments"),
+        F.count_if(mentions(name, lx.FEATURE_SUSPICIOUS_EXTENSIONS)).alias("suspicious_extensions"),
+        F.count_if(mentions(name, lx.FEATURE_EXECUTABLE_EXTENSIONS)).alias("executable_attachments"),
         F.count_if(size > lx.FEATURE_LARGE_BYTES).alias("large_attachments"),
         F.sum(size).alias("total_attachment_size"))

@@ -150,7 +150,7 @@ def money_and_phones(emails: DataFrame) -> DataFrame:
     found = F.concat(
         F.transform(money_amounts(content), lambda v, i: F.struct(F.lit("money").alias("kind"), i.alias("pos"), v.alias("value"))),
         F.transform(phone_numbers(content), lambda v, i: F.struct(F.lit("phone").alias("kind"), i.alias("pos"), v.alias("value"))))
-    return emails.select("message_id", F.inline(found))
+    return emails.select("message_id", F.inline_outer(found)).filter("kind is not null")
 
 
 def scam_level(emails: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, max_terms: int
         F.filter(c["terms"], lambda t: F.contains(F.col("_text"), t)).alias("terms")))
     return (
         keyed.withColumn("_text", lowered).join(F.broadcast(per_language), "_lang")
-        .select("message_id", F.inline(found))
+        .select("message_id", F.inline_outer(found)).filter("category is not null")
         .select("message_id", "category", F.size("terms").alias("hits"), "size", "terms")
     )
 
@@ -236,7 +236,7 @@ def scan_text(emails: DataFrame, rules: list[lx.Rule] | None = None) -> DataFram
 
 def rule_hits(scanned: DataFrame, key: str = "message_id") -> DataFrame:
     """One row per (mail, matched rule)."""
-    return scanned.select(key, F.inline("matches"))
+    return scanned.select(key, F.inline_outer("matches")).filter("rule_name is not null")
 
 
 def rule_statistics(hits: DataFrame, rules: DataFrame) -> DataFrame:
@@ -253,7 +253,8 @@ def term_frequencies(emails: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every lexicon term with the number of mails that contain it."""
     terms = [r.term for r in lexicon.select("term").distinct().orderBy("term").collect()]
     texts = emails.select(F.lower(F.concat_ws(" ", "subject", "content")).alias("_lower"))
-    counts = texts.select(F.explode(matched_terms(F.col("_lower"), terms)).alias("term")).groupBy("term").agg(
+    found = texts.select(F.explode_outer(matched_terms(F.col("_lower"), terms)).alias("term")).filter("term is not null")
+    counts = found.groupBy("term").agg(
         F.count(F.lit(1)).alias("mails"))
     return lexicon.join(F.broadcast(counts), "term", "left").select(
         "lexicon", "lang", "category", "term", F.coalesce("mails", F.lit(0)).alias("mails"))

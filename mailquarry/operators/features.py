@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions import links as lk
-from mailquarry.functions.text import has_any
+from mailquarry.functions.text import mentions
 
 CONTENT = [
     "text_length", "word_count", "sentence_count", "avg_word_length", "urgent_words_count",
@@ -38,9 +38,9 @@ def url_aggregates() -> list[Column]:
         F.count(F.lit(1)).alias("url_count"), F.avg(F.length(url)).alias("avg_url_length"),
         F.max(F.length(url)).alias("max_url_length"),
         F.count_if(lk.looks_suspicious(host)).alias("suspicious_domains"),
-        F.count_if(has_any(host, lx.FEATURE_SHORTENERS)).alias("url_shorteners"),
+        F.count_if(mentions(host, lx.FEATURE_SHORTENERS)).alias("url_shorteners"),
         F.count_if(lk.is_ipv4(host)).alias("ip_addresses"),
-        F.count_if(has_any(F.lower(url), lx.FEATURE_TLDS)).alias("suspicious_tlds"),
+        F.count_if(mentions(F.lower(url), lx.FEATURE_TLDS)).alias("suspicious_tlds"),
         F.lit(0).alias("url_redirects"),
     ]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions import net
-from mailquarry.functions.text import cap, flags, has, has_any
+from mailquarry.functions.text import cap, flags, has, mentions
 
 NO_HEADERS = "No headers available for analysis"
 _ADDRESS = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+"
@@ -36,10 +36,10 @@ def has_headers() -> Column:
 def header_rows(mails: DataFrame) -> DataFrame:
     """(mail, lower-cased name, value); empty entries dropped, the last of a name wins."""
     filled = F.filter("headers", lambda h: (h["name"] != "") & (h["value"] != ""))
-    kept = mails.withColumn("_h", filled)
+    kept = mails.select("message_id", filled.alias("_h"))
     last = F.filter("_h", lambda h, i: ~F.exists(
         F.slice("_h", i + 2, F.greatest(F.size("_h"), F.lit(1))), lambda later: F.lower(later["name"]) == F.lower(h["name"])))
-    return kept.select("message_id", F.explode(last).alias("h")).select(
+    return kept.select("message_id", F.explode_outer(last).alias("h")).filter("h is not null").select(
         "message_id", F.lower("h.name").alias("name"), F.col("h.value").alias("value"))
 
 
@@ -51,8 +51,8 @@ def authentication(mails: DataFrame) -> DataFrame:
 
 
 def _with_authentication(mails: DataFrame) -> DataFrame:
-    spf = F.lower(header("received-spf"))
-    results = F.lower(header("authentication-results"))
+    read = mails.withColumns({"_spf": F.lower(header("received-spf")), "_auth": F.lower(header("authentication-results"))})
+    spf, results = F.col("_spf"), F.col("_auth")
     spf_result = (F.when(has(spf, "pass"), "pass").when(has(spf, "softfail"), "softfail")
                   .when(has(spf, "fail"), "fail").when(has(spf, "neutral"), "neutral").otherwise("none"))
     dkim_result = F.when(header("dkim-signature") == "", "none").when(
@@ -67,13 +67,14 @@ def _with_authentication(mails: DataFrame) -> DataFrame:
             value = F.when(result == name, F.lit(s)).otherwise(value)
         return value
 
-    named = mails.withColumns({
-        "spf_result": spf_result, "dkim_result": dkim_result, "dmarc_result": dmarc_result})
+    named = read.withColumns({
+        "spf_result": spf_result, "dkim_result": dkim_result, "dmarc_result": dmarc_result}).drop("_spf", "_auth")
     return (
         named
-        .withColumn("spf_score", scored(F.col("spf_result"), {"pass": 0.0, "fail": 1.0, "softfail": 0.7, "neutral": 0.3}))
-        .withColumn("dkim_score", scored(F.col("dkim_result"), {"pass": 0.0, "fail": 0.8, "present": 0.2}))
-        .withColumn("dmarc_score", scored(F.col("dmarc_result"), {"pass": 0.0, "fail": 0.9, "quarantine": 0.6, "reject": 1.0}))
+        .withColumns({
+            "spf_score": scored(F.col("spf_result"), {"pass": 0.0, "fail": 1.0, "softfail": 0.7, "neutral": 0.3}),
+            "dkim_score": scored(F.col("dkim_result"), {"pass": 0.0, "fail": 0.8, "present": 0.2}),
+            "dmarc_score": scored(F.col("dmarc_result"), {"pass": 0.0, "fail": 0.9, "quarantine": 0.6, "reject": 1.0})})
         .withColumn("authentication_score",
                     F.col("spf_score") * 0.3 + F.col("dkim_score") * 0.3 + F.col("dmarc_score") * 0.4)
     )
@@ -81,7 +82,7 @@ def _with_authentication(mails: DataFrame) -> DataFrame:
 
 def hop_addresses(mails: DataFrame) -> DataFrame:
     """(mail, hop, pos, ip) of the public addresses in the Received headers."""
-    return mails.select("message_id", F.inline(address_list()))
+    return mails.select("message_id", F.inline_outer(address_list())).filter("ip is not null")
 
 
 def address_list() -> Column:
@@ -141,8 +142,8 @@ def _route_columns() -> dict[str, Column]:
     lowered = F.transform(received, F.lower)
     return {
         "hop_count": F.size(received),
-        "disposable_hops": F.size(F.filter(lowered, lambda v: has_any(v, lx.DISPOSABLE_DOMAINS))),
-        "unknown_hops": F.size(F.filter(lowered, lambda v: has_any(v, ["unknown", "localhost"]))),
+        "disposable_hops": F.size(F.filter(lowered, lambda v: mentions(v, lx.DISPOSABLE_DOMAINS))),
+        "unknown_hops": F.size(F.filter(lowered, lambda v: mentions(v, ["unknown", "localhost"]))),
     }
 
 
@@ -176,7 +177,7 @@ def _stamps() -> Column:
     written = F.concat(
         F.array(header("date")),
         F.reverse(F.transform(hops(), lambda v: F.regexp_extract(v, r";\s*(.+)$", 1))))
-    return F.filter(F.transform(written, net.mail_time), lambda s: s.isNotNull())
+    return net.mail_times(written)
 
 
 def timestamps(mails: DataFrame, as_of: Column) -> DataFrame:
@@ -214,7 +215,7 @@ def _sender_columns() -> dict[str, Column]:
     address = F.regexp_extract(sender, _ADDRESS, 0)
     return {
         "return_path_mismatch": (return_path != "") & (address != "") & (F.lower(return_path) != F.lower(address)),
-        "disposable_from": has_any(F.lower(sender), lx.DISPOSABLE_DOMAINS),
+        "disposable_from": mentions(F.lower(sender), lx.DISPOSABLE_DOMAINS),
     }
 
 
@@ -268,18 +269,18 @@ def finish_scores(parts: DataFrame, addresses: DataFrame, ranges: DataFrame) ->
     located = address_rollup(geo_join(addresses, ranges))
     joined = (
         parts.join(located, "message_id", "left")
-        .withColumn("routing_score", _routing_score()).withColumn("suspicious_hops", _evidence_count())
-        .withColumn("sender_score", _sender_score())
+        .withColumns({"routing_score": _routing_score(), "suspicious_hops": _evidence_count(), "sender_score": _sender_score()})
     )
     present = F.col("headers_present")
     total = cap(F.col("authentication_score") * 0.4 + F.col("routing_score") * 0.3
                 + F.col("timestamp_score") * 0.2 + F.col("sender_score") * 0.1)
     return (
-        joined.withColumn("warnings", _warnings())
-        .withColumn("header_score", F.when(present, total).otherwise(F.lit(0.5)))
-        .withColumn("authentication_score", F.when(present, F.col("authentication_score")).otherwise(F.lit(0.5)))
-        .withColumn("routing_score", F.when(present, F.col("routing_score")).otherwise(F.lit(0.5)))
-        .withColumn("suspicious_routing", present & (F.col("suspicious_hops") > 0))
+        joined.withColumns({
+            "warnings": _warnings(),
+            "header_score": F.when(present, total).otherwise(F.lit(0.5)),
+            "authentication_score": F.when(present, F.col("authentication_score")).otherwise(F.lit(0.5)),
+            "routing_score": F.when(present, F.col("routing_score")).otherwise(F.lit(0.5)),
+            "suspicious_routing": present & (F.col("suspicious_hops") > 0)})
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions import links as lk
-from mailquarry.functions.text import add, cap, flags, has, has_any
+from mailquarry.functions.text import add, cap, flags, has, mentions, texts
 from mailquarry.plans.skew import spread_join
 
 STATIC_WEIGHTS = {"length_score": 0.2, "domain_score": 0.4, "path_score": 0.3, "parameter_score": 0.1}
@@ -16,7 +16,8 @@ MALICIOUS_ABOVE = 0.7
 
 def extract_links(emails: DataFrame) -> DataFrame:
     """One row per (mail, url), first-seen order; trailing punctuation removed."""
-    return emails.select("message_id", F.posexplode(link_list()).alias("pos", "url"))
+    # the outer form keeps the optimiser from testing the array, and so extracting it, a second time
+    return emails.select("message_id", F.posexplode_outer(link_list()).alias("pos", "url")).filter("url is not null")
 
 
 def link_list():
@@ -27,23 +28,23 @@ def link_list():
 
 def score_static(links: DataFrame) -> DataFrame:
     """Adds host and the structural scores; a pure row-wise projection."""
-    scored = (
-        links.withColumn("domain", lk.authority(F.col("url")))
-        .withColumn("unparsable", lk.unparsable(F.col("url")))
-        .withColumn("length_score", lk.length_score(F.col("url")))
-        .withColumn("domain_score", lk.domain_score(F.col("url"), F.col("domain")))
-        .withColumn("path_score", lk.path_score(lk.path(F.col("url"))))
-        .withColumn("parameter_score", lk.query_score(lk.query(F.col("url"))))
-    )
+    url, host = F.col("url"), F.col("domain")
+    parts = links.withColumns({"domain": lk.authority(url), "_path": lk.path(url), "_query": lk.query(url)})
+    scored = parts.withColumn("_best", lk.brand_similarity(host)).withColumns({
+        "unparsable": lk.unparsable(host),
+        "length_score": lk.length_score(url),
+        "domain_score": lk.domain_score(url, host, F.col("_best")),
+        "path_score": lk.path_score(F.col("_path")),
+        "parameter_score": F.when(F.col("_query") == "", F.lit(0.0)).otherwise(lk.query_score(F.col("_query"))),
+    })
     return scored.withColumn(
-        "static_score", add([F.col(c) * F.lit(w) for c, w in STATIC_WEIGHTS.items()]))
+        "static_score", add([F.col(c) * F.lit(w) for c, w in STATIC_WEIGHTS.items()])).drop("_path", "_query", "_best")
 
 
 def typosquat_candidates(links: DataFrame) -> DataFrame:
     """Distinct hosts with the closest known domain, its similarity and the resulting score."""
     hosts = links.select(lk.authority(F.col("url")).alias("domain")).distinct()
-    known = F.array(*[F.lit(d) for d in lx.LEGITIMATE_DOMAINS])
-    pairs = hosts.select("domain", F.explode(known).alias("brand"))
+    pairs = hosts.select("domain", F.explode(texts(lx.LEGITIMATE_DOMAINS)).alias("brand"))
     scored = pairs.withColumn("similarity", lk.similarity(
         lk.first_label(F.col("domain")), lk.first_label(F.col("brand"))))
     best = scored.groupBy("domain").agg(
@@ -100,7 +101,7 @@ def _pattern_flags():
     lowered = F.lower("url")
     return flags(
         (has(lowered, "secure") & has(lowered, "update"), "Fake security update URL"),
-        (has_any(lowered, lx.URL_BRANDS) & ~F.col("domain").isin(lx.LEGITIMATE_DOMAINS),
+        (mentions(lowered, lx.URL_BRANDS) & ~F.col("domain").isin(lx.LEGITIMATE_DOMAINS),
          "Brand impersonation URL"),
         (F.col("domain_score") > 0.7, "Suspicious domain structure"),
         (F.size("threat_types") > 2, "Multiple threat indicators"),

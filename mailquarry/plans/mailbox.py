@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
-from mailquarry.functions.text import has_any
+from mailquarry.functions.text import mentions
 from mailquarry.operators import attachments, content, ensemble, features, headers, urls
 from mailquarry.sinks.facts import staged
 
@@ -34,8 +34,9 @@ def score_mailbox(mails: DataFrame, files: DataFrame, url_verdicts: DataFrame, f
     scan = scan_mails(mails, as_of)
     if stage:
         scan = staged(scan, "mail_scan")
-    found = scan.select("message_id", F.explode("links").alias("url"))
-    addresses = scan.select("message_id", F.inline("addresses"))
+    # outer forms: an inner explode makes the optimiser compute the arrays twice
+    found = scan.select("message_id", F.explode_outer("links").alias("url")).filter("url is not null")
+    addresses = scan.select("message_id", F.inline_outer("addresses")).filter("ip is not null")
 
     link_part = urls.score_links(found, url_verdicts).groupBy("message_id").agg(
         *features.url_aggregates(), F.avg("threat_score").alias("url_score"),
@@ -48,7 +49,7 @@ def score_mailbox(mails: DataFrame, files: DataFrame, url_verdicts: DataFrame, f
         F.count(F.lit(1)).alias("attachment_count"),
         F.least(F.avg("threat_score"), F.lit(1.0)).alias("attachment_score"),
         F.count_if("is_malware").alias("malicious_files"),
-        F.count_if(has_any(suffix, lx.FEATURE_SUSPICIOUS_EXTENSIONS)).alias("suspicious_extensions"))
+        F.count_if(mentions(suffix, lx.FEATURE_SUSPICIOUS_EXTENSIONS)).alias("suspicious_extensions"))
 
     own = headers.finish_scores(scan.drop("links", "addresses"), addresses, geo).select(
         *KEPT, *TEXT, "header_score", "spf_result", "dkim_result", "dmarc_result", "sender_country",
