@@ -78,7 +78,7 @@ def filter_audit_trail(spark, sf):
 
 @register("rate_limit_batch", RATE_SQL)
 def rate_limit_batch(spark, sf):
-    decisions, _ = access.rate_limit(requests(spark, sf))
+    decisions = access.rate_limit(requests(spark, sf))
     return plain(decisions.select("request_id", "key", "start", "allowed"))
 
 

@@ -363,11 +363,20 @@ def with_views(dialect: str, body: str, extra: dict[str, str] | None = None) ->
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
+_FILES: dict[str, int] = {}
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    if path not in _FILES:
+        _FILES[path] = len(spark.read.parquet(path).inputFiles())
+    return _FILES[path]
+
+
 def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
     """FROM item of a given table; a text table in fewer files than there are cores is spread out."""
     item = f"parquet.`{sf_dir}/{name}.parquet`"
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(spark.read.parquet(f"{sf_dir}/{name}.parquet").inputFiles()) < cores:
+    if name in TEXT_TABLES and _files(spark, f"{sf_dir}/{name}.parquet") < cores:
         return f"(SELECT /*+ REPARTITION({cores}, {TEXT_TABLES[name]}) */ * FROM {item})"
     return item
 

@@ -54,21 +54,35 @@ def request_class() -> Column:
 
 
 def _walk(window: int):
-    """Starts of the windows over one key's sorted distinct seconds."""
-    def starts(pdf):
+    """Walker over batches of (key, second, carried) sorted by key and second.
+
+    Holds one window start between batches, so a key of any length needs no more memory than a batch.
+    """
+    def starts(batches):
         import numpy as np
         import pandas as pd
 
-        seconds = np.sort(pdf["second"].to_numpy())
-        carried = pdf["carried"].max()
-        out, at = [], 0
-        if carried >= 0:
-            out.append(int(carried))
-            at = int(np.searchsorted(seconds, carried + window))
-        while at < len(seconds):
-            out.append(int(seconds[at]))
-            at = int(np.searchsorted(seconds, seconds[at] + window))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(out), "start": out})
+        key, start = None, -1
+        for pdf in batches:
+            keys = pdf["key"].to_numpy()
+            seconds = pdf["second"].to_numpy()
+            carried = pdf["carried"].to_numpy()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            out_keys, out_starts = [], []
+            for lo, hi in zip(first, np.r_[first[1:], len(keys)] if len(keys) else []):
+                if keys[lo] != key:
+                    key, start = keys[lo], int(carried[lo])
+                    if start >= 0:
+                        out_keys.append(key)
+                        out_starts.append(start)
+                own = seconds[lo:hi]
+                at = 0 if start < 0 else int(np.searchsorted(own, start + window))
+                while at < len(own):
+                    start = int(own[at])
+                    out_keys.append(key)
+                    out_starts.append(start)
+                    at = int(np.searchsorted(own, start + window))
+            yield pd.DataFrame({"key": pd.Series(out_keys, dtype=object), "start": np.array(out_starts, dtype="int64")})
 
     return starts
 
@@ -78,8 +92,8 @@ def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = N
 
     ``events`` has key and second (whole seconds). Each start depends on the one before, so a key
     is walked in order, but only over its distinct seconds: at most 86,400 numbers per day and key
-    whatever the traffic, made unique before the shuffle. ``carry`` (key, start, ...) holds the
-    last window of an earlier run, so a long history is walked a day or an hour at a time.
+    whatever the traffic, made unique before the shuffle, sorted on disk where needed and read in
+    batches. ``carry`` (key, start, ...) holds the last window of an earlier run.
     """
     seconds = events.select("key", "second").distinct()
     if carry is None:
@@ -87,7 +101,8 @@ def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = N
     else:
         last = carry.select("key", F.col("start").alias("carried"))
         marked = seconds.join(last, "key", "left").withColumn("carried", F.coalesce("carried", F.lit(-1).cast("bigint")))
-    return marked.groupBy("key").applyInPandas(_walk(window), "key string, start bigint")
+    ordered = marked.repartition("key").sortWithinPartitions("key", "second")
+    return ordered.mapInPandas(_walk(window), "key string, start bigint")
 
 
 def in_windows(events: DataFrame, starts: DataFrame, window: int) -> DataFrame:
@@ -104,8 +119,8 @@ def in_windows(events: DataFrame, starts: DataFrame, window: int) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, window: int = lx.RATE_WINDOW_SECONDS, limits: dict[str, int] | None = None,
-               carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(decisions, open windows): the first ``limit`` requests of each window are allowed.
+               carry: DataFrame | None = None) -> DataFrame:
+    """Adds ``allowed``: the first ``limit`` requests of each window pass.
 
     Requests need request_id, path, ts and the client columns. The last allowed request of each
     window is found by a ranking that is cut per task before the shuffle; everything up to it in
@@ -132,13 +147,16 @@ def rate_limit(requests: DataFrame, window: int = lx.RATE_WINDOW_SECONDS, limits
         F.max(F.struct("ts", "request_id")).alias("cutoff"), F.max(F.col("rank") + F.col("used")).alias("spent"))
     decided = placed.join(cutoff, ["key", "start"], "left").withColumn(
         "allowed", F.coalesce(F.struct("ts", "request_id") <= F.col("cutoff"), F.lit(False)))
-    decisions = decided.select("request_id", "class", "key", "start", "allowed")
-    newest = decided.groupBy("key").agg(F.max(F.struct(
-        "start", F.coalesce("spent", F.col("used")).cast("bigint").alias("used"))).alias("w")).select("key", "w.start", "w.used")
+    return decided.select("request_id", "class", "key", "start", "allowed",
+                          F.coalesce("spent", F.col("used")).cast("bigint").alias("used"))
+
+
+def open_windows(decided: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """(key, start, used) of the newest window of each key, to carry into the next batch."""
+    newest = decided.groupBy("key").agg(F.max(F.struct("start", "used")).alias("w")).select("key", "w.start", "w.used")
     if carry is not None:
-        idle = carry.select("key", "start", "used").join(newest.select("key"), "key", "left_anti")
-        newest = newest.unionByName(idle)
-    return decisions, newest
+        newest = newest.unionByName(carry.select("key", "start", "used").join(newest.select("key"), "key", "left_anti"))
+    return newest
 
 
 def lookup_cache(lookups: DataFrame, ttl: int = lx.IOC_TTL_SECONDS, carry: DataFrame | None = None) -> DataFrame:

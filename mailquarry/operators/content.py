@@ -249,9 +249,11 @@ def rule_statistics(hits: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(emails: DataFrame, lexicon: DataFrame) -> DataFrame:
+def term_frequencies(emails: DataFrame, lexicon: DataFrame, max_terms: int = 20_000) -> DataFrame:
     """Every lexicon term with the number of mails that contain it."""
-    terms = [r.term for r in lexicon.select("term").distinct().orderBy("term").collect()]
+    terms = [r.term for r in lexicon.select("term").distinct().orderBy("term").limit(max_terms + 1).collect()]
+    if len(terms) > max_terms:
+        raise ValueError(f"lexicon has more than {max_terms} terms")
     texts = emails.select(F.lower(F.concat_ws(" ", "subject", "content")).alias("_lower"))
     found = texts.select(F.explode_outer(matched_terms(F.col("_lower"), terms)).alias("term")).filter("term is not null")
     counts = found.groupBy("term").agg(

@@ -22,14 +22,16 @@ def scan_mails(mails: DataFrame, as_of: Column) -> DataFrame:
 
 
 def score_mailbox(mails: DataFrame, files: DataFrame, url_verdicts: DataFrame, file_verdicts: DataFrame,
-                  geo: DataFrame, predictions: DataFrame, as_of: Column, stage: bool = False) -> DataFrame:
+                  geo: DataFrame, predictions: DataFrame, as_of: Column, stage: bool = False,
+                  hot_urls: DataFrame | None = None, hot_files: DataFrame | None = None) -> DataFrame:
     """Judge every mail.
 
     Bodies, header arrays and file bytes stay in the scan stages; only scores, counts, links and
     addresses are shuffled, always by message id. The scan feeds three branches. Without ``stage``
     each branch reads the columns it needs; with ``stage`` the narrow scan result is written once
     to the shared folder, so a large mailbox is read a single time and a lost executor does not
-    repeat the body scan.
+    repeat the body scan. ``hot_urls`` and ``hot_files`` (see ``hot_keys``; the fact tables of
+    earlier runs know them) spread very common links and files; without them the adaptive join does.
     """
     scan = scan_mails(mails, as_of)
     if stage:
@@ -38,14 +40,14 @@ def score_mailbox(mails: DataFrame, files: DataFrame, url_verdicts: DataFrame, f
     found = scan.select("message_id", F.explode_outer("links").alias("url")).filter("url is not null")
     addresses = scan.select("message_id", F.inline_outer("addresses")).filter("ip is not null")
 
-    link_part = urls.score_links(found, url_verdicts).groupBy("message_id").agg(
+    link_part = urls.score_links(found, url_verdicts, hot_urls).groupBy("message_id").agg(
         *features.url_aggregates(), F.avg("threat_score").alias("url_score"),
         F.count_if("is_malicious").alias("malicious_urls")
     ).select("message_id", "url_count", F.least("url_score", F.lit(1.0)).alias("url_score"),
              "malicious_urls", "suspicious_domains")
 
     suffix = F.lower(F.coalesce("filename", F.lit("")))
-    file_part = attachments.score_files(files, file_verdicts).groupBy("message_id").agg(
+    file_part = attachments.score_files(files, file_verdicts, hot=hot_files).groupBy("message_id").agg(
         F.count(F.lit(1)).alias("attachment_count"),
         F.least(F.avg("threat_score"), F.lit(1.0)).alias("attachment_score"),
         F.count_if("is_malware").alias("malicious_files"),

@@ -15,10 +15,14 @@ def append(df: DataFrame, path: str, time_column: str | None = None) -> None:
     if time_column is None:
         df.write.mode("append").parquet(path)
         return
-    (df.withColumn("day", F.to_date(time_column))
-     # one writer task per day and hash slice: few files, and no day is left to a single task
-     .repartition(F.col("day"), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-     .write.mode("append").partitionBy("day").parquet(path))
+    write_days(df.withColumn("day", F.to_date(time_column)), path, "append")
+
+
+def write_days(df: DataFrame, path: str, mode: str) -> None:
+    """Write day partitions in files of the advisory size: small days are put together in one
+    task and a large day is split over many."""
+    (df.hint("rebalance", F.col("day")).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
 
 
 def new_table_path(spark, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.sinks.facts import new_table_path
+from mailquarry.sinks.facts import new_table_path, write_days
 
 # replaced when a mail is analysed again; sender, recipient, subject and created_at stay
 REPLACED = ["threat_level", "threat_score", "is_phishing", "confidence", "analysis_details"]
@@ -62,9 +62,7 @@ def upsert_table(spark, path: str, incoming: DataFrame) -> None:
     merged = upsert(facts.filter(F.col("day").isin(days)).drop("day"), incoming).withColumn("day", F.to_date("created_at"))
     staging = new_table_path(spark, "upsert")
     merged.write.parquet(staging)
-    (spark.read.parquet(staging)
-     .repartition(F.col("day"), F.pmod(F.xxhash64("email_id"), F.lit(8)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+    write_days(spark.read.parquet(staging), path, "overwrite")
 
 
 def retain(facts: DataFrame, as_of: str, days: int = 90) -> DataFrame:

@@ -20,7 +20,7 @@ from mailquarry.operators import access
 from mailquarry.plans.health import status
 from mailquarry.session import shared_dir
 from mailquarry.sinks import maintenance
-from mailquarry.sinks.facts import append
+from mailquarry.sinks.facts import append, staged
 
 
 def new_base(spark: SparkSession, name: str) -> str:
@@ -137,7 +137,8 @@ def score_stream(mails: DataFrame, score: Callable[[DataFrame], DataFrame], base
     table = f"{base}/email_analyses"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert_or_create(batch.sparkSession, table, score(batch))
+        # scored once and written; the upsert reads the results several times
+        upsert_or_create(batch.sparkSession, table, staged(score(batch), "scored"))
 
     each_batch(mails, base, handle)
     return table
@@ -186,8 +187,10 @@ def rate_limit_stream(requests: DataFrame, base: str) -> DataFrame:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        decisions, newest = access.rate_limit(batch, carry=_carried(session, states, batch_id))
-        decisions.write.mode("overwrite").parquet(f"{base}/rows/{batch_id:08d}")
+        before = _carried(session, states, batch_id)
+        rows = f"{base}/rows/{batch_id:08d}"
+        access.rate_limit(batch, carry=before).write.mode("overwrite").parquet(rows)
+        newest = access.open_windows(session.read.parquet(rows), before)
         newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
 
     each_batch(requests, base, handle)

@@ -38,3 +38,17 @@ def test_reports_prune_columns_and_push_filters(spark, sf):
 def test_link_scoring_keeps_one_row_per_link(spark, sf):
     links = view(spark, sf, "v_urls")
     assert urls.scored_links(spark, sf).count() == links.count()
+
+
+def test_rankings_are_cut_before_the_shuffle(spark, sf):
+    from mailquarry.operators import behaviour
+
+    text = plan(behaviour.top_recipients(view(spark, sf, "v_history")))
+    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+
+
+def test_links_are_extracted_once(spark, sf):
+    from mailquarry.operators import urls as ops
+
+    text = plan(ops.extract_links(view(spark, sf, "v_emails")))
+    assert text.count("regexp_extract_all") == 1

@@ -77,10 +77,10 @@ def test_rate_limit_against_a_walk(spark):
         slot = (key, starts[i])
         allowed[i] = used[slot] < 20
         used[slot] += allowed[i]
-    decisions, open_ = access.rate_limit(request_rows(spark, events), limits={"api": 20})
+    decisions = access.rate_limit(request_rows(spark, events), limits={"api": 20})
     got = {r.request_id: (r.start, r.allowed) for r in decisions.collect()}
     assert got == {i: (starts[i], allowed[i]) for i in starts}
-    last = {r.key: r.used for r in open_.collect()}
+    last = {r.key: r.used for r in access.open_windows(decisions).collect()}
     newest = max(s for (k, s) in used if k == "hot")
     assert last["api:hot"] == used[("hot", newest)]
 
@@ -88,12 +88,25 @@ def test_rate_limit_against_a_walk(spark):
 def test_carried_windows_equal_one_run(spark):
     events = sorted(make_events(), key=lambda e: e[1])
     rows = request_rows(spark, events)
-    whole = {r.request_id: r.allowed for r in access.rate_limit(rows, limits={"api": 20})[0].collect()}
-    first, carry = access.rate_limit(rows.filter("request_id < 400"), limits={"api": 20})
-    second, _ = access.rate_limit(rows.filter("request_id >= 400"), limits={"api": 20}, carry=carry)
+    whole = {r.request_id: r.allowed for r in access.rate_limit(rows, limits={"api": 20}).collect()}
+    first = access.rate_limit(rows.filter("request_id < 400"), limits={"api": 20})
+    carry = access.open_windows(first)
+    second = access.rate_limit(rows.filter("request_id >= 400"), limits={"api": 20}, carry=carry)
     assert {r.request_id: r.allowed for r in first.union(second).collect()} == whole
 
 
+def test_walk_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        events = make_events()
+        df = spark.createDataFrame([(k, s) for k, s in events], "key string, second bigint")
+        got = {(r.key, r.start) for r in access.anchored_windows(df, 3600).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    starts = brute_windows(events, 3600)
+    assert got == {(events[i][0], s) for i, s in starts.items()}
+
+
 @pytest.mark.parametrize("most", [2, 8])
 def test_similar_threats_against_pairs(spark, monkeypatch, most):
     """Also with a low subset limit, so that many mails take the direct way."""
