@@ -109,6 +109,6 @@ def sink_attachment_rows(spark, sf):
     return plain(append_and_read(file_facts(spark, sf), "attachment_analyses", "analyzed_at"))
 
 
-@register("attachment_features", "SELECT * FROM a_features", FILES)
+@register("attachment_features", "SELECT * REPLACE (has_attachments::BIGINT AS has_attachments) FROM a_features", FILES)
 def attachment_features(spark, sf):
     return plain(attachments.attachment_features(files_of(spark, sf)))

@@ -100,7 +100,7 @@ def ml_align_columns(spark, sf):
 
 
 @register("ml_split", """
-    SELECT doc_id, toxic AS label, CASE WHEN p <= round(n * 0.2e0) THEN 'test' WHEN p <= round(n * (0.2e0 + 0.1e0)) THEN 'validation' ELSE 'train' END AS part
+    SELECT doc_id, toxic::BIGINT AS label, CASE WHEN p <= round(n * 0.2e0) THEN 'test' WHEN p <= round(n * (0.2e0 + 0.1e0)) THEN 'validation' ELSE 'train' END AS part
     FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || '-42')) AS p, count(*) OVER (PARTITION BY toxic) AS n FROM labels) x""")
 def ml_split(spark, sf):
     rows = view(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))

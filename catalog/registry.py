@@ -23,6 +23,18 @@ MODULES = [
 ]
 
 
+def plain_counts(sql: str) -> str:
+    """``count_if(x)`` as ``count(CASE WHEN x THEN 1 END)``, which DuckDB types as BIGINT."""
+    mark = "count_if("
+    while (at := sql.find(mark)) >= 0:
+        end, depth = at + len(mark), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len(mark):end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def register(key: str, oracle: str | None = None, ctes: dict[str, str] | None = None):
     """Register a query under ``key``; ``oracle`` may use any derived view by name."""
 
@@ -32,7 +44,7 @@ def register(key: str, oracle: str | None = None, ctes: dict[str, str] | None =
         QUERIES[key] = fn
         if oracle is not None:
             done = oracle.lstrip().startswith("WITH")
-            ORACLES[key] = oracle if done else with_views("duckdb", oracle, ctes)
+            ORACLES[key] = plain_counts(oracle if done else with_views("duckdb", oracle, ctes))
         return fn
 
     return wrap

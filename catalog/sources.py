@@ -88,7 +88,7 @@ def src_notifications(spark, sf):
 
 
 @register("src_training_csv", """
-    SELECT count(*) AS total, is_phishing, sum(urgent_words_count)::DOUBLE AS urgent, sum(spelling_errors)::DOUBLE AS spelling,
+    SELECT count(*) AS total, is_phishing::BIGINT AS is_phishing, sum(urgent_words_count)::DOUBLE AS urgent, sum(spelling_errors)::DOUBLE AS spelling,
            round(sum(url_length), 4) AS url_length
     FROM (SELECT doc_id % 6 AS urgent_words_count, doc_id % 5 AS spelling_errors, n_chars / 10e0 AS url_length, (doc_id % 4 = 0)::INT AS is_phishing FROM documents) x
     GROUP BY is_phishing""")

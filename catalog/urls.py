@@ -52,7 +52,7 @@ def score_urls_static(spark, sf):
 
 
 @register("join_reputation", """
-    SELECT message_id, page_id, url, vendors, round(scan_score, 8) AS scan_score, round(host_score, 8) AS host_score,
+    SELECT message_id, page_id, url, vendors::BIGINT AS vendors, round(scan_score, 8) AS scan_score, round(host_score, 8) AS host_score,
            array_to_string(threat_types, '|') AS threat_types FROM s_urls""", URL_CTES)
 def join_reputation(spark, sf):
     links = view(spark, sf, "v_urls")

@@ -127,6 +127,7 @@ def anomaly_flags(history: DataFrame, as_of: str) -> DataFrame:
     """(sender, flag) rows of established senders."""
     both = _compared(history, as_of).filter(F.col("mails") >= MIN_HISTORY)
     new = F.size(F.array_except("recent_recipients", "recipients"))
+    # fixed flag texts
     return both.select("sender", F.explode(flags(
         (F.col("recent_length") > F.col("avg_length") * 2, "Unusually long emails"),
         (F.col("recent_length") < F.col("avg_length") * 0.5, "Unusually short emails"),

@@ -235,6 +235,7 @@ def sender(mails: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def _warnings() -> Column:
     risky = F.coalesce(F.col("sender_country").isin(lx.HIGH_RISK_COUNTRIES), F.lit(False))
+    # fixed warning texts
     return flags(
         (~F.col("headers_present"), NO_HEADERS),
         (F.col("headers_present") & (F.col("spf_result") == "fail"), "SPF authentication failed"),

@@ -98,6 +98,7 @@ def score_links(links: DataFrame, verdicts: DataFrame, hot: DataFrame | None = N
 
 
 def _pattern_flags():
+    # fixed pattern names
     lowered = F.lower("url")
     return flags(
         (has(lowered, "secure") & has(lowered, "update"), "Fake security update URL"),
