@@ -11,13 +11,14 @@ from datasets.mails import full_mails, geo_ranges
 from datasets.views import view
 from mailquarry.operators import ensemble
 from mailquarry.plans import mailbox
+from mailquarry.plans.skew import hot_keys
 from oracles.ensemble import MAILBOX, MODELS
 
 
-def judged_mails(spark, sf, stage=False):
+def judged_mails(spark, sf, stage=False, hot_urls=None):
     return mailbox.score_mailbox(
         full_mails(spark, sf), files_of(spark, sf), ur.url_verdicts(spark, sf), at.file_verdicts(spark, sf),
-        geo_ranges(spark, sf), view(spark, sf, "v_predictions"), as_of(), stage)
+        geo_ranges(spark, sf), view(spark, sf, "v_predictions"), as_of(), stage, hot_urls)
 
 
 def decided_mails(spark, sf):
@@ -99,6 +100,8 @@ def workflow_threat_types(spark, sf):
            round(header_score, 8) AS header_score, round(threat_score, 8) AS threat_score, is_phishing, threat_level, threat_category,
            array_to_string(threats, '|') AS threats, array_to_string(recommendations, '|') AS recommendations FROM b_threats""", MAILBOX)
 def score_mailbox(spark, sf):
-    return plain(judged_mails(spark, sf).select(
+    # bodies are read once; the heavy URLs come from the narrow link table
+    judged = judged_mails(spark, sf, stage=True, hot_urls=hot_keys(view(spark, sf, "v_urls"), ["url"]))
+    return plain(judged.select(
         "message_id", "sender", "content_score", "url_score", "attachment_score", "header_score", "threat_score",
         "is_phishing", "threat_level", "threat_category", "threats", "recommendations"))
