@@ -59,7 +59,7 @@ def split(rows: DataFrame, key: Column, label: str = "label", seed: int = SEED)
     hashed = rows.withColumn("_hash", F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))))
     placed = position_within(hashed, [label], F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"), [F.asc("_hash")])
     sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    sized = placed.join(F.broadcast(sizes), label)
+    sized = placed.join(sizes, label)
     position, size = F.col("position"), F.col("_size")
     part = (F.when(position <= F.round(size * TEST_SHARE), "test")
             .when(position <= F.round(size * (TEST_SHARE + VALIDATION_SHARE)), "validation").otherwise("train"))

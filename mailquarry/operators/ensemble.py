@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions.text import cap, flags
+from mailquarry.plans.skew import small
 
 COMPONENT_WEIGHTS = {"content_score": 0.25, "url_score": 0.30, "attachment_score": 0.25, "header_score": 0.20}
 RULE_SHARE, MODEL_SHARE = 0.6, 0.4
@@ -132,15 +133,15 @@ def whitelist_table(spark, domains: list[str] | None = None) -> DataFrame:
 
 
 def mark_whitelisted(mails: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Adds ``whitelisted``; the list is a small configuration table."""
-    listed = F.broadcast(whitelist.select(F.col("domain").alias("_domain"), F.lit(True).alias("_listed")).distinct())
+    """Adds ``whitelisted``; the list is broadcast while it is counted small."""
+    listed = small(whitelist.select(F.col("domain").alias("_domain"), F.lit(True).alias("_listed")).distinct())
     return mails.join(listed, sender_domain(F.col("sender")) == F.col("_domain"), "left").withColumn(
         "whitelisted", F.coalesce("_listed", F.lit(False))).drop("_domain", "_listed")
 
 
 def not_whitelisted(mails: DataFrame, whitelist: DataFrame) -> DataFrame:
     """The mails that still need scoring."""
-    listed = F.broadcast(whitelist.select(F.col("domain").alias("_domain")).distinct())
+    listed = small(whitelist.select(F.col("domain").alias("_domain")).distinct())
     return mails.join(listed, sender_domain(F.col("sender")) == F.col("_domain"), "left_anti")
 
 

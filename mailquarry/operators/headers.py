@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions import net
 from mailquarry.functions.text import cap, flags, has, mentions
+from mailquarry.plans.skew import small
 
 NO_HEADERS = "No headers available for analysis"
 _ADDRESS = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+"
@@ -116,8 +117,7 @@ def geo_join(addresses: DataFrame, ranges: DataFrame, max_broadcast: int = 200_0
     cut = ranges.select(
         "country", "start_ip", "end_ip",
         F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))).alias("_block"))
-    if ranges.limit(max_broadcast + 1).count() <= max_broadcast:
-        cut = F.broadcast(cut)
+    cut = small(cut, max_broadcast)
     numbered = addresses.withColumn("_n", net.ip_number(F.col("ip"))).withColumn("_b", F.shiftright("_n", 16))
     matched = numbered.join(
         cut, (F.col("_b") == F.col("_block")) & F.col("_n").between(F.col("start_ip"), F.col("end_ip")), "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions.text import SPACE
+from mailquarry.plans.skew import small
 from mailquarry.sinks.facts import staged
 
 # Fixed texts of alerts and incidents
@@ -35,7 +36,7 @@ def action_rules(spark) -> DataFrame:
 
 def with_actions(judged: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds the ordered action list of the level; null for a level without a rule."""
-    return judged.join(F.broadcast(rules), "threat_level", "left")
+    return judged.join(small(rules, 1000), "threat_level", "left")
 
 
 def response_plan(judged: DataFrame, rules: DataFrame) -> DataFrame:

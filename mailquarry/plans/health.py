@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.plans.reports import since
+from mailquarry.plans.reports import within
 
 STATUS_RANK = {"healthy": 0, "warning": 1, "critical": 2}
 
@@ -18,12 +18,12 @@ def status(critical: Column, warning: Column) -> Column:
 
 def recent(facts: DataFrame, as_of: str) -> DataFrame:
     """Analyses in the last hour."""
-    return facts.filter(since(as_of, "created_at", "1 hour")).agg(F.count(F.lit(1)).alias("recent_analyses"))
+    return within(facts, as_of, "created_at", "1 hour").agg(F.count(F.lit(1)).alias("recent_analyses"))
 
 
 def performance(facts: DataFrame, as_of: str) -> DataFrame:
     """Mean time and error share of the last hour with their status."""
-    measured = facts.filter(since(as_of, "created_at", "1 hour")).agg(
+    measured = within(facts, as_of, "created_at", "1 hour").agg(
         F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("mean_ms"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status") == "error").alias("errors"))
     rate = F.coalesce(F.try_divide(F.col("errors"), F.col("n")) * 100, F.lit(0.0))

@@ -21,6 +21,22 @@ def since(as_of: str, column: str, interval: str, open_start: bool = False) -> C
 
 
 
+def within(facts: DataFrame, as_of: str, column: str, interval: str, open_start: bool = False) -> DataFrame:
+    """Rows of the period. A table partitioned by ``day`` is cut to the days of the period as well,
+    which the optimiser cannot derive from the time column."""
+    found = facts.filter(since(as_of, column, interval, open_start))
+    if "day" not in facts.columns:
+        return found
+    first = F.to_date(F.expr(f"cast('{as_of}' as timestamp_ntz) - interval {interval}"))
+    return found.filter(F.col("day").between(first, F.to_date(F.lit(as_of))))
+
+
+def of_day(facts: DataFrame, day: str) -> DataFrame:
+    """Rows of one calendar day."""
+    found = facts.filter(on_day(day))
+    return found.filter(F.col("day") == F.to_date(F.lit(day))) if "day" in facts.columns else found
+
+
 def is_high() -> Column:
     return F.col("threat_level").isin("HIGH", "CRITICAL")
 
@@ -38,7 +54,7 @@ def _count_level(level: str) -> Column:
 
 def overall(facts: DataFrame, as_of: str) -> DataFrame:
     """Thirty days: totals, phishing, means and counts per confidence level, in one scan."""
-    return facts.filter(since(as_of, "created_at", "30 days", open_start=True)).agg(
+    return within(facts, as_of, "created_at", "30 days", open_start=True).agg(
         F.count(F.lit(1)).alias("total_analyses"), F.count_if("is_phishing").alias("phishing_detected"),
         F.avg("threat_score").alias("avg_threat_score"), F.avg("duration_ms").alias("avg_processing_time"),
         *[F.count_if(F.col("threat_level") == level).alias(f"{level.lower()}_threats")
@@ -46,14 +62,14 @@ def overall(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def link_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
+    return within(facts, as_of, "analyzed_at", "30 days", open_start=True).agg(
         F.count(F.lit(1)).alias("total_urls"), F.count_if("is_malicious").alias("malicious_urls"),
         F.avg("virustotal_score").alias("avg_vt_score"), F.avg("urlvoid_score").alias("avg_uv_score"),
         F.countDistinct("domain").alias("unique_domains"))
 
 
 def attachment_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
+    return within(facts, as_of, "analyzed_at", "30 days", open_start=True).agg(
         F.count(F.lit(1)).alias("total_attachments"), F.count_if("is_malware").alias("malware_count"),
         F.avg("yara_threat_score").alias("avg_yara_score"),
         F.countDistinct(F.when(F.col("malware_family") != "", F.col("malware_family"))).alias("malware_families"),
@@ -61,7 +77,7 @@ def attachment_stats(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def header_stats(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "analyzed_at", "30 days", open_start=True)).agg(
+    return within(facts, as_of, "analyzed_at", "30 days", open_start=True).agg(
         F.count(F.lit(1)).alias("total_analyses"),
         F.count_if(F.col("spf_result") == "pass").alias("spf_pass_count"),
         F.count_if(F.col("dkim_result") == "pass").alias("dkim_pass_count"),
@@ -73,7 +89,7 @@ def header_stats(facts: DataFrame, as_of: str) -> DataFrame:
 
 def system_stats(facts: DataFrame, as_of: str) -> DataFrame:
     """Twenty-four hours: total, per level, quarantined."""
-    return facts.filter(since(as_of, "created_at", "24 hours")).agg(
+    return within(facts, as_of, "created_at", "24 hours").agg(
         F.count(F.lit(1)).alias("total_emails"),
         *[F.count_if(_count_level(level)).alias(f"{level.lower()}_threats") for level in ("HIGH", "MEDIUM", "LOW")],
         F.count_if("is_quarantined").alias("quarantined"))
@@ -86,7 +102,7 @@ def on_day(day: str, column: str = "created_at") -> Column:
 
 
 def daily_summary(facts: DataFrame, day: str) -> DataFrame:
-    return facts.filter(on_day(day)).agg(
+    return of_day(facts, day).agg(
         F.count(F.lit(1)).alias("total_emails"),
         *[F.count_if(_count_level(level)).alias(f"{level.lower()}_threats") for level in ("HIGH", "MEDIUM", "LOW")],
         F.count_if("is_quarantined").alias("quarantined"),
@@ -96,7 +112,7 @@ def daily_summary(facts: DataFrame, day: str) -> DataFrame:
 def top_senders(facts: DataFrame, day: str, n: int = 10) -> DataFrame:
     """Senders with most HIGH or MEDIUM mails of a day."""
     return (
-        facts.filter(on_day(day) & (is_high() | (F.col("threat_level") == "MEDIUM")))
+        of_day(facts, day).filter(is_high() | (F.col("threat_level") == "MEDIUM"))
         .groupBy("sender_email")
         .agg(F.count(F.lit(1)).alias("threat_count"), F.avg("threat_score").alias("avg_score"))
         .orderBy(F.desc("threat_count"), F.desc("avg_score"), "sender_email").limit(n)
@@ -137,7 +153,7 @@ def daily_document(facts: DataFrame, models: DataFrame, day: str) -> DataFrame:
 
 def weekly_by_day(facts: DataFrame, as_of: str) -> DataFrame:
     return (
-        facts.filter(since(as_of, "created_at", "7 days")).groupBy(F.to_date("created_at").alias("date"))
+        within(facts, as_of, "created_at", "7 days").groupBy(F.to_date("created_at").alias("date"))
         .agg(F.count(F.lit(1)).alias("total_emails"), F.count_if(is_high()).alias("high_threats"),
              F.avg("threat_score").alias("avg_score"))
     )
@@ -156,7 +172,7 @@ def threat_trends(facts: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Counts per date and level, zero where a level is missing."""
     level = F.when(is_high(), "HIGH").otherwise(F.col("threat_level"))
     return (
-        facts.filter(since(as_of, "created_at", f"{int(days)} days"))
+        within(facts, as_of, "created_at", f"{int(days)} days")
         .select(F.to_date("created_at").alias("date"), level.alias("level"))
         .groupBy("date").pivot("level", ["HIGH", "MEDIUM", "LOW"]).count().na.fill(0)
     )
@@ -164,7 +180,7 @@ def threat_trends(facts: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 def user_risk(facts: DataFrame, as_of: str) -> DataFrame:
     """Risk profile of every recipient over thirty days."""
-    profile = facts.filter(since(as_of, "created_at", "30 days")).groupBy("recipient_email").agg(
+    profile = within(facts, as_of, "created_at", "30 days").groupBy("recipient_email").agg(
         F.count(F.lit(1)).alias("total_emails"), F.count_if(is_high()).alias("high_threat_emails"),
         F.avg("threat_score").alias("average_threat_score"), F.max("created_at").alias("last_threat_date"))
     return profile.withColumn(
@@ -173,18 +189,18 @@ def user_risk(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def indicator_effect(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "created_at", "30 days")).groupBy("threat_type").agg(
+    return within(facts, as_of, "created_at", "30 days").groupBy("threat_type").agg(
         F.count(F.lit(1)).alias("detections"), F.avg("confidence").alias("avg_confidence"),
         F.sum(F.col("verified_threat").cast("int")).alias("true_positives"))
 
 
 def language_distribution(facts: DataFrame, as_of: str) -> DataFrame:
-    return facts.filter(since(as_of, "created_at", "7 days")).groupBy("lang", "threat_level").agg(
+    return within(facts, as_of, "created_at", "7 days").groupBy("lang", "threat_level").agg(
         F.count(F.lit(1)).alias("count"), F.avg("manipulation_score").alias("avg_manipulation"))
 
 
 def model_latency(predictions: DataFrame, as_of: str) -> DataFrame:
-    return predictions.filter(since(as_of, "created_at", "24 hours")).groupBy("model_name").agg(
+    return within(predictions, as_of, "created_at", "24 hours").groupBy("model_name").agg(
         F.avg("inference_ms").alias("avg_inference_time"),
         F.avg(F.abs(F.col("probability") - 0.5) * 2).alias("avg_confidence"),
         F.count(F.lit(1)).alias("predictions_made"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 HOT_KEYS_AT_MOST = 1000
 
 
+def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """The table with a broadcast hint while it is counted small; as it is beyond that."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = 1_000_000) -> DataFrame:
     """The heaviest key values; at most 1000 rows, so the result may be broadcast.
 

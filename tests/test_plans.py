@@ -52,3 +52,18 @@ def test_links_are_extracted_once(spark, sf):
 
     text = plan(ops.extract_links(view(spark, sf, "v_emails")))
     assert text.count("regexp_extract_all") == 1
+
+
+def test_reports_prune_day_partitions(spark, sf):
+    from mailquarry.sinks.facts import append, new_table_path
+
+    path = new_table_path(spark, "facts")
+    facts = view(spark, sf, "v_analyses")
+    append(facts, path, "created_at")
+    stored = spark.read.parquet(path)
+    weekly = reports.weekly_by_day(stored, AS_OF)
+    assert "PartitionFilters: [isnotnull(day" in plan(weekly)
+    assert sorted(map(str, weekly.collect())) == sorted(map(str, reports.weekly_by_day(facts, AS_OF).collect()))
+    day = reports.daily_summary(stored, "2024-01-20")
+    assert "PartitionFilters: [isnotnull(day" in plan(day)
+    assert day.collect() == reports.daily_summary(facts, "2024-01-20").collect()
