@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog.registry import plain, register
 from datasets.mails import attachments as files_of
-from datasets.mails import full_mails
 from datasets.views import view
 from mailquarry.session import shared_dir
 from mailquarry.sources import mailbox
