@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 WORD = f"[^{SPACE}]+"
-# the part of it that can occur in pure ASCII text; a much faster class to test
+# the part of it that is ASCII; a much faster class to test
 ASCII_SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}"
 SENTENCE_END = "[.!?]+"
 # letters, digits and underscore in any script
@@ -62,23 +62,29 @@ def occurrences(text: Column, piece: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
 
 
-def is_ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
+def plain_spaces(text: Column) -> Column:
+    """True when only ASCII white space can occur, so that the short class is enough.
 
+    Make it a column of its own; the counts below take it as ``plain``.
+    """
+    ascii_only = F.octet_length(text) == F.length(text)
+    # one range that covers all the wider spaces: quick to test, and a false alarm costs only time
+    return ascii_only | ~text.rlike(r"[\x{85}\x{a0}\x{1680}-\x{3000}]")
 
-def count_pattern(text: Column, pattern: str) -> Column:
-    """Matches of a pattern written with SPACE; pure ASCII text takes the faster class."""
-    fast = pattern.replace(SPACE, ASCII_SPACE)
-    return F.when(is_ascii(text), F.regexp_count(text, F.lit(fast))).otherwise(F.regexp_count(text, F.lit(pattern)))
 
+def count_pattern(text: Column, pattern: str, plain: Column) -> Column:
+    """Matches of a pattern written with SPACE."""
+    short = pattern.replace(SPACE, ASCII_SPACE)
+    return F.when(plain, F.regexp_count(text, F.lit(short))).otherwise(F.regexp_count(text, F.lit(pattern)))
 
-def word_count(text: Column) -> Column:
-    return count_pattern(text, WORD)
 
+def word_count(text: Column, plain: Column) -> Column:
+    return count_pattern(text, WORD, plain)
 
-def word_letters(text: Column) -> Column:
+
+def word_letters(text: Column, plain: Column) -> Column:
     """Characters that are not white space."""
-    return F.length(F.when(is_ascii(text), F.regexp_replace(text, f"[{ASCII_SPACE}]+", ""))
+    return F.length(F.when(plain, F.regexp_replace(text, f"[{ASCII_SPACE}]+", ""))
                     .otherwise(F.regexp_replace(text, f"[{SPACE}]+", "")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions import rules as rl
 from mailquarry.functions.text import (
-    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, count_pattern, has_any, matched_terms, occurrences,
+    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, count_pattern, has_any, matched_terms, occurrences, plain_spaces,
     sentence_count, term_hits, word_count, word_letters,
 )
 
@@ -64,16 +64,17 @@ def content_features(emails: DataFrame) -> DataFrame:
 
 def with_content_features(emails: DataFrame, keep: list) -> DataFrame:
     """The columns in ``keep`` and the text features."""
-    mails = split_body(emails).withColumn("_raw", _full_text()).withColumn("_text", F.lower("_raw"))
-    text, html = F.col("_text"), F.col("body_html")
-    words = word_count(text)
+    mails = split_body(emails).withColumn("_raw", _full_text()).withColumn("_text", F.lower("_raw")).withColumn(
+        "_plain", plain_spaces(F.col("_text")))
+    mails = mails.withColumn("_words", word_count(F.col("_text"), F.col("_plain")))
+    text, html, words = F.col("_text"), F.col("body_html"), F.col("_words")
     is_html = html != ""
     return mails.select(
         *keep,
         F.length(text).alias("text_length"),
         words.alias("word_count"),
         sentence_count(text).alias("sentence_count"),
-        F.coalesce(F.try_divide(word_letters(text), words), F.lit(0.0)).alias("avg_word_length"),
+        F.coalesce(F.try_divide(word_letters(text, F.col("_plain")), words), F.lit(0.0)).alias("avg_word_length"),
         term_hits(text, lx.URGENT).alias("urgent_words_count"),
         term_hits(text, lx.SUSPICIOUS).alias("suspicious_words_count"),
         term_hits(text, lx.FINANCIAL).alias("financial_words_count"),
@@ -171,12 +172,12 @@ def scam_level(emails: DataFrame) -> DataFrame:
 
 def style(emails: DataFrame) -> DataFrame:
     """Readability, polarity and sentence figures per mail."""
-    raw, text = F.col("_text"), F.col("_lower")
-    syllables = (F.regexp_count(text, F.lit("[aeiouy]+")) - count_pattern(text, SILENT_E)
-                 + count_pattern(text, NO_VOWEL))
+    raw, text, plain = F.col("_text"), F.col("_lower"), F.col("_plain")
+    syllables = (F.regexp_count(text, F.lit("[aeiouy]+")) - count_pattern(text, SILENT_E, plain)
+                 + count_pattern(text, NO_VOWEL, plain))
     positive, negative = term_hits(text, lx.SENTIMENT_POSITIVE), term_hits(text, lx.SENTIMENT_NEGATIVE)
-    counted = with_lowered(emails).select(
-        "message_id", "sender", "lang", word_count(raw).alias("words"), sentence_count(raw).alias("sentences"),
+    counted = with_lowered(emails).withColumn("_plain", plain_spaces(F.col("_lower"))).select(
+        "message_id", "sender", "lang", word_count(raw, plain).alias("words"), sentence_count(raw).alias("sentences"),
         syllables.alias("syllables"), positive.alias("positive"), negative.alias("negative"),
         F.regexp_count(raw, F.lit(f"(?:^|{SENTENCE_END})[{SPACE}]*\\p{{Ll}}")).alias("lower_starts"))
     score = (F.lit(206.835) - F.lit(1.015) * (F.col("words") / F.col("sentences"))

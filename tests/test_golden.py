@@ -209,6 +209,13 @@ def test_content_edges(spark):
     assert (html.html_tag_count, html.hidden_text, html.grammar_errors) == (3, 1, 1)
 
 
+def test_wide_spaces_part_words(spark):
+    row = content.content_features(mail(spark, "a\u00a0b\u3000c\u2003d e\u0085f")).first()
+    assert (row.word_count, row.avg_word_length) == (6, 1.0)
+    # inside the quickly tested range but no space
+    assert content.content_features(mail(spark, "a\u2026b c")).first().word_count == 2
+
+
 def test_manipulation_language_fallback(spark):
     assert content.manipulation(mail(spark, "urgent bank", lang="de")).first().detected_language == "de"
     assert content.manipulation(mail(spark, "urgent bank", lang="xx")).first().detected_language == "en"
