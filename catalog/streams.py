@@ -113,7 +113,7 @@ def stream_late_data(spark, sf):
     path = land(rows, "late", [~fifth & (F.col("n") % 2 == 0), fifth])
     base = jobs.new_base(spark, "split")
     kept, late = jobs.split_late(jobs.read_landing(spark, path, rows.schema, 1), base)
-    counts = [spark.read.schema(rows.schema).parquet(f"{p}/*").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("kind"), "rows")
+    counts = [spark.read.schema(rows.schema).parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("kind"), "rows")
               for k, p in (("kept", kept), ("late", late))]
     return counts[0].unionByName(counts[1])
 

@@ -60,12 +60,12 @@ def drain_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     base = new_base(spark, name)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/rows/{batch_id:08d}")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
 
     each_batch(stream, base, handle, "update")
     others = [c for c in stream.columns if c not in keys]
-    rows = spark.read.parquet(f"{base}/rows/*")
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("s")).select(*keys, "s.*")
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(*keys, "s.*")
 
 
 # ------------------------------------------------------------------ windowed aggregates
@@ -159,8 +159,8 @@ def split_late(facts: DataFrame, base: str, lateness: str = "1 hour") -> tuple[s
             mark = spark.read.parquet(f"{marks}/{batch_id - 1:08d}").first()[0]
             limit = F.lit(mark) - F.expr(f"interval {lateness}")
         is_late = F.col("created_at") < limit
-        batch.filter(~is_late).write.mode("overwrite").parquet(f"{kept}/{batch_id:08d}")
-        batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/{batch_id:08d}")
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         newest = batch.agg(F.max("created_at").alias("mark"))
         if batch_id > 0:
             newest = newest.union(spark.read.parquet(f"{marks}/{batch_id - 1:08d}")).agg(F.max("mark").alias("mark"))
@@ -188,13 +188,13 @@ def rate_limit_stream(requests: DataFrame, base: str) -> DataFrame:
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = _carried(session, states, batch_id)
-        rows = f"{base}/rows/{batch_id:08d}"
+        rows = f"{base}/rows/batch={batch_id}"
         access.rate_limit(batch, carry=before).write.mode("overwrite").parquet(rows)
         newest = access.open_windows(session.read.parquet(rows), before)
         newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
 
     each_batch(requests, base, handle)
-    return spark.read.parquet(f"{base}/rows/*")
+    return spark.read.parquet(f"{base}/rows").drop("batch")
 
 
 def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SECONDS) -> DataFrame:
@@ -205,7 +205,7 @@ def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SEC
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = _carried(session, states, batch_id)
-        rows = f"{base}/rows/{batch_id:08d}"
+        rows = f"{base}/rows/batch={batch_id}"
         access.lookup_cache(batch, ttl, before).write.mode("overwrite").parquet(rows)
         newest = session.read.parquet(rows).groupBy("key").agg(F.max("start").alias("start"))
         if before is not None:
@@ -213,7 +213,7 @@ def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SEC
         newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
 
     each_batch(lookups, base, handle)
-    return spark.read.parquet(f"{base}/rows/*")
+    return spark.read.parquet(f"{base}/rows").drop("batch")
 
 
 def as_instant(column: str) -> Column:
