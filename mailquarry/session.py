@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -29,16 +27,15 @@ def local_session(cpus: str = "8", memory: str = "8g", name: str = "mailquarry")
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a new temporary folder is made and given to the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, it lies in
+    the warehouse of the session, which Spark resolves through the Hadoop file system and all
+    executors share; never in a folder of one machine's own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailquarry-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
         made = spark.sparkContext.getCheckpointDir()
     return made
