@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import language
+from mailquarry.llm import language, lines
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template another document had first."""
+    return lines.dedup_lines(documents_of(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op1_line_templates"] = lines.oracle()
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents whose fold of 4 isn't 2."""
