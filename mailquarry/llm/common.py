@@ -75,3 +75,26 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     keys *= np.uint64(0xBF58476D1CE4E5B9)
     keys ^= keys >> np.uint64(32)
     return keys
+
+
+#: Bits of a hash filter: 2**24 bits are at most 2**18 words, 4 MB, however many keys it has taken.
+FILTER_BITS = 24
+
+
+def _slot(key: Column, bits: int) -> tuple[Column, Column, Column]:
+    slot = key.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return F.shiftright(slot, 6).cast("int"), F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def hash_filter(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """A bit for each hash, in words of 64: at most ``2**bits / 64`` rows, so it may be broadcast."""
+    word, one, at = _slot(key, bits)
+    return keys.select(word.alias("_word"), F.call_function("shiftleft", one, at).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def perhaps_in(rows: DataFrame, key: Column, filled: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose hash may be among the keys of the filter: all that are, and few others while the
+    filter is not full. An exact join follows; this only keeps other rows out of its shuffle."""
+    word, one, at = _slot(key, bits)
+    hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, at)) != 0)
+    return rows.join(F.broadcast(filled), hit, "left_semi")

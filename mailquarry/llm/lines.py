@@ -2,21 +2,23 @@
 
 A line is cut at white space into tokens; a token with a digit is a variable field. The tree has a
 fixed depth: the first level is the token count, the next ``LEADING`` levels are the leading tokens.
-In a leaf, a token is constant at its position if lines of at least ``max(MIN_DOCS, CONSTANT_SHARE *
-lines)`` documents of the leaf have it there, else variable too. A line's template is its constant
-tokens, with ``<*>`` for the others; it counts where at least ``SIMILARITY`` of its tokens are
-constant. A template recurs if at least ``MIN_DOCS`` documents have lines of it, exact repeats of a
-line always share one. Lines of a recurring template are dropped from all documents but the first
-one (smallest doc_id), which keeps them, so that no content is lost. Lines of fewer than ``MIN_TOKENS``
-tokens are left alone.
-
-Everything is grouping and joins on (leaf, position, token) and on lines, which reduce before they
-shuffle, so a line that a third of all documents share is one row for each task.
+In a leaf, a token is constant at its position if at least ``max(2, CONSTANT_SHARE * lines)`` of the
+leaf's distinct lines have it there, else variable too. A line's template is its constant tokens,
+with ``<*>`` for the others; it counts where at least ``SIMILARITY`` of its tokens are constant. A
+template recurs if lines of it stand in more than one document; exact repeats of a line always share
+one. Lines of a recurring template are dropped from all documents but the first one (smallest
+doc_id), which keeps them, so that no content is lost. Lines of fewer than ``MIN_TOKENS`` tokens are
+left alone.
+
+One pass over the texts writes hashes of leaf and line. Grouping them (which reduces before the
+shuffle, so a line that a third of all documents share is one row for each task) finds repeats and
+the leaves with several lines; only the lines of those leaves are read again, cut into tokens and
+counted by (leaf, position, token).
 
 Cases: a null text has no lines and stays null; a text that loses all its lines becomes empty. Rows with
-the same doc_id count as one document when the first one is chosen; if all rows of a template have
-a null doc_id, the one whose text has the smallest hash keeps the lines, and so do its exact
-repeats. Extra columns pass through; ``n_lines`` and ``n_dropped`` replace columns of that name.
+the same doc_id count as one document; so do rows without doc_id that have the same text, and
+among several of those the smallest text hash is the first. Extra columns pass through; ``n_lines`` and
+``n_dropped`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -24,102 +26,113 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import same_row
+from mailquarry.llm.common import hash_filter, perhaps_in, same_row
 from mailquarry.sinks.facts import staged
 
 LEADING = 3
 MIN_TOKENS = 5
-MIN_DOCS = 2
 SIMILARITY = 0.8
 CONSTANT_SHARE = 0.1
 FIELD = "<*>"
 #: White space is collapsed first; then tokens with a digit become fields. The look-behind keeps the
 #: search linear.
 SPACES, WITH_DIGIT = r"[ \t\r\f\x0B]+", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+ODD_SPACES, DIGIT = r"  |[\t\r\f\x0B]", "[0-9]"
 LAST_ID = 2**63 - 1
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and fields for tokens with a digit."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACES, " ")), WITH_DIGIT, FIELD)
+def masked_lines(text: Column) -> Column:
+    """The lines with single spaces and fields for tokens with a digit.
+
+    Texts without a digit or without unusual white space skip that replacement, which changes nothing there.
+    """
+    lines = F.split(text, "\n")
+    spaced = F.when(text.rlike(ODD_SPACES), F.transform(lines, lambda x: F.regexp_replace(x, SPACES, " "))).otherwise(lines)
+    trimmed = F.transform(spaced, F.trim)
+    return F.when(text.rlike(DIGIT), F.transform(trimmed, lambda x: F.regexp_replace(x, WITH_DIGIT, FIELD))).otherwise(trimmed)
 
 
 def token_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Adds both halves of a 96-bit key of the masked line."""
-    return rows.withColumns({"key": F.xxhash64("line"), "key2": F.hash("line")})
+def lines_of(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
+    """(doc_id, hash, at, line, leaf, key) of all lines with enough tokens."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(masked_lines(F.col("text"))).alias("at", "line"))
+    rows = rows.withColumn("tokens", token_count(F.col("line"))).where(F.col("tokens") >= min_tokens)
+    return rows.select("doc_id", "hash", "at", "line", F.xxhash64("tokens", F.substring_index("line", " ", leading)).alias("leaf"), F.xxhash64("line").alias("key"))
+
 
+def _document() -> tuple[Column, Column]:
+    """What tells documents apart: the id, and the text hash of those without one."""
+    return F.coalesce("doc_id", F.lit(LAST_ID)), F.when(F.col("doc_id").isNull(), F.col("hash"))
 
-def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, hash, at, line) of all lines with enough tokens."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return rows.select("doc_id", "hash", "at", masked(F.col("raw")).alias("line")).where(token_count(F.col("line")) >= min_tokens)
 
+def _span() -> list[Column]:
+    """Of a group: its first and last document."""
+    return [F.min("owner").alias("owner"), F.min("owner_hash").alias("owner_hash"), F.max("last").alias("last"), F.max("last_hash").alias("last_hash")]
 
-def _owner() -> list[Column]:
-    """The first document: by id, or by hash where there is no id."""
-    return [
-        F.min(F.coalesce("owner", F.lit(LAST_ID))).alias("owner"),
-        F.min("owner_hash").alias("owner_hash"),
-    ]
 
+def _several() -> Column:
+    """Whether a group has more than one document."""
+    return (F.col("owner") != F.col("last")) | F.coalesce(F.col("owner_hash") != F.col("last_hash"), F.lit(False))
 
-def line_counts(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(line, docs, owner, owner_hash) of each distinct masked line; docs is the rows that have it."""
-    every = F.array_distinct(F.transform(F.split("text", "\n"), masked))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.explode(every).alias("line"))
-    rows = rows.where(token_count(F.col("line")) >= min_tokens)
-    rows = rows.select("line", F.col("doc_id").alias("owner"), F.when(F.col("doc_id").isNull(), F.col("hash")).alias("owner_hash"))
-    return rows.groupBy("line").agg(F.count("*").alias("docs"), *_owner())
 
+def _owner_key(owner: Column, owner_hash: Column) -> Column:
+    return F.xxhash64(owner, F.coalesce(owner_hash, F.lit(0).cast("long")))
 
-def recurring(counts: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+
+def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY,
               constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """(key, key2, owner, owner_hash) of the masked lines whose template recurs."""
-    counts = _keyed(counts.withColumn("leaf", F.xxhash64(token_count(F.col("line")), F.substring_index("line", " ", leading))))
-    leaves = counts.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("docs").alias("leaf_docs")).where("variants > 1")
-    many = counts.join(leaves, "leaf").select(
-        "leaf", "key", "key2", "docs", "owner", "owner_hash", "leaf_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    many = many.withColumn("token", F.xxhash64("token"))
-    support = many.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-    constant = F.col("support") >= F.greatest(F.lit(min_docs), F.ceil(F.col("leaf_docs") * constant_share))
-    templates = many.join(support, ["leaf", "at", "token"]).groupBy("leaf", "key", "key2").agg(
-        F.min("docs").alias("docs"), F.min("owner").alias("owner"), F.min("owner_hash").alias("owner_hash"),
-        F.count("*").alias("tokens"), F.count_if(constant).alias("constants"),
-        F.bit_xor(F.when(constant, F.xxhash64("at", "token"))).alias("shape"),
-        F.bit_xor(F.when(constant, F.xxhash64("token", "at"))).alias("shape2"))
-    templates = templates.where(F.col("constants") >= F.ceil(F.col("tokens") * similarity))
+    """(leaf, key, owner, owner_hash) of the lines whose template recurs."""
+    owner, owner_hash = _document()
+    counts = staged(lines.select("leaf", "key", owner.alias("owner"), owner_hash.alias("owner_hash")).groupBy("leaf", "key").agg(
+        F.min("owner").alias("owner"), F.min("owner_hash").alias("owner_hash"), F.max("owner").alias("last"), F.max("owner_hash").alias("last_hash")), "llm-lines")
+    leaves = counts.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1")
+    mixed = staged(counts.join(leaves, "leaf"), "llm-leaves")
+    # their texts are read again from the document that has each line first
+    wanted = mixed.select(_owner_key(F.col("owner"), F.col("owner_hash")).alias("k")).unionAll(mixed.select("key"))
+    wanted = staged(hash_filter(wanted, F.col("k")), "llm-filter")
+    held = docs.withColumn("hash", F.xxhash64("text"))
+    held = perhaps_in(held, _owner_key(*_document()), wanted).select("doc_id", "text")
+    texts = perhaps_in(lines_of(held, leading, min_tokens).select("leaf", "key", "line"), F.col("key"), wanted).distinct()
+    cells = texts.join(mixed, ["leaf", "key"]).select(
+        "leaf", "key", "variants", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    cells = cells.select("leaf", "key", "variants", F.xxhash64("leaf", "at", "token").alias("cell"))
+    support = cells.groupBy("cell").agg(F.count("*").alias("support")).where("support > 1")
+    constant = F.col("support") >= F.ceil(F.col("variants") * constant_share)
+    shapes = cells.join(support, "cell").where(constant).groupBy("leaf", "key").agg(
+        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.bit_xor(F.xxhash64("cell")).alias("shape2"))
+    sizes = texts.select("leaf", "key", token_count(F.col("line")).alias("tokens"))
+    templates = mixed.join(sizes, ["leaf", "key"]).join(shapes, ["leaf", "key"]).where(F.col("constants") >= F.ceil(F.col("tokens") * similarity))
+    templates = staged(templates.select("leaf", "key", "shape", "shape2", "owner", "owner_hash", "last", "last_hash"), "llm-templates")
     shape = ["leaf", "shape", "shape2"]
-    groups = templates.groupBy(*shape).agg(F.sum("docs").alias("docs"), *_owner()).where(F.col("docs") >= min_docs)
-    general = templates.select(*shape, "key", "key2").join(groups, shape).select("key", "key2", "owner", "owner_hash")
-    exact = counts.where(F.col("docs") >= min_docs).select("key", "key2", "owner", "owner_hash")
-    return exact.unionByName(general).groupBy("key", "key2").agg(*_owner())
-
+    groups = templates.groupBy(*shape).agg(*_span()).where(_several())
+    general = templates.select(*shape, "key").join(groups, shape)
+    found = ["leaf", "key", "owner", "owner_hash"]
+    both = counts.where(_several()).select(found).unionByName(general.select(found))
+    return both.groupBy("leaf", "key").agg(F.min("owner").alias("owner"), F.min("owner_hash").alias("owner_hash"))
 
-def dedup_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, **settings) -> DataFrame:
-    """Every row of ``docs`` with its text without dropped lines, n_lines and n_dropped.
 
-    Documents pass one shuffle, and only those with a line to drop meet more than a key there.
-    """
+def dedup_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, **settings) -> DataFrame:
+    """Every row of ``docs`` with its text without dropped lines, n_lines and n_dropped."""
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    templates = recurring(staged(line_counts(narrow, min_tokens), "llm-lines"), **settings)
-    found = _keyed(lines_of(narrow, min_tokens)).drop("line").join(templates, ["key", "key2"])
-    keeps = F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col("owner")
-    keeps = keeps & (F.col("doc_id").isNotNull() | (F.col("hash") == F.col("owner_hash")))
-    drops = found.where(~keeps).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("drops"))
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("drops").alias("_drops"))
+    lines = staged(lines_of(narrow, leading, min_tokens).drop("line"), "llm-line-keys")
+    # a written table, so that the join reads both sides straight from a shuffle and can split a hot line
+    templates = staged(recurring(narrow, lines, leading, min_tokens, **settings), "llm-recurring")
+    first, first_hash = _document()
+    first = (first == F.col("owner")) & (F.col("doc_id").isNotNull() | (first_hash == F.col("owner_hash")))
+    drops = lines.join(templates, ["leaf", "key"]).where(~F.coalesce(first, F.lit(False))).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("_drops"))
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "_drops")
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*cols, F.xxhash64(F.col("text").cast("string")).alias("_text_hash"))
     rows = rows.join(drops, same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, at: ~F.array_contains("_drops", at)), "\n")
+    own = F.split("text", "\n")
+    kept = F.array_join(F.filter(own, lambda _, at: ~F.array_contains("_drops", at)), "\n")
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)
     return rows.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in cols],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias("n_dropped"))
 
 
@@ -132,26 +145,26 @@ WITH lines AS (
 masked AS (SELECT doc_id, pos, l, {mask} AS line FROM lines),
 long_lines AS (SELECT *, string_split(line, ' ') AS tokens FROM masked WHERE len(string_split(line, ' ')) >= {MIN_TOKENS}),
 counts AS (
-  SELECT line, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS docs, min(doc_id) AS owner,
+  SELECT line, any_value(tokens) AS tokens, max(doc_id) AS last, min(doc_id) AS owner,
          concat_ws(' ', len(any_value(tokens)), array_to_string(any_value(tokens)[1:{LEADING}], ' ')) AS leaf
   FROM long_lines GROUP BY line),
-leaves AS (SELECT leaf, sum(docs) AS leaf_docs FROM counts GROUP BY leaf HAVING count(*) > 1),
+leaves AS (SELECT leaf, count(*) AS variants FROM counts GROUP BY leaf HAVING count(*) > 1),
 exploded AS (
-  SELECT leaf, line, docs, owner, leaf_docs, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos
+  SELECT leaf, line, last, owner, variants, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos
   FROM counts JOIN leaves USING (leaf)),
-support AS (SELECT leaf, pos, token, sum(docs) AS support FROM exploded GROUP BY leaf, pos, token),
+support AS (SELECT leaf, pos, token, count(*) AS support FROM exploded GROUP BY leaf, pos, token),
 judged AS (
-  SELECT *, support >= greatest({MIN_DOCS}, ceil(leaf_docs * CAST({CONSTANT_SHARE} AS DOUBLE))) AS constant
+  SELECT *, support >= greatest(2, ceil(variants * CAST({CONSTANT_SHARE} AS DOUBLE))) AS constant
   FROM exploded JOIN support USING (leaf, pos, token)),
 templates AS (
-  SELECT leaf, line, min(docs) AS docs, min(owner) AS owner,
+  SELECT leaf, line, max(last) AS last, min(owner) AS owner,
          string_agg(CASE WHEN constant THEN token ELSE '{FIELD}{FIELD}' END, ' ' ORDER BY pos) AS template
   FROM judged GROUP BY leaf, line HAVING count(*) FILTER (constant) >= ceil(count(*) * CAST({SIMILARITY} AS DOUBLE))),
 groups AS (
-  SELECT leaf, template, min(owner) AS owner FROM templates GROUP BY leaf, template HAVING sum(docs) >= {MIN_DOCS}),
+  SELECT leaf, template, min(owner) AS owner FROM templates GROUP BY leaf, template HAVING min(owner) <> max(last)),
 owners AS (
   SELECT line, min(owner) AS owner FROM (
-    SELECT line, owner FROM counts WHERE docs >= {MIN_DOCS}
+    SELECT line, owner FROM counts WHERE owner <> last
     UNION ALL SELECT line, groups.owner FROM templates JOIN groups USING (leaf, template)) GROUP BY line),
 drops AS (SELECT doc_id, pos FROM long_lines JOIN owners USING (line) WHERE doc_id <> owner),
 left_over AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import language, lines
+from mailquarry.llm import language, lines, simhash
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -37,3 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learned(docs, ~held_out)
     found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_print(found["fingerprint"]).alias("fingerprint"), "component_id")
