@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import language, lines, simhash
+from mailquarry.llm import language, lines, packing, simhash
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -16,6 +16,13 @@ def query(fn):
     return fn
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,3 +51,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print(found["fingerprint"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every id of every document lies in the packed sequences."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
