@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import language, lines, packing, simhash
+from mailquarry.llm import language, lines, packing, records, simhash
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -57,3 +57,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every id of every document lies in the packed sequences."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+@query
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the written files of records give it back."""
+    folder = records.new_folder(spark)
+    shards = records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return records.placed(spark, folder, shards)
