@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import language, lines, packing, records, simhash
+from mailquarry.llm import decontaminate, language, lines, packing, records, simhash
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -65,3 +65,18 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.new_folder(spark)
     shards = records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
     return records.placed(spark, folder, shards)
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document holds passages of the benchmark, of how many items, and the largest overlap."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", "item_id", "overlap")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
