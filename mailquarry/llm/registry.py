@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, language, lines, packing, records, simhash
+from mailquarry.llm import decontaminate, language, lines, packing, quality_rules, records, simhash, toxicity
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -80,3 +81,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels whose fold of 3 isn't 1."""
+    docs = documents_of(table(spark, sf_dir, "documents"))
+    held_out = crc_fold("doc_id", 3) == 1
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    found = toxicity.scored(docs.withColumn("held_out", held_out), model, "held_out")
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules, and the rules whose cutoffs the labels bear out."""
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
