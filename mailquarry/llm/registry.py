@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, language, lines, packing, quality_rules, records, simhash, toxicity
+from mailquarry.llm import decontaminate, language, licenses, lines, packing, quality_rules, records, simhash, site_quality, toxicity
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -98,3 +98,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, the base rules, and the rules whose cutoffs the labels bear out."""
     found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license notices of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_licenses"] = licenses.oracle()
+
+
+@query
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, and its language there the path."""
+    found = site_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", "host", "path", "p", "host_rate", "path_rate", "posterior", "kept")
