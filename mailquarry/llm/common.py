@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
+#: Rows that Spark hands to Python at once. Rows here are whole documents, of which the default number
+#: would take a worker's memory several times.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -26,6 +29,15 @@ def crc_fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds
 
 
+def in_arrow(rows: DataFrame, run, schema) -> DataFrame:
+    """``rows.mapInArrow`` in batches of at most ``BATCH_ROWS``, which becomes the session's setting unless it is lower."""
+    spark = rows.sparkSession
+    now = int(spark.conf.get(BATCH_SETTING, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only doc_id, text (as string) and the named columns, so that others can have any name."""
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
@@ -46,6 +58,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = TEXT_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers live on and share their machine's memory
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from mailquarry.llm.common import documents_of, hash_filter, list_offsets, mixed, perhaps_in, same_row, slices, texts_of
+from mailquarry.llm.common import documents_of, hash_filter, in_arrow, list_offsets, mixed, perhaps_in, same_row, slices, texts_of
 from mailquarry.sinks.facts import staged
 
 MASKS = ("110100111", "11000101011", "101000011011", "101000100111")
@@ -85,7 +85,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
                     [part.column("item_id"), pa.array([x.astype(np.int64) for x in lists], pa.list_(pa.int64()))], names=["item_id", "tokens"])
 
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"item_id {dict(rows.dtypes)['item_id']}, tokens array<long>").where(F.size("tokens") > 0)
+    rows = in_arrow(rows, run, f"item_id {dict(rows.dtypes)['item_id']}, tokens array<long>").where(F.size("tokens") > 0)
     return rows.groupBy(F.xxhash64("tokens").alias("item"), "tokens").agg(F.min("item_id").alias("item_id"))
 
 
@@ -100,7 +100,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                     rows += [(h, item, at, len(own)) for at, h in enumerate(window_hashes(own, mask).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["hash", "item", "at", "size"])
 
-    return items.select("item", "tokens").mapInArrow(run, "hash long, item long, at long, size long").distinct()
+    return in_arrow(items.select("item", "tokens"), run, "hash long, item long, at long, size long").distinct()
 
 
 def _hits(docs: DataFrame, masks: tuple[str, ...], filled: DataFrame, bits: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _hits(docs: DataFrame, masks: tuple[str, ...], filled: DataFrame, bits: int)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(hashes), pa.array(at)], names=["doc_id", "text_hash", "hash", "at"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, hash long, at long")
+    return in_arrow(docs, run, f"doc_id {kind}, text_hash long, hash long, at long")
 
 
 def _stretches(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def _stretches(rows: DataFrame) -> DataFrame:
             [part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(skipped, pa.int64()), pa.array(stretch, pa.list_(pa.int64()))],
             names=["doc_id", "text_hash", "item", "first", "skipped", "stretch"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, item long, first long, skipped long, stretch array<long>")
+    return in_arrow(rows, run, f"doc_id {kind}, text_hash long, item long, first long, skipped long, stretch array<long>")
 
 
 def overlap(stretch: np.ndarray, tokens: np.ndarray, skipped: int) -> tuple[int, int, int]:
@@ -191,7 +191,7 @@ def _verified(rows: DataFrame) -> DataFrame:
                 [batch.column(c).take(place) for c in ("doc_id", "text_hash", "item_id")] + [pa.array(x, pa.int64()) for x in numbers],
                 names=["doc_id", "text_hash", "item_id", "start", "overlap", "equal"])
 
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, start long, overlap long, equal long")
+    return in_arrow(rows, run, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, start long, overlap long, equal long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24) -> DataFrame:
@@ -211,7 +211,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 24) -> Da
     held = held.dropDuplicates(["doc_id", "text_hash"])
     lays = lays.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lays")
     held = held.join(lays, same_row(F.col("doc_id"), F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", "lays")
-    return _verified(_stretches(held).join(items, "item"))
+    # written, so that no task runs two Python workers at once
+    return _verified(staged(_stretches(held), "llm-stretches").join(items, "item"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailquarry.llm.common import crc_fold, list_offsets, mixed, slices, sums_by_row, texts_of, with_fields
+from mailquarry.llm.common import crc_fold, in_arrow, list_offsets, mixed, slices, sums_by_row, texts_of, with_fields
 from mailquarry.sinks.facts import staged
 
 ORDER = 4
@@ -137,7 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ngram_counts(learning: DataFrame) -> DataFrame:
     """(lang, gram, n) of all rows (lang, text); rows without a language are left out."""
     rows = learning.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_arrow(rows, _count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _rarest_first(counts: DataFrame, most: int) -> DataFrame:
@@ -290,7 +290,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 new = judged(sent.value, texts_of(part))
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def calibrated(model: Model, labelled: DataFrame, false_rejection: float = FALSE_REJECTION) -> Model:
@@ -314,7 +314,7 @@ def calibrated(model: Model, labelled: DataFrame, false_rejection: float = FALSE
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(entropy[use, code]), pa.array(chars[use])], names=["code", "entropy", "chars"])
 
     rows = labelled.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored = staged(rows.mapInArrow(run, "code long, entropy double, chars long"), "llm-calibration")
+    scored = staged(in_arrow(rows, run, "code long, entropy double, chars long"), "llm-calibration")
     mean, spread = F.sum(F.col("entropy") * F.col("chars")) / F.sum("chars"), F.least("chars", F.lit(CERTAIN_CHARS))
     first = scored.groupBy("code").agg(mean.alias("mean")).collect()
     size = len(model.languages)

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import documents_of, slices, texts_of
+from mailquarry.llm.common import documents_of, in_arrow, slices, texts_of
 from mailquarry.llm.tokens import encoder
 
 CAPACITY = 4096
 GROUP_BYTES = 2 << 20
 MOST_PADDING = 64
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 class FirstFit:
@@ -113,7 +113,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
                     names=["doc_id", "text_hash", "start", "doc_tokens", "ids"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, start long, doc_tokens long, ids binary")
+    return in_arrow(rows, run, f"doc_id {kind}, text_hash long, start long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, most_padding: int = MOST_PADDING) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import slices, texts_of
+from mailquarry.llm.common import in_arrow, slices, texts_of
 from mailquarry.sinks.facts import staged
 
 SPACES, SYMBOLS, CAPITALS, CRIES = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), b"!?"
@@ -80,7 +80,7 @@ def measured(docs: DataFrame, *more: str) -> DataFrame:
                 found = np.array([counts_of(x) for x in texts_of(part).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(found[:, i]) for i in range(len(COUNTS))], names=[*kept, *COUNTS])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"{c} long" for c in COUNTS]))
+    return in_arrow(rows, run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"{c} long" for c in COUNTS]))
 
 
 def measures() -> dict[str, Column]:

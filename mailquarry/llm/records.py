@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import documents_of, slices, texts_of
+from mailquarry.llm.common import documents_of, in_arrow, slices, texts_of
 from mailquarry.llm.tokens import encoder
 from mailquarry.sinks.facts import new_table_path, staged
 
 #: Text bytes for a file; its ids take about two thirds of that.
 SHARD_BYTES = 16 << 20
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 MASK = 0xA282EAD8
 HEAD, SUM = struct.Struct("<Q"), struct.Struct("<I")
 HAS_ID, WIDE = 1, 2
@@ -124,7 +124,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int
         _moved(store, f"{own}.data", f"{name}.records")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [len(offsets) - 1], "ids": [n_ids], "bytes": [offsets[-1]]})
 
-    return staged(ordered.mapInArrow(run, "shard long, records long, ids long, bytes long"), "llm-shards")
+    return staged(in_arrow(ordered, run, "shard long, records long, ids long, bytes long"), "llm-shards")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +149,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                             names=["shard", "nth", "before", "doc_id", "ids"])
                         found = []
 
-    return files.mapInArrow(run, "shard long, nth long, before long, doc_id long, ids binary")
+    return in_arrow(files, run, "shard long, nth long, before long, doc_id long, ids binary")
 
 
 def read_at(folder: str, shard: int, nth: int) -> tuple[int | None, np.ndarray]:

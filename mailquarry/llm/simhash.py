@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from mailquarry.llm.common import documents_of, same_row, slices, texts_of, with_fields
+from mailquarry.llm.common import documents_of, in_arrow, same_row, slices, texts_of, with_fields
 from mailquarry.llm.components import components
 from mailquarry.sinks.facts import staged
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Hashes whose bits are counted at once, 64 bytes each.
-BLOCK = 1 << 17
+BLOCK, SLICE_BYTES = 1 << 17, 1 << 20
 MOST_IN_KEY = 64
 #: First bit and size of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -72,11 +72,11 @@ def with_fingerprint(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 new = pa.array(fingerprints(texts_of(part).to_pylist()).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([new if n == column else part.column(n) for n in schema.names], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def _keyed(prints: DataFrame, keys) -> DataFrame:
             rows, key = keys(own.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[rows])], names=["key", "fp"])
 
-    return prints.select("fp").mapInArrow(run, "key long, fp long")
+    return in_arrow(prints.select("fp"), run, "key long, fp long")
 
 
 def links(prints: DataFrame, most_in_key: int = MOST_IN_KEY) -> DataFrame:

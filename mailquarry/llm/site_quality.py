@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import same_row
+from mailquarry.llm.common import in_arrow, same_row
 from mailquarry.llm.quality_rules import COUNTS, measured
 from mailquarry.llm.toxicity import logistic
 from mailquarry.sinks.facts import staged
@@ -97,7 +97,7 @@ def with_probability(rows: DataFrame, model: Classifier) -> DataFrame:
             counts = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(probabilities(sent.value, counts))], names=[*kept, "p"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", p double")
+    return in_arrow(rows, run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", p double")
 
 
 def prior_strength(sites: DataFrame, mean: Column) -> float:

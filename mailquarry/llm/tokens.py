@@ -31,7 +31,7 @@ WORD_PIECES = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L
 #: A space that doesn't start a chunk, and those that do.
 LOOSE_SPACE, CHUNK_START = r" (\s|$)", re.compile(r"(?= \S)")
 #: Chunks or pieces that are kept at most; beyond, the next batch starts anew.
-MOST_KEPT = 1_500_000
+MOST_KEPT = 400_000
 
 
 class Pool:
@@ -39,7 +39,7 @@ class Pool:
 
     def __init__(self):
         self.strings, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=np.uint32)
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def places(self, strings: pa.Array, encode) -> np.ndarray:
         """Places of distinct strings; ``encode`` gives (sizes, ids) of those that aren't here yet."""
@@ -48,10 +48,11 @@ class Pool:
         if len(new):
             sizes, ids = encode(new.to_pylist())
             self.starts = np.concatenate((self.starts, len(self.ids) + np.concatenate(([0], np.cumsum(sizes)[:-1]))))
-            self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+            self.sizes, self.ids = np.concatenate((self.sizes, sizes.astype(np.int32))), np.concatenate((self.ids, ids))
             fresh = pc.add(pc.cumulative_sum(pc.cast(pc.is_null(place), pa.int32())), pa.scalar(len(self.strings) - 1, pa.int32()))
             place = pc.coalesce(place, fresh)
             self.strings = pa.concat_arrays([self.strings, new])
+            pa.default_memory_pool().release_unused()
         return place.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

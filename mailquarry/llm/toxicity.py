@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import list_offsets, mixed, slices, texts_of
+from mailquarry.llm.common import in_arrow, list_offsets, mixed, slices, texts_of
 
 BUCKETS, SIZE, SEGMENT = 1 << 17, 8, 6
 GRAMS = (3, 4, 5, 6)
@@ -228,4 +228,4 @@ def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
                     score = np.full(part.num_rows, model.share)
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [pa.array(score)], names=[*kept, "score"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["score double"]))
+    return in_arrow(rows, run, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["score double"]))
