@@ -31,7 +31,7 @@ WORD_PIECES = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L
 #: A space that doesn't start a chunk, and those that do.
 LOOSE_SPACE, CHUNK_START = r" (\s|$)", re.compile(r"(?= \S)")
 #: Chunks or pieces that are kept at most; beyond, the next batch starts anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 
 
 class Pool:
