@@ -359,31 +359,14 @@ def with_views(dialect: str, body: str, extra: dict[str, str] | None = None) ->
     return f"WITH {ctes}\n{body}"
 
 
-# text tables whose rows are costly to process, and the key to spread them by
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
-_FILES: dict[str, int] = {}
-
-
-def _files(spark: SparkSession, path: str) -> int:
-    if path not in _FILES:
-        _FILES[path] = len(spark.read.parquet(path).inputFiles())
-    return _FILES[path]
-
-
-def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """FROM item of a given table; a text table in fewer files than there are cores is spread out."""
-    item = f"parquet.`{sf_dir}/{name}.parquet`"
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and _files(spark, f"{sf_dir}/{name}.parquet") < cores:
-        return f"(SELECT /*+ REPARTITION({cores}, {TEXT_TABLES[name]}) */ * FROM {item})"
-    return item
+def _source(sf_dir: str, name: str) -> str:
+    """FROM item of a given table."""
+    return f"parquet.`{sf_dir}/{name}.parquet`"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
-    return spark.sql(f"SELECT * FROM {_source(spark, sf_dir, name)}")
+    return spark.sql(f"SELECT * FROM {_source(sf_dir, name)}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -393,6 +376,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = with_views("spark", f"SELECT * FROM {name}")
     used = _needed(text, TABLES)
     for t in used:
-        item = _source(spark, sf_dir, t)
+        item = _source(sf_dir, t)
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", lambda m: f"{m.group(1)} {item}", text)
     return spark.sql(text)

@@ -151,7 +151,6 @@ EXPECTED_MIME = {
     ".tar.gz": "application/x-tar",
     ".tar.bz2": "application/x-tar",
 }
-MAX_SCAN_BYTES = 50 * 1024 * 1024
 LARGE_FILE_BYTES = 100 * 1024 * 1024
 FEATURE_LARGE_BYTES = 10 * 1024 * 1024
 

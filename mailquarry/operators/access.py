@@ -95,7 +95,7 @@ def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = N
     whatever the traffic, made unique before the shuffle, sorted on disk where needed and read in
     batches. ``carry`` (key, start, ...) holds the last window of an earlier run.
     """
-    seconds = events.select("key", "second").distinct()
+    seconds = events.select("key", "second").filter("second IS NOT NULL").distinct()
     if carry is None:
         marked = seconds.withColumn("carried", F.lit(-1).cast("bigint"))
     else:
@@ -105,8 +105,17 @@ def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = N
     return ordered.mapInPandas(_walk(window), "key string, start bigint")
 
 
+def from_carried(events: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Moves events that came late, before the window carried for their key, to that window's start."""
+    if carry is None:
+        return events
+    last = carry.select("key", F.col("start").alias("_from"))
+    return events.join(last, "key", "left").withColumn(
+        "second", F.when(F.col("second").isNotNull(), F.greatest("second", F.coalesce("_from", "second")))).drop("_from")
+
+
 def in_windows(events: DataFrame, starts: DataFrame, window: int) -> DataFrame:
-    """Adds the start of the window each event falls in.
+    """Adds the start of the window each event falls in; null for an event without a time.
 
     A window touches at most two slots of its own length, so this is an equi join on
     (key, slot) that spreads a busy key over its slots.
@@ -115,12 +124,14 @@ def in_windows(events: DataFrame, starts: DataFrame, window: int) -> DataFrame:
         F.floor(F.col("start") / window), F.floor(F.col("start") / window) + 1)).alias("slot"))
     placed = events.withColumn("slot", F.floor(F.col("second") / window))
     inside = (F.col("second") >= F.col("start")) & (F.col("second") < F.col("start") + window)
-    return placed.join(slots, ["key", "slot"]).filter(inside).drop("slot")
+    timed = placed.filter("second IS NOT NULL").join(slots, ["key", "slot"]).filter(inside).drop("slot")
+    return timed.unionByName(events.filter("second IS NULL").withColumn("start", F.lit(None).cast("bigint")))
 
 
 def rate_limit(requests: DataFrame, window: int = lx.RATE_WINDOW_SECONDS, limits: dict[str, int] | None = None,
                carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``allowed``: the first ``limit`` requests of each window pass.
+    """Adds ``allowed``: the first ``limit`` requests of each window pass. A request without a time
+    comes back undecided (null); one from before the carried window counts in that window.
 
     Requests need request_id, path, ts and the client columns. The last allowed request of each
     window is found by a ranking that is cut per task before the shuffle; everything up to it in
@@ -131,6 +142,7 @@ def rate_limit(requests: DataFrame, window: int = lx.RATE_WINDOW_SECONDS, limits
     events = named.select(
         "request_id", "class", "ts", F.concat_ws(":", "class", "ip").alias("key"),
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second"))
+    events = from_carried(events, carry)
     starts = anchored_windows(events, window, carry)
     placed = in_windows(events, starts, window)
     if carry is None:
@@ -141,19 +153,19 @@ def rate_limit(requests: DataFrame, window: int = lx.RATE_WINDOW_SECONDS, limits
     allowance = F.lit(0)
     for name, n in limits.items():
         allowance = F.when(F.col("class") == name, F.lit(n)).otherwise(allowance)
-    ranked = top_per_key(placed, ["key", "start"], [F.asc("ts"), F.asc("request_id")], max(limits.values()))
+    ranked = top_per_key(placed.filter("start IS NOT NULL"), ["key", "start"], [F.asc("ts"), F.asc("request_id")], max(limits.values()))
     admitted = ranked.filter(F.col("rank") + F.col("used") <= allowance)
     cutoff = admitted.groupBy("key", "start").agg(
         F.max(F.struct("ts", "request_id")).alias("cutoff"), F.max(F.col("rank") + F.col("used")).alias("spent"))
     decided = placed.join(cutoff, ["key", "start"], "left").withColumn(
-        "allowed", F.coalesce(F.struct("ts", "request_id") <= F.col("cutoff"), F.lit(False)))
+        "allowed", F.when(F.col("start").isNotNull(), F.coalesce(F.struct("ts", "request_id") <= F.col("cutoff"), F.lit(False))))
     return decided.select("request_id", "class", "key", "start", "allowed",
                           F.coalesce("spent", F.col("used")).cast("bigint").alias("used"))
 
 
 def open_windows(decided: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """(key, start, used) of the newest window of each key, to carry into the next batch."""
-    newest = decided.groupBy("key").agg(F.max(F.struct("start", "used")).alias("w")).select("key", "w.start", "w.used")
+    newest = decided.filter("start IS NOT NULL").groupBy("key").agg(F.max(F.struct("start", "used")).alias("w")).select("key", "w.start", "w.used")
     if carry is not None:
         newest = newest.unionByName(carry.select("key", "start", "used").join(newest.select("key"), "key", "left_anti"))
     return newest
@@ -161,12 +173,13 @@ def open_windows(decided: DataFrame, carry: DataFrame | None = None) -> DataFram
 
 def lookup_cache(lookups: DataFrame, ttl: int = lx.IOC_TTL_SECONDS, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``refreshed`` to (lookup_id, key, ts): the first lookup after expiry asks the sources,
-    the others are served from the cache."""
-    events = lookups.withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    the others are served from the cache. A lookup without a time comes back undecided (null)."""
+    events = from_carried(lookups.withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp"))), carry)
     placed = in_windows(events, anchored_windows(events, ttl, carry), ttl)
     # the opening lookup is the lowest (ts, id) of its window; windows carried in were opened before
-    first = placed.groupBy("key", "start").agg(F.min(F.struct("ts", "lookup_id")).alias("first"))
+    first = placed.filter("start IS NOT NULL").groupBy("key", "start").agg(F.min(F.struct("ts", "lookup_id")).alias("first"))
     if carry is not None:
         first = first.join(carry.select("key", "start"), ["key", "start"], "left_anti")
     return placed.join(first, ["key", "start"], "left").select(
-        "lookup_id", "key", "start", F.coalesce(F.struct("ts", "lookup_id") == F.col("first"), F.lit(False)).alias("refreshed"))
+        "lookup_id", "key", "start",
+        F.when(F.col("start").isNotNull(), F.coalesce(F.struct("ts", "lookup_id") == F.col("first"), F.lit(False))).alias("refreshed"))

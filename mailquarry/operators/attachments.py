@@ -64,14 +64,13 @@ def guess_mime(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
-    """Hash and rule matches of each file; files above the scan limit or without data get none.
+    """Hash and rule matches of each file; files without data get none.
 
     Bytes are read as Latin-1, one character per byte, so any file can be searched for ASCII.
     """
     decoded = files.withColumn("_data", F.try_to_binary("file_data", F.lit("base64")))
     scanned = decoded.withColumn("_bytes", F.when(F.length("_data") > 0, F.col("_data"))).drop("_data")
-    scannable = F.col("_bytes").isNotNull() & (F.length("_bytes") <= lx.MAX_SCAN_BYTES)
-    text = F.when(scannable, F.decode("_bytes", "ISO-8859-1")).otherwise(F.lit(""))
+    text = F.when(F.col("_bytes").isNotNull(), F.decode("_bytes", "ISO-8859-1")).otherwise(F.lit(""))
     return (
         scanned.withColumn("file_hash", F.sha2("_bytes", 256))
         .withColumn("_text", text).withColumn("_lower", F.lower("_text"))

@@ -115,7 +115,7 @@ def indicators(mails: DataFrame, bad_links: DataFrame) -> DataFrame:
                     F.concat(F.lit("sender_domain:"), F.get(F.split("sender", "@"), F.lit(1))))
     own = mails.select("message_id", F.explode(F.array_compact(F.concat(
         F.array(domain),
-        F.transform(F.slice(words, 1, 3), lambda w: F.concat(F.lit("subject_keyword:"), w))))).alias("indicator"))
+        F.coalesce(F.transform(F.slice(words, 1, 3), lambda w: F.concat(F.lit("subject_keyword:"), w)), F.array().cast("array<string>"))))).alias("indicator"))
     links = bad_links.select("message_id", F.concat(F.lit("url:"), "url").alias("indicator"))
     return own.unionByName(links).distinct()
 

@@ -66,9 +66,9 @@ def upsert_table(spark, path: str, incoming: DataFrame) -> None:
 
 
 def retain(facts: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """Rows newer than the cutoff or in quarantine."""
+    """Rows that aren't both older than the cutoff and out of quarantine; a null time or flag keeps a row."""
     cutoff = F.expr(f"cast('{as_of}' as timestamp_ntz) - interval {int(days)} days")
-    return facts.filter((F.col("created_at") >= cutoff) | F.col("is_quarantined"))
+    return facts.filter(~F.coalesce((F.col("created_at") < cutoff) & ~F.col("is_quarantined"), F.lit(False)))
 
 
 def retain_metrics(metrics: DataFrame, as_of: str, days: int = 90) -> DataFrame:

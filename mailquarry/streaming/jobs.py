@@ -120,7 +120,9 @@ def upsert_or_create(spark: SparkSession, path: str, results: DataFrame) -> None
     """Apply results to the fact table, creating it with the first batch."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         empty = spark.createDataFrame([], results.schema).select(
             "email_id", *maintenance.KEPT, *maintenance.REPLACED, F.lit(False).alias("is_quarantined"),
             F.col("received_at").alias("created_at"), F.col("received_at").alias("updated_at"))
@@ -157,8 +159,10 @@ def split_late(facts: DataFrame, base: str, lateness: str = "1 hour") -> tuple[s
         limit = F.lit("1000-01-01 00:00:00").cast("timestamp")
         if batch_id > 0:
             mark = spark.read.parquet(f"{marks}/{batch_id - 1:08d}").first()[0]
-            limit = F.lit(mark) - F.expr(f"interval {lateness}")
-        is_late = F.col("created_at") < limit
+            if mark is not None:
+                limit = F.lit(mark) - F.expr(f"interval {lateness}")
+        # a row without a time isn't late
+        is_late = F.coalesce(F.col("created_at") < limit, F.lit(False))
         batch.filter(~is_late).write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
         batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         newest = batch.agg(F.max("created_at").alias("mark"))

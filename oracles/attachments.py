@@ -26,7 +26,7 @@ FILES = {
         FROM a_ext""",
     "a_static": f"""SELECT *, extension_score * 0.4e0 + size_score * 0.1e0 + mime_score * 0.3e0 + name_score * 0.2e0 AS static_score FROM (
         SELECT *, CASE WHEN {isin('mime_type', lx.SUSPICIOUS_MIME_TYPES)} THEN 0.8e0 WHEN expected_mime <> mime_type THEN 0.6e0 ELSE 0e0 END AS mime_score FROM a_scores) x""",
-    "a_rules": rule_rows("(SELECT * FROM v_attachments WHERE data IS NOT NULL AND octet_length(encode(data)) <= 52428800) z", "p_partkey", "data"),
+    "a_rules": rule_rows("(SELECT * FROM v_attachments WHERE data IS NOT NULL) z", "p_partkey", "data"),
     "a_matched": "SELECT p_partkey, max(score) AS rule_score, string_agg(rule_name, '|' ORDER BY rule_pos) AS rules FROM a_rules GROUP BY p_partkey",
     "a_vendor": scan_verdicts("v_file_reports", "file_hash"),
     "a_joined": """SELECT s.*, sha256(data) AS file_hash, coalesce(m.rule_score, 0e0) AS rule_score, coalesce(m.rules, '') AS rules,

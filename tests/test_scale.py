@@ -16,7 +16,7 @@ def test_spread_join_equals_plain_join(spark):
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "key string, value int")
     hot = skew.hot_keys(left, ["key"], min_rows=100)
     assert [r.key for r in hot.collect()] == ["hot"]
-    got = skew.spread_join(left, right, ["key"], hot, salts=5)
+    got = skew.spread_join(left, right, ["key"], hot)
     want = left.join(right, "key", "left")
     assert sorted(map(str, got.select("id", "key", "value").collect())) == sorted(map(str, want.select("id", "key", "value").collect()))
 
