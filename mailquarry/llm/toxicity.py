@@ -11,8 +11,7 @@ Training takes at most ``MOST_SAMPLED`` labelled texts of each class, the first
 are scored whole. After training a bucket is one number, its embedding times the softmax weights, so the
 model sent to executors has a fixed size.
 
-Cases: a null text, an empty text or one without a letter or digit has no evidence and gets a score below all
-others. Repeated rows are answered as often as they occur. A document with several labels is toxic if one of them
+Cases: a null text, an empty text or one without a letter or digit has no evidence and gets score 0. Repeated rows are answered as often as they occur. A document with several labels is toxic if one of them
 says so; null labels say nothing. If a class has no label, every score is the share of toxic labels (0 without labels).
 Extra columns are not read.
 """
@@ -222,8 +221,9 @@ def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
                 if any(model.fit):
                     best, count = evidence(model.margin, model.bias, texts_of(part))
                     a, b, c = model.fit
-                    z = a * np.where(np.isfinite(best), best, -1e3) + b * np.log(np.maximum(count, 1)) + c
-                    score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    real = np.isfinite(best)
+                    z = a * np.where(real, best, 0.0) + b * np.log(np.maximum(count, 1)) + c
+                    score = np.where(real, 1 / (1 + np.exp(-np.clip(z, -700, 700))), 0.0)
                 else:
                     score = np.full(part.num_rows, model.share)
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [pa.array(score)], names=[*kept, "score"])
