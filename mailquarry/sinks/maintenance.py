@@ -34,13 +34,17 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     joined = current.join(new, F.col("email_id") == F.col("_id"), "full_outer")
     hit = F.col("_id").isNotNull()
     known = F.col("email_id").isNotNull()
+    # the result that made the row, delivered again
+    same = (F.col("times") == 1) & F.col("created_at").eqNullSafe(F.col("first_at"))
+    for c in REPLACED:
+        same = same & F.col(c).eqNullSafe(F.col(f"last.{c}"))
     columns = [F.coalesce("email_id", "_id").alias("email_id")]
     columns += [F.when(known, F.col(c)).otherwise(F.col(f"first.{c}")).alias(c) for c in KEPT]
     columns += [F.when(hit, F.col(f"last.{c}")).otherwise(F.col(c)).alias(c) for c in REPLACED]
     columns += [
         F.when(hit, quarantined(F.col("last.threat_level"))).otherwise(F.col("is_quarantined")).alias("is_quarantined"),
         F.when(known, F.col("created_at")).otherwise(F.col("first_at")).alias("created_at"),
-        F.when(hit & (known | (F.col("times") > 1)), F.col("last_at")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(hit & ((known & ~same) | (F.col("times") > 1)), F.col("last_at")).otherwise(F.col("updated_at")).alias("updated_at"),
     ]
     return joined.select(columns)
 

@@ -309,7 +309,7 @@ def test_upsert(spark):
         return (key, seq, f"s{seq}", "r2", "sub2", level, 0.1, False, 0.8, f"new{seq}", now + dt.timedelta(minutes=seq))
 
     incoming = spark.createDataFrame(
-        [result("a", 1, "CRITICAL"), result("a", 2, "LOW"), result("b", 1, "CRITICAL"), result("b", 2, "HIGH")],
+        [result("a", 1, "CRITICAL"), result("a", 2, "LOW"), result("b", 1, "CRITICAL"), result("b", 2, "HIGH"), result("c", 3, "LOW")],
         "email_id string, seq int, sender_email string, recipient_email string, subject string, threat_level string, threat_score double, "
         "is_phishing boolean, confidence double, analysis_details string, received_at timestamp_ntz")
     rows = {r.email_id: r for r in maintenance.upsert(current, incoming).collect()}
@@ -317,4 +317,6 @@ def test_upsert(spark):
     assert rows["a"].created_at == dt.datetime(2024, 1, 1) and rows["a"].updated_at == now + dt.timedelta(minutes=2)
     assert rows["b"].sender_email == "s1" and rows["b"].is_quarantined is True and rows["b"].analysis_details == "new2"
     again = {r.email_id: r for r in maintenance.upsert(maintenance.upsert(current, incoming), incoming).collect()}
-    assert again["a"] == rows["a"]
+    assert again == rows and rows["c"].updated_at is None
+    changed = incoming.where("email_id = 'c'").withColumn("threat_level", F.lit("HIGH"))
+    assert maintenance.upsert(maintenance.upsert(current, incoming), changed).where("email_id = 'c'").first().updated_at == now + dt.timedelta(minutes=3)
