@@ -45,16 +45,18 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR, LENGTH, CHECK_BITS = 0b110001110101, 23, 11
 
 
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of a text; fewer words than ``size`` are one shingle, no words none."""
+    words = text.encode().lower().split()  # bytes: ASCII letters and white space only
+    n = max(len(words) - size + 1, min(len(words), 1))
+    shingles = zip(*(words[i:] for i in range(min(size, len(words)))), strict=False)
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64, count=n)
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """SimHash of each text, as unsigned 64-bit integers."""
-    hashes, sizes = [], np.zeros(len(texts), dtype=np.int64)
-    for at, text in enumerate(texts):
-        words = text.encode().lower().split()  # bytes: ASCII letters and white space only
-        n = max(len(words) - SHINGLE + 1, min(len(words), 1))
-        sizes[at] = n
-        if n:
-            shingles = zip(*(words[i:] for i in range(min(SHINGLE, len(words)))), strict=False)
-            hashes.append(np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64, count=n))
+    hashes = [shingle_hashes(text) for text in texts]
+    sizes = np.array([len(x) for x in hashes], dtype=np.int64)
     every = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     ones = np.zeros((len(texts), 64), dtype=np.int64)
@@ -174,7 +176,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     least = near_duplicates(docs).groupBy("root", rank.alias("rank")).agg(F.count("*").alias("copies"))
     least = least.groupBy("root").agg(F.min(F.struct("rank", "copies")).alias("first"))
-    least = staged(least.select(F.col("first.rank.doc_id").alias("_id"), F.col("first.rank.text_hash").alias("_hash"), F.col("first.copies").alias("_copies")), "llm-firsts")
+    return named_rows(docs, least.select(F.col("first.rank.doc_id").alias("_id"), F.col("first.rank.text_hash").alias("_hash"), F.col("first.copies").alias("_copies")))
+
+
+def named_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the ids and text hashes (_id, _hash, _copies) of ``named``, once each; all columns are kept."""
+    least = staged(named, "llm-firsts")
     rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(least.select("_id", "_hash"), same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     if least.where("_copies > 1").limit(1).count():  # the first one is a repeated row
