@@ -30,9 +30,6 @@ from mailquarry.llm.common import crc_fold, in_arrow, list_offsets, mixed, slice
 from mailquarry.sinks.facts import staged
 
 ORDER = 4
-#: n-grams that a model holds at most, over all languages; the rarest n-grams go first. It bounds
-#: what is sent to the driver and to the executors (about 60 bytes an n-gram and 4 a language).
-MAX_NGRAMS = 2_000_000
 #: Share of calibration texts of a language that may be rejected, and slack on top of their limit.
 FALSE_REJECTION, SLACK = 1e-4, 2.0
 #: Characters beyond which a longer text doesn't make the mean more certain.
@@ -140,18 +137,6 @@ def ngram_counts(learning: DataFrame) -> DataFrame:
     return in_arrow(rows, _count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _rarest_first(counts: DataFrame, most: int) -> DataFrame:
-    """The n-grams over the smallest count that leaves at most ``most`` of them."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).limit(most).collect()
-    total, least = 0, 1
-    for row in sizes:
-        total += row["grams"]
-        if total > most:
-            least = row["n"] + 1
-            break
-    return counts.where(F.col("n") >= least)
-
-
 def smooth(languages: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> Model:
     """Interpolated Kneser-Ney models of all languages from their n-grams of the highest order.
 
@@ -204,10 +189,10 @@ def smooth(languages: list[str], lang: np.ndarray, codes: np.ndarray, counts: np
     return model
 
 
-def fitted(learning: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """The model of rows (lang, text). Counts cover every row."""
+def fitted(learning: DataFrame) -> Model:
+    """The model of rows (lang, text), of every language and every n-gram; it takes about 60 bytes an n-gram and 4 a language."""
     counts = staged(ngram_counts(learning), "llm-ngrams")
-    rows = _rarest_first(counts, max_ngrams).toArrow()
+    rows = counts.toArrow()
     if rows.num_rows == 0:
         return Model()
     coded = rows.column("lang").combine_chunks().dictionary_encode()
