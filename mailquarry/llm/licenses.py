@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a text, a notice is one of ``NOTICES``; both are sets of words. A notice stands in a block if the
-block has at least ``THRESHOLD`` of its words. Only words of notices matter, so a block is its words among
+A block is a line of a text or a run of neighbouring lines, as wrapped notices stand in; no line of a run is without words.
+A notice is one of ``NOTICES``; both are sets of words. The lines of a run between its first and its last one must
+not have more words than the notice, divided by ``THRESHOLD``. A notice stands in a block if the block has at least ``THRESHOLD`` of its words. Only words of notices matter, so a block is its words among
 those. The words are ordered by how many blocks have them, rare ones first, over all blocks. Of a notice of n words of
 which k are needed, one of the first n - k + 1 must be in the block (prefix filter); the block must have k
 words of notices at all (length filter); and from the first common word on, both must have enough words left to reach
@@ -61,8 +62,49 @@ def lowered(text: Column) -> Column:
 def notices_table(spark, notices=NOTICES) -> DataFrame:
     """(notice, label, words) with distinct words."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(notices)], "notice int, label string, text string")
-    words = F.filter(F.array_distinct(F.split(F.regexp_replace(lowered(F.col("text")), GAP, " "), " ")), lambda w: w != "")
-    return rows.select("notice", "label", words.alias("words"))
+    words = F.filter(F.split(F.regexp_replace(lowered(F.col("text")), GAP, " "), " "), lambda w: w != "")
+    return rows.select("notice", "label", F.array_distinct(words).alias("words"), F.size(words).alias("length"))
+
+
+def blocks_of(plain: Column, vocabulary: Column, least: int, most_inside: int) -> Column:
+    """Array of (inside, words): the words of ``vocabulary`` in each line and in the runs of lines that start there and have at most
+    ``most_inside`` words between their first and last line; inside is the number of these. Only blocks with ``least`` words."""
+    def measured(line: Column) -> Column:
+        bare = F.trim(line)
+        count = F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(F.array_intersect(F.split(line, " "), vocabulary).alias("words"), count.cast("int").alias("n"))
+
+    def block(inside: Column, words: Column) -> Column:
+        return F.struct(inside.cast("int").alias("inside"), words.alias("words"))
+
+    def state(open_: Column, inside: Column, last: Column, words: Column, found: Column) -> Column:
+        return F.struct(open_.alias("open"), inside.cast("int").alias("inside"), last.cast("int").alias("last"), words.alias("words"), found.alias("found"))
+
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def longer(now: Column, line: Column) -> Column:
+        def with_words(words: Column) -> Column:
+            inside = now["inside"] + now["last"]
+            new = (F.size(words) >= least) & (F.size(words) > F.size(now["words"]))  # without a new word the shorter run has all
+            found = F.when(new, F.concat(now["found"], F.array(block(inside, words)))).otherwise(now["found"])
+            return state(F.lit(True), inside, line["n"], words, found)
+
+        fits = now["open"] & (line["n"] > 0) & (now["inside"] + now["last"] <= most_inside)
+        closed = state(F.lit(False), now["inside"], now["last"], now["words"], now["found"])
+        return F.when(fits, bound(F.array_union(now["words"], line["words"]), with_words)).otherwise(closed)
+
+    def runs(lines: Column) -> Column:
+        def from_line(own: Column, at: Column) -> Column:
+            first = F.when(F.size(own["words"]) >= least, F.array(block(F.lit(0), own["words"]))).otherwise(none)
+            start = state(own["n"] > 0, F.lit(0), F.lit(0), own["words"], first)
+            return F.aggregate(F.slice(lines, at + 2, F.lit(most_inside + 2)), start, longer, lambda end: end["found"])
+
+        return F.flatten(F.transform(lines, from_line))
+
+    none = F.array().cast("array<struct<inside:int,words:array<string>>>")
+    return bound(F.transform(F.split(plain, "\n"), measured), runs)
 
 
 def matches(blocks: DataFrame, notices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,19 +159,21 @@ def scanned(docs: DataFrame, notices: DataFrame | None = None, threshold: float
     base = F.filter(F.array(*[F.when(x[0] > 0, F.lit(label)) for label, x in found.items()]), lambda x: x.isNotNull())
     n_words = F.when(F.trim("spaced") == "", F.lit(0)).otherwise((F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit("")))) / 2)
     known = notices.select(F.explode("words").alias("w")).agg(F.collect_set("w").alias("words")).first()["words"]  # of the notices only
+    length = F.col("length") if "length" in notices.columns else F.size("words")
+    limits = notices.select("notice", F.floor(length / F.lit(threshold) + 1e-9).cast("int").alias("most"))
     least = notices.agg(F.min(F.ceil(F.size("words") * F.lit(threshold) - 1e-9))).first()[0] or 1
+    most_inside = limits.agg(F.max("most")).first()[0] or 0
     vocabulary = F.lit(sorted(known)) if known else F.array().cast("array<string>")
-    blocks = F.filter(
-        F.transform(F.split("plain", "\n"), lambda x: F.array_intersect(F.split(x, " "), vocabulary)),
-        lambda x: F.size(x) >= least)
+    blocks = blocks_of(F.col("plain"), vocabulary, least, most_inside)
     rows = rows.select(
         "doc_id", "text_hash", n_words.cast("long").alias("n_words"), n_base.alias("n_base"),
         F.least(*[x[1] for x in found.values()]).alias("first_word"), F.greatest(*[x[2] for x in found.values()]).alias("last_word"),
         base.alias("base"), blocks.alias("blocks"))
     rows = staged(rows, "llm-blocks")
-    each = rows.select("doc_id", "text_hash", F.posexplode("blocks").alias("at", "words"))
-    each = each.select(F.struct("doc_id", "text_hash", "at").alias("block"), "words")
-    hits = matches(each, notices, threshold).groupBy(F.col("block.doc_id").alias("_id"), F.col("block.text_hash").alias("_hash")).agg(
+    each = rows.select("doc_id", "text_hash", F.posexplode("blocks").alias("at", "run"))
+    each = each.select(F.struct("doc_id", "text_hash", "at", "run.inside").alias("block"), "run.words")
+    found_in = matches(each, notices, threshold).join(F.broadcast(limits), "notice").where(F.col("block.inside") <= F.col("most"))
+    hits = found_in.groupBy(F.col("block.doc_id").alias("_id"), F.col("block.text_hash").alias("_hash")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     hits = staged(hits, "llm-licenses")
     rows = rows.drop("blocks").join(hits, same_row(F.col("doc_id"), F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
