@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +112,50 @@ def perhaps_in(rows: DataFrame, key: Column, filled: DataFrame, bits: int = FILT
     word, one, at = _slot(key, bits)
     hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, at)) != 0)
     return rows.join(F.broadcast(filled), hit, "left_semi")
+
+
+#: A group with this part of all rows or more is joined by broadcast; there can't be more such groups than this.
+HOT_PART = 10_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group: a left join on ``key``, which is unique in ``groups``.
+
+    ``size`` counts the rows of a group. At most ``HOT_PART`` groups can hold one ``HOT_PART``-th of all counted rows, so
+    these are broadcast; a key of the others brings less than that part of the rows to one task. Both sides
+    are read several times and should be written tables.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = groups.where(F.col(size) * HOT_PART >= total).drop(size)
+    rest = groups.where(F.col(size) * HOT_PART < total).drop(size)
+    spread = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return spread.unionByName(others)
+
+
+def filter_bits(n_keys: int, least: int = 16, most: int = 26) -> int:
+    """Bits of a hash filter with 16 places or more for each key; beyond ``most`` (2**20 words, so a broadcast has a bound) it
+    passes more rows, and an exact step behind it has more to do."""
+    return min(max(least, (16 * max(n_keys, 1) - 1).bit_length()), most)
+
+
+def marked_in(rows: DataFrame, key: Column, filled: DataFrame, bits: int, name: str) -> DataFrame:
+    """All rows with a flag: whether their hash may be among the keys of the filter (see :func:`perhaps_in`)."""
+    word, one, at = _slot(key, bits)
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, at)) != 0, F.lit(False))
+    return rows.join(F.broadcast(filled), word == F.col("_word"), "left").withColumn(name, hit).drop("_word", "_bits")
+
+
+@contextlib.contextmanager
+def unlimited_recursion(spark: SparkSession) -> Iterator[None]:
+    """Lifts the limit on the rows of a recursive query, which here grow with the input, and puts it back."""
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, language, licenses, lines, packing, quality_rules, records, simhash, site_quality, toxicity
+from mailquarry.llm import (
+    decontaminate, exact_dedup, filter_audit, language, licenses, lines, merkle, packing, quality_rules, records, simhash, site_quality, toxicity,
+)
 from mailquarry.llm.common import crc_fold, documents_of
 
 QUERIES = {}
@@ -114,3 +116,33 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; its source is the host, and its language there the path."""
     found = site_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), F.col("source"), F.col("lang"))
     return found.select("doc_id", "host", "path", "p", "host_rate", "path_rate", "posterior", "kept")
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document's text, and the text's digest."""
+    found = exact_dedup.duplicates(table(spark, sf_dir, "documents"), hash_all=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+ORACLES["op11_exact_dedup"] = exact_dedup.oracle()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at every step of all their orders, by language."""
+    found = filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("filter")
+
+
+ORACLES["op12_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document; one more character is claimed where 7 divides the id's crc32."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(38,0)") + 1)
+
+
+ORACLES["op13_merkle"] = merkle.oracle()
