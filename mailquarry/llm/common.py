@@ -159,3 +159,10 @@ def unlimited_recursion(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name)
         else:
             spark.conf.set(name, before)
+
+
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with every column but the used ones renamed by its place, so that names like those an operator adds (or with dots) don't
+    meet them, and the columns that give back the old names in the old order."""
+    names = [c if c in used else f"column_{at}_" for at, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]

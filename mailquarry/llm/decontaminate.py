@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from mailquarry.llm.common import documents_of, hash_filter, in_arrow, list_offsets, mixed, perhaps_in, same_row, slices, texts_of
+from mailquarry.llm.common import apart, documents_of, hash_filter, in_arrow, list_offsets, mixed, perhaps_in, same_row, slices, texts_of
 from mailquarry.sinks.facts import staged
 
 MASKS = ("110100111", "11000101011", "101000011011", "101000100111")
@@ -230,5 +230,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all columns."""
     found = staged(overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "llm-contaminated")
+    docs, old = apart(docs, "doc_id", "text")
     rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(found, same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(docs.columns)
+    return rows.join(found, same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(old)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import hash_filter, perhaps_in, same_row
+from mailquarry.llm.common import apart, hash_filter, perhaps_in, same_row
 from mailquarry.sinks.facts import staged
 
 LEADING = 3
@@ -115,7 +115,8 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tok
 
 
 def dedup_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, **settings) -> DataFrame:
-    """Every row of ``docs`` with its text without dropped lines, n_lines and n_dropped."""
+    """Every row of ``docs`` with its text without dropped lines, n_lines and n_dropped (which replace columns of these names)."""
+    docs, old = apart(docs, "doc_id", "text", "n_lines", "n_dropped")
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = staged(lines_of(narrow, leading, min_tokens).drop("line"), "llm-line-keys")
     # a written table, so that the join reads both sides straight from a shuffle and can split a hot line
@@ -125,13 +126,14 @@ def dedup_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_T
     drops = lines.join(templates, ["leaf", "key"]).where(~F.coalesce(first, F.lit(False))).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("_drops"))
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "_drops")
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    named = [c for c, name in zip(old, docs.columns, strict=True) if name in cols]
     rows = docs.select(*cols, F.xxhash64(F.col("text").cast("string")).alias("_text_hash"))
     rows = rows.join(drops, same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     own = F.split("text", "\n")
     kept = F.array_join(F.filter(own, lambda _, at: ~F.array_contains("_drops", at)), "\n")
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)
     return rows.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in cols],
+        *[text.alias("text") if name == "text" else c for c, name in zip(named, cols, strict=True)],
         F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias("n_dropped"))
 

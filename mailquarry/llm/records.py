@@ -37,6 +37,8 @@ from mailquarry.sinks.facts import new_table_path, staged
 #: Text bytes for a file; its ids take about two thirds of that.
 SHARD_BYTES = 16 << 20
 SLICE_BYTES = 6 << 20
+#: Files whose ids are summed in one task.
+RUN = 10_000
 MASK = 0xA282EAD8
 HEAD, SUM = struct.Struct("<Q"), struct.Struct("<I")
 HAS_ID, WIDE = 1, 2
@@ -136,7 +138,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = int(batch.column("path")[row].as_py().rpartition("shard-")[2].removesuffix(".records"))
-                content = batch.column("content")[row].as_buffer().to_pybytes()
+                content = memoryview(batch.column("content")[row].as_buffer()).cast("B")  # the file, in place
                 at, nth, before, found = 0, 0, 0, []
                 while at < len(content):
                     data, at = record_at(content, at)
@@ -163,13 +165,19 @@ def read_at(folder: str, shard: int, nth: int) -> tuple[int | None, np.ndarray]:
         return parsed(record_at(file.read(end - start), 0)[0])
 
 
-def placed(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record of the files; start is the ids of all records before it."""
-    # a row for each file: the sum over the files before it needs no rows of documents
-    earlier = shards.select(F.col("shard").alias("file"), (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("earlier"))
-    rows = read_records(spark, folder).select(
-        "shard", "doc_id", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return rows.join(earlier, F.col("shard") == F.col("file")).select("doc_id", (F.col("before") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32")
+def placed(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record of the files; start is the ids of all records before it.
+
+    The ids before a file are summed in two steps, over the files of a run and over the runs, so no task has a row for every file.
+    """
+    rows = staged(read_records(spark, folder).select(
+        "shard", "doc_id", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "llm-records-read")
+    files = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("run", F.floor(F.col("shard") / RUN))
+    runs = files.groupBy("run").agg(F.sum("ids").alias("run_ids"))
+    runs = runs.select("run", (F.sum("run_ids").over(Window.orderBy("run")) - F.col("run_ids")).alias("run_before"))
+    inside = F.sum("ids").over(Window.partitionBy("run").orderBy("shard")) - F.col("ids")
+    earlier = files.withColumn("inside", inside).join(runs, "run").select("shard", (F.col("inside") + F.col("run_before")).alias("earlier"))
+    return rows.join(earlier, "shard").select("doc_id", (F.col("before") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_folder(spark: SparkSession) -> str:

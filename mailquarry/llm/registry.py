@@ -66,8 +66,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the written files of records give it back."""
     folder = records.new_folder(spark)
-    shards = records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
-    return records.placed(spark, folder, shards)
+    records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return records.placed(spark, folder)
 
 
 @query

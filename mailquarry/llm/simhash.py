@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from mailquarry.llm.common import documents_of, in_arrow, same_row, slices, texts_of, with_fields
+from mailquarry.llm.common import apart, documents_of, in_arrow, same_row, slices, texts_of, with_fields
 from mailquarry.llm.components import components
 from mailquarry.sinks.facts import staged
 
@@ -182,8 +182,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def named_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the ids and text hashes (_id, _hash, _copies) of ``named``, once each; all columns are kept."""
     least = staged(named, "llm-firsts")
+    docs, old = apart(docs, "doc_id", "text")
     rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(least.select("_id", "_hash"), same_row(F.col("doc_id"), F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     if least.where("_copies > 1").limit(1).count():  # the first one is a repeated row
         rows = rows.dropDuplicates(["doc_id", "_text_hash"])
-    return rows.select(docs.columns)
+    return rows.select(old)

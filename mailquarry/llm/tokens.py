@@ -1,62 +1,87 @@
 """Token ids of whole text columns with the tokenizers library.
 
-The library spends most of its time on text that it has seen before. Here a column is cut before each
-space that something other than white space follows, where every pre-tokenizer used here cuts
-too; each distinct chunk is cut once into the pre-tokenizer's pieces, each distinct piece is encoded once by the
-library, and the ids of the texts are put together from those. The cut is only made in texts of characters
-for which it provably equals the library's own (Latin letters, digits, common punctuation and white
-space); any other text goes through the library as a whole.
+The library spends most of its time on text that it has seen before. Here a text is cut into the pieces of the tokenizer's
+pre-tokenizer, each distinct piece is encoded once by the library, and the ids of the texts are put together from those. The cut
+is only made in texts of characters for which it provably equals the library's own (Latin letters, digits, common
+punctuation and white space); any other text goes through the library as a whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-
-from mailquarry.llm.common import list_offsets
 
 END_ID = 2
 #: Characters that Unicode normalisation, case mapping and letter classes treat alike in all regex
 #: engines: no combining marks, no letters that change length in lower case.
 PLAIN = r"^[\t\n\r\x20-\x7E¡-¬®-įı-ž–—‘’“”…€]*$"
-#: What the pre-tokenizers keep together, by the kind of tokenizer; fixed values of their files.
-BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORD_PIECES = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: A space that doesn't start a chunk, and those that do.
-LOOSE_SPACE, CHUNK_START = r" (\s|$)", re.compile(r"(?= \S)")
-#: Chunks or pieces that are kept at most; beyond, the next batch starts anew.
-MOST_KEPT = 1_000_000
+#: Letters and numbers among them.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ž", "0-9²³¹¼½¾"
+#: What the pre-tokenizers keep together, by the kind of tokenizer; fixed values of their files. The second kind sees lower case only.
+BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: What a worker keeps of pieces and ids at most; beyond, the rarest go. An entry is a string, a number and a place in the table.
+MOST_KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
+#: Text that is cut at once: its pieces are strings of their own for a while.
+CUT_BYTES = 1 << 20
+
+
+class Slots(dict):
+    """Piece to slot; a new piece gets the next slot and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, piece: str) -> int:
+        slot = self[piece] = len(self)
+        self.new.append(piece)
+        return slot
 
 
 class Pool:
-    """Distinct strings with their ids, in Arrow and numpy arrays."""
+    """Distinct pieces with their ids: a lasting hash table to slots, and arrays by slot."""
 
     def __init__(self):
-        self.strings, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=np.uint32)
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-
-    def places(self, strings: pa.Array, encode) -> np.ndarray:
-        """Places of distinct strings; ``encode`` gives (sizes, ids) of those that aren't here yet."""
-        place = pc.index_in(strings, self.strings)
-        new = strings.filter(pc.is_null(place))
-        if len(new):
-            sizes, ids = encode(new.to_pylist())
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.concatenate(([0], np.cumsum(sizes)[:-1]))))
-            self.sizes, self.ids = np.concatenate((self.sizes, sizes.astype(np.int32))), np.concatenate((self.ids, ids))
-            fresh = pc.add(pc.cumulative_sum(pc.cast(pc.is_null(place), pa.int32())), pa.scalar(len(self.strings) - 1, pa.int32()))
-            place = pc.coalesce(place, fresh)
-            self.strings = pa.concat_arrays([self.strings, new])
-            pa.default_memory_pool().release_unused()
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.slots, self.kept, self.hits = Slots(), 0, np.zeros(0, dtype=np.int64)
+        self.ids, self.starts, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def places(self, pieces: list[str], encode) -> np.ndarray:
+        """Slots of pieces; ``encode`` gives (sizes, ids) of those that weren't here."""
+        place = np.fromiter(map(self.slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        new, self.slots.new = self.slots.new, []
+        if new:
+            sizes, ids = encode(new)
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+            self.kept += ENTRY_BYTES * len(new) + sum(map(len, new)) + ids.nbytes
+            self.hits = np.concatenate((self.hits, np.zeros(len(new), dtype=np.int64)))
+        self.hits += np.bincount(place, minlength=len(self.hits))
+        return place
+
+    def shrunk(self, most_bytes: int) -> Pool:
+        """The pool, or while it is over the bound one of its more frequent pieces of at most half of it."""
+        if self.kept <= most_bytes:
+            return self
+        pieces, least = list(self.slots), 2
+        cost = ENTRY_BYTES + np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 4 * self.sizes
+        while cost[self.hits >= least].sum() > most_bytes // 2:
+            least *= 2
+        stay, less = np.flatnonzero(self.hits >= least), Pool()
+        for at in stay:
+            less.slots[pieces[at]] = len(less.slots)
+        ends, less.ids = self.joined(stay)
+        less.starts, less.sizes, less.hits, less.kept = ends[:-1], self.sizes[stay], self.hits[stay] // 2, int(cost[stay].sum())
+        return less
 
     def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the strings at these places, one after the other."""
+        """(ends, ids) of the pieces at these slots, one after the other."""
         sizes = self.sizes[place]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return ends, self.ids[np.repeat(self.starts[place] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -72,60 +97,42 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             by_byte = json.load(file)["pre_tokenizer"].get("use_regex", False)
-        self.cut = BYTE_PIECES.findall if by_byte else WORD_PIECES.findall
-        self.chunks, self.pieces = Pool(), Pool()
+        self.cut = BYTE_PIECES.findall if by_byte else lambda text: WORD_PIECES.findall(text.lower())
+        self.pieces = Pool()
 
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        return sizes, np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-
-    def _by_pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces.strings) > MOST_KEPT:
-            self.pieces = Pool()
-        lists = [self.cut(x) for x in chunks]
-        coded = pa.array([x for pieces in lists for x in pieces], pa.string()).dictionary_encode()
-        place = self.pieces.places(coded.dictionary, self._by_library)[coded.indices.to_numpy(zero_copy_only=False)]
-        ends, ids = self.pieces.joined(place)
-        counts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))))
+        return sizes, np.fromiter(itertools.chain.from_iterable(encoded), dtype=np.uint32, count=int(sizes.sum()))
+
+    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces = self.pieces.shrunk(MOST_KEPT_BYTES)
+        pieces, counts = [], [0]
+        for text in texts:
+            pieces += self.cut(text)
+            counts.append(len(pieces))
+        ends, ids = self.pieces.joined(self.pieces.places(pieces, self._by_library))
         return np.diff(ends[counts]), ids
 
-    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.chunks.strings) > MOST_KEPT:
-            self.chunks = Pool()
-        loose = pc.match_substring_regex(texts, LOOSE_SPACE)
-        if pc.any(loose).as_py():
-            lists = pa.array([CHUNK_START.split(x) for x in texts.to_pylist()], pa.list_(pa.string()))
-        else:
-            lists = pc.split_pattern(texts, pattern=" ")
-        offsets = list_offsets(lists)
-        coded = lists.flatten().dictionary_encode()
-        words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if not pc.any(loose).as_py():
-            # all but the first chunk of a text had a space before
-            first = np.zeros(len(index), dtype=bool)
-            first[offsets[:-1]] = True
-            heads, index_of_head = np.unique(index[first], return_inverse=True)
-            index[first] = len(words) + index_of_head
-            words = pa.concat_arrays([pc.binary_join_element_wise(" ", words, ""), words.take(pa.array(heads))])
-            coded = words.dictionary_encode()
-            words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[index]
-        ends, ids = self.chunks.joined(self.chunks.places(words, self._by_pieces)[index])
-        return np.diff(ends[offsets]), ids
+    def _in_parts(self, texts: list[str], how) -> tuple[np.ndarray, np.ndarray]:
+        """``how`` of runs of texts of about ``CUT_BYTES``, put together."""
+        done, start, size = [], 0, 0
+        for at, text in enumerate(texts):
+            size += len(text)
+            if size >= CUT_BYTES or at == len(texts) - 1:
+                done.append(how(texts[start: at + 1]))
+                start, size = at + 1, 0
+        sizes, ids = zip(*done, strict=True)
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, each with the end id."""
         plain = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False)
         sizes = np.zeros(len(texts), dtype=np.int64)
-        loose = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)
-        parts = [
-            (np.flatnonzero(plain & ~loose), self._by_chunks), (np.flatnonzero(plain & loose), self._by_chunks),
-            (np.flatnonzero(~plain), lambda x: self._by_library(x.to_pylist())),
-        ]
         done = []
-        for rows, how in parts:
+        for rows, how in ((np.flatnonzero(plain), self._by_pieces), (np.flatnonzero(~plain), self._by_library)):
             if len(rows):
-                sizes[rows], ids = how(texts.take(pa.array(rows)))
+                sizes[rows], ids = self._in_parts(texts.take(pa.array(rows)).to_pylist(), how)
                 done.append((rows, ids))
         offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
         out = np.full(offsets[-1], END_ID, dtype=np.uint32)

@@ -213,7 +213,7 @@ def test_records(spark, docs, none):
     folder = records.new_folder(spark)
     shards = records.write_records(docs, tokenizer, folder, shard_bytes=40_000)
     assert shards.count() > 1
-    got = sorted(records.placed(spark, folder, shards).collect(), key=lambda r: r.start)
+    got = sorted(records.placed(spark, folder).collect(), key=lambda r: r.start)
     library = Encoder(tokenizer).library
     rows = rows_of(docs)
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
