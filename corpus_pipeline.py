@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, language, lines, near_copies, packing
+from mailquarry.llm import decontaminate, language, lines, packing, simhash
+from mailquarry.llm.common import apart
 from mailquarry.llm.registry import table, tokenizer_file
 from mailquarry.sinks.facts import staged
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised; models and limits come from their own labels."""
+    docs, old = apart(docs, "doc_id", "text", "lang")
     found = language.identify(docs, language.learned(docs))
-    return found.where("NOT rejected").select(docs.columns)
+    return found.where("NOT rejected").select(old)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of templates that another document had first; n_chars follows the text."""
-    found = lines.dedup_lines(docs).select(docs.columns)
-    return found.selectExpr(*[f"cast(length(text) as {kind}) AS n_chars" if name == "n_chars" else f"`{name}`" for name, kind in docs.dtypes])
+    kinds, (docs, old) = dict(docs.dtypes), apart(docs, "doc_id", "text", "n_chars")
+    found = lines.dedup_lines(docs)
+    if "n_chars" in kinds:
+        found = found.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
+    return found.select(old)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't near copies (five-word Jaccard of at least 0.8) of one that stays."""
-    return near_copies.without_near_copies(docs)
+    """One document of each group of linked fingerprints (three-word shingles, at most two bits apart)."""
+    return simhash.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
