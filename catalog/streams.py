@@ -18,26 +18,28 @@ from oracles.ensemble import MAILBOX
 IS_HIGH = "threat_level IN ('HIGH', 'CRITICAL')"
 
 
-def land(df, name, parts=None):
-    """Write landing files, one append per condition, so that they arrive in that order."""
-    path = jobs.new_base(df.sparkSession, name)
-    for part in parts or [F.lit(True)]:
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return path
+def arriving(rows, name, parts, run):
+    """Lands the rows of each condition, written by the table's own tasks, and lets the query take them: ``run(stream, base)`` goes on
+    from its checkpoint after each arrival, which is one batch. Returns what the last run gives."""
+    spark, path, base, found = rows.sparkSession, jobs.new_base(rows.sparkSession, f"{name}-in"), jobs.new_base(rows.sparkSession, name), None
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(path)
+        found = run(jobs.read_landing(spark, path, rows.schema), base)
+    return found
 
 
 def halves(df, column):
-    """Two conditions that cut the rows at the middle of an ordered key."""
+    """Two conditions that cut the rows at the middle of an ordered key; rows without it come first."""
     middle = df.agg((F.max(column) / 2).alias("m")).first()[0]
-    return [F.col(column) <= middle, F.col(column) > middle]
+    first = F.coalesce(F.col(column) <= middle, F.lit(True))
+    return [first, ~first]
 
 
-def fact_stream(spark, sf):
+def arriving_facts(spark, sf, name, run):
     rows = facts(spark, sf).withColumn("event_id", F.substring("email_id", 2, 20).cast("bigint")).withColumn(
         "created_at", jobs.as_instant("created_at")).withColumn(
         "priority", F.when(F.col("event_id") % 2 == 0, "high").otherwise("normal"))
-    path = land(rows, "facts", halves(rows, "event_id"))
-    return jobs.read_landing(spark, path, rows.schema, 1)
+    return arriving(rows, name, halves(rows, "event_id"), run)
 
 
 _FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -47,14 +49,14 @@ _FMT = "'%Y-%m-%d %H:%M:%S'"
     SELECT strftime(date_trunc('hour', created_at), {_FMT}) AS start, count_if(threat_level = 'CRITICAL') AS critical, count_if(threat_level = 'HIGH') AS high,
            count_if(threat_level = 'MEDIUM') AS medium, count_if(threat_level = 'LOW') AS low, count(*) AS total FROM v_analyses GROUP BY 1""")
 def stream_tumbling_levels(spark, sf):
-    return plain(jobs.drain_latest(jobs.tumbling_levels(fact_stream(spark, sf)), "tumbling", ["start"]))
+    return plain(arriving_facts(spark, sf, "tumbling", lambda rows, base: jobs.drain_latest(jobs.tumbling_levels(rows), base, ["start"])))
 
 
 @register("stream_sliding_24h", f"""
     SELECT strftime(start, {_FMT}) AS start, count(*) AS total, count_if({IS_HIGH}) AS high, count_if(is_quarantined) AS quarantined
     FROM (SELECT *, unnest(range(24)) AS k FROM v_analyses) x, LATERAL (SELECT date_trunc('hour', created_at) - k * INTERVAL 1 HOUR AS start) s GROUP BY 1""")
 def stream_sliding_24h(spark, sf):
-    return plain(jobs.drain_latest(jobs.sliding_stats(fact_stream(spark, sf)), "sliding", ["start"]))
+    return plain(arriving_facts(spark, sf, "sliding", lambda rows, base: jobs.drain_latest(jobs.sliding_stats(rows), base, ["start"])))
 
 
 @register("stream_health_1h", f"""
@@ -64,55 +66,51 @@ def stream_sliding_24h(spark, sf):
     FROM (SELECT duration_ms, status, to_timestamp_ntz_(created_at) - k * INTERVAL 15 MINUTE AS start FROM (SELECT *, unnest(range(4)) AS k FROM v_analyses) y) x GROUP BY 1""".replace(
     "to_timestamp_ntz_(created_at)", "time_bucket(INTERVAL 15 MINUTE, created_at)"))
 def stream_health_1h(spark, sf):
-    return plain(jobs.drain_latest(jobs.rolling_health(fact_stream(spark, sf)), "health", ["start"]))
+    return plain(arriving_facts(spark, sf, "health", lambda rows, base: jobs.drain_latest(jobs.rolling_health(rows), base, ["start"])))
 
 
 @register("stream_sessions", f"""
-    SELECT sender_email, strftime(s, {_FMT}) AS start, strftime(e, {_FMT}) AS "end", mails FROM (
+    SELECT sender_email, strftime(s, {_FMT}) AS start, strftime(e, {_FMT}) AS "end", mails, e > (SELECT max(created_at) FROM v_analyses) - INTERVAL 1 HOUR AS is_open FROM (
         SELECT sender_email, min(created_at) AS s, max(created_at) + INTERVAL 30 MINUTE AS e, count(*) AS mails FROM (
             SELECT *, sum(fresh) OVER (PARTITION BY sender_email ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS session FROM (
                 SELECT *, (coalesce(created_at - lag(created_at) OVER (PARTITION BY sender_email ORDER BY created_at) >= INTERVAL 30 MINUTE, true))::INT AS fresh FROM v_analyses) a) b
-        GROUP BY sender_email, session) c
-    WHERE e <= (SELECT max(created_at) FROM v_analyses) - INTERVAL 1 HOUR""")
+        GROUP BY sender_email, session) c""")
 def stream_sessions(spark, sf):
-    return plain(jobs.drain(jobs.sender_sessions(fact_stream(spark, sf)), "sessions"))
+    return plain(arriving_facts(spark, sf, "sessions", jobs.drain_sessions))
 
 
 @register("stream_alerts", f"""
     SELECT email_id, threat_level, round(threat_score, 8) AS threat_score, strftime(created_at, {_FMT}) AS alert_sent_at
     FROM v_analyses WHERE {IS_HIGH} AND substr(email_id, 2)::BIGINT % 2 = 0""")
 def stream_alerts(spark, sf):
-    return plain(jobs.drain(jobs.alert_rows(fact_stream(spark, sf)), "alerts"))
+    return plain(arriving_facts(spark, sf, "alerts", lambda rows, base: jobs.drain(jobs.alert_rows(rows), base)))
 
 
 @register("stream_audit", f"""
     SELECT event_id, event_type, user_id, action, success, strftime(created_at, {_FMT}) AS created_at FROM v_audit""")
 def stream_audit(spark, sf):
     rows = view(spark, sf, "v_audit").withColumn("created_at", jobs.as_instant("created_at"))
-    stream = jobs.read_landing(spark, land(rows, "audit", halves(rows, "event_id")), rows.schema, 1)
-    return plain(jobs.drain(stream.select("event_id", "event_type", "user_id", "action", "success", "created_at"), "audit"))
+    columns = ["event_id", "event_type", "user_id", "action", "success", "created_at"]
+    return plain(arriving(rows, "audit", halves(rows, "event_id"), lambda stream, base: jobs.drain(stream.select(columns), base)))
 
 
 @register("stream_dedup", "SELECT DISTINCT email_id AS message_id FROM v_releases")
 def stream_dedup(spark, sf):
     rows = view(spark, sf, "v_releases").select(
         F.col("email_id").alias("message_id"), F.col("released_at").cast("timestamp").alias("received_at"))
-    stream = jobs.read_landing(spark, land(rows, "notices"), rows.schema)
     # the two notices of a message are an hour apart, well within the lateness
-    return jobs.drain(jobs.dedup(stream), "dedup").select("message_id")
+    return arriving(rows, "dedup", [F.lit(True)], lambda stream, base: jobs.drain(jobs.dedup(stream), base)).select("message_id")
 
 
 @register("stream_late_data", """
     SELECT CASE WHEN second AND created_at < mark - INTERVAL 1 HOUR THEN 'late' ELSE 'kept' END AS kind, count(*) AS rows
-    FROM (SELECT created_at, substr(email_id, 2)::BIGINT % 5 = 0 AS second, max(CASE WHEN substr(email_id, 2)::BIGINT % 5 <> 0 AND substr(email_id, 2)::BIGINT % 2 = 0 THEN created_at END) OVER () AS mark
-          FROM v_analyses WHERE substr(email_id, 2)::BIGINT % 5 = 0 OR substr(email_id, 2)::BIGINT % 2 = 0) x GROUP BY 1""")
+    FROM (SELECT created_at, substr(email_id, 2)::BIGINT % 5 = 0 AS second, max(CASE WHEN substr(email_id, 2)::BIGINT % 5 <> 0 THEN created_at END) OVER () AS mark
+          FROM v_analyses) x GROUP BY 1""")
 def stream_late_data(spark, sf):
     rows = facts(spark, sf).select(
         "email_id", jobs.as_instant("created_at"), F.substring("email_id", 2, 20).cast("bigint").alias("n"))
-    fifth = F.col("n") % 5 == 0
-    path = land(rows, "late", [~fifth & (F.col("n") % 2 == 0), fifth])
-    base = jobs.new_base(spark, "split")
-    kept, late = jobs.split_late(jobs.read_landing(spark, path, rows.schema, 1), base)
+    fifth = F.coalesce(F.col("n") % 5 == 0, F.lit(False))  # every fifth mail arrives after all others
+    kept, late = arriving(rows, "split", [~fifth, fifth], jobs.split_late)
     counts = [spark.read.schema(rows.schema).parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("kind"), "rows")
               for k, p in (("kept", kept), ("late", late))]
     return counts[0].unionByName(counts[1])
@@ -121,16 +119,14 @@ def stream_late_data(spark, sf):
 @register("rate_limit_stream", RATE_SQL)
 def rate_limit_stream(spark, sf):
     rows = requests(spark, sf)
-    stream = jobs.read_landing(spark, land(rows, "requests", halves(rows, "request_id")), rows.schema, 1)
-    decided = jobs.rate_limit_stream(stream, jobs.new_base(spark, "rate"))
+    decided = arriving(rows, "rate", halves(rows, "request_id"), jobs.rate_limit_stream)
     return plain(decided.select("request_id", "key", "start", "allowed"))
 
 
 @register("ioc_ttl_stream", CACHE_SQL)
 def ioc_ttl_stream(spark, sf):
     rows = lookups(spark, sf)
-    stream = jobs.read_landing(spark, land(rows, "lookups", halves(rows, "lookup_id")), rows.schema, 1)
-    return plain(jobs.lookup_cache_stream(stream, jobs.new_base(spark, "ttl")))
+    return plain(arriving(rows, "ttl", halves(rows, "lookup_id"), jobs.lookup_cache_stream))
 
 
 @register("stream_score", """
@@ -138,7 +134,6 @@ def ioc_ttl_stream(spark, sf):
            threat_level IN ('HIGH', 'CRITICAL') AS is_quarantined FROM b_judged""", MAILBOX)
 def stream_score(spark, sf):
     mails = full_mails(spark, sf).withColumn("received_at", jobs.as_instant("received_at"))
-    stream = jobs.read_landing(spark, land(mails, "mails", halves(mails, "doc_id")), mails.schema, 1)
     files, links, hashes = files_of(spark, sf), ur.url_verdicts(spark, sf), at.file_verdicts(spark, sf)
     geo, predictions = geo_ranges(spark, sf), view(spark, sf, "v_predictions")
 
@@ -151,6 +146,6 @@ def stream_score(spark, sf):
             "subject", "threat_level", "threat_score", "is_phishing", (F.abs(F.col("threat_score") - 0.5) * 2).alias("confidence"),
             F.to_json(F.struct("threat_category", "threats")).alias("analysis_details"), "received_at", F.lit(1).alias("seq"))
 
-    table = jobs.score_stream(stream, score, jobs.new_base(spark, "score"))
+    table = arriving(mails, "score", halves(mails, "doc_id"), lambda stream, base: jobs.score_stream(stream, score, base))
     return plain(spark.read.parquet(table).select(
         "email_id", "sender_email", "subject", "threat_level", "threat_score", "is_phishing", "is_quarantined"))

@@ -21,6 +21,7 @@ from mailquarry.plans.health import status
 from mailquarry.session import shared_dir
 from mailquarry.sinks import maintenance
 from mailquarry.sinks.facts import append, staged
+from mailquarry.streaming import keyed
 
 
 def new_base(spark: SparkSession, name: str) -> str:
@@ -35,10 +36,9 @@ def read_landing(spark: SparkSession, path: str, schema: StructType, files_per_b
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over everything that has arrived and return what it wrote."""
+def drain(stream: DataFrame, base: str) -> DataFrame:
+    """Run an append stream over everything that has arrived and return all that it has written under ``base``."""
     spark = stream.sparkSession
-    base = new_base(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{base}/checkpoint").start(f"{base}/rows"))
@@ -54,10 +54,9 @@ def each_batch(stream: DataFrame, base: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def drain_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Run an updating aggregate and return the last state of every key."""
+def drain_latest(stream: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """Run an updating aggregate over everything that has arrived and return the last state of every key."""
     spark = stream.sparkSession
-    base = new_base(spark, name)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
@@ -97,12 +96,25 @@ def rolling_health(facts: DataFrame, step: str = "15 minutes", lateness: str = "
 
 
 def sender_sessions(facts: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Bursts per sender: mails less than ``gap`` apart; a session is written once it is closed."""
+    """Bursts per sender: mails less than ``gap`` apart; a session is written once it is closed, and is in the state until then."""
     return facts.withWatermark("created_at", lateness).groupBy(
         F.session_window("created_at", gap), "sender_email").agg(F.count(F.lit(1)).alias("mails")).select(
         "sender_email", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "mails")
 
 
+def open_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """(sender_email, start, end, mails) of the sessions that the last batch of a session query left open, from its state store."""
+    held = spark.read.format("statestore").load(f"{base}/checkpoint").select("value.*")
+    window, count = "session_window", [c for c in held.columns if c.startswith("count")][0]
+    return held.select("sender_email", F.col(f"{window}.start").alias("start"), F.col(f"{window}.end").alias("end"), F.col(count).alias("mails"))
+
+
+def drain_sessions(facts: DataFrame, base: str) -> DataFrame:
+    """All sessions, closed ones as written and open ones as the state has them, with ``is_open``."""
+    closed = drain(sender_sessions(facts), base).withColumn("is_open", F.lit(False))
+    return closed.unionByName(open_sessions(facts.sparkSession, base).withColumn("is_open", F.lit(True)))
+
+
 # ------------------------------------------------------------------ row streams
 
 def alert_rows(facts: DataFrame) -> DataFrame:
@@ -176,48 +188,23 @@ def split_late(facts: DataFrame, base: str, lateness: str = "1 hour") -> tuple[s
 
 # ------------------------------------------------------------------ keyed windows
 
-def _carried(spark: SparkSession, states: str, batch_id: int) -> DataFrame | None:
-    return None if batch_id == 0 else spark.read.parquet(f"{states}/{batch_id - 1:08d}")
-
-
-def rate_limit_stream(requests: DataFrame, base: str) -> DataFrame:
-    """Rate-limit decisions per request; the open windows are carried from batch to batch.
-
-    The per-batch work is the batch job, so a client that sends a third of all requests is spread
-    like there. The state is one row per client.
-    """
-    spark = requests.sparkSession
-    states = f"{base}/state"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = _carried(session, states, batch_id)
-        rows = f"{base}/rows/batch={batch_id}"
-        access.rate_limit(batch, carry=before).write.mode("overwrite").parquet(rows)
-        newest = access.open_windows(session.read.parquet(rows), before)
-        newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
-
-    each_batch(requests, base, handle)
-    return spark.read.parquet(f"{base}/rows").drop("batch")
-
-
-def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SECONDS) -> DataFrame:
-    """Cache decisions per lookup; the last refresh of each key is carried from batch to batch."""
-    spark = lookups.sparkSession
-    states = f"{base}/state"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = _carried(session, states, batch_id)
-        rows = f"{base}/rows/batch={batch_id}"
-        access.lookup_cache(batch, ttl, before).write.mode("overwrite").parquet(rows)
-        newest = session.read.parquet(rows).groupBy("key").agg(F.max("start").alias("start"))
-        if before is not None:
-            newest = newest.unionByName(before.join(newest.select("key"), "key", "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{states}/{batch_id:08d}")
-
-    each_batch(lookups, base, handle)
-    return spark.read.parquet(f"{base}/rows").drop("batch")
+def rate_limit_stream(requests: DataFrame, base: str, window: int = lx.RATE_WINDOW_SECONDS, limits: dict[str, int] | None = None,
+                      lateness: str = "1 day") -> DataFrame:
+    """Rate-limit decisions per request (request_id, class, key, start, allowed); the open window of a key is keyed state."""
+    named = requests.withColumn("class", access.request_class()).withColumn("ip", access.client_ip())
+    allowance = keyed.by_class(F.col("class"), limits or lx.RATE_LIMITS)
+    events = named.select(F.col("request_id").alias("id"), F.concat_ws(":", "class", "ip").alias("key"), allowance.alias("allowance"), "ts")
+    decided = keyed.drained(keyed.admitted(events, window, lateness), base)
+    kind = requests.schema["request_id"].dataType
+    return decided.select(F.col("id").cast(kind).alias("request_id"), F.substring_index("key", ":", 1).alias("class"), "key", "start", F.col("admitted").alias("allowed"))
+
+
+def lookup_cache_stream(lookups: DataFrame, base: str, ttl: int = lx.IOC_TTL_SECONDS, lateness: str = "1 day") -> DataFrame:
+    """Cache decisions per lookup (lookup_id, key, start, refreshed): the first lookup of a key after expiry asks the sources."""
+    events = lookups.select(F.col("lookup_id").alias("id"), "key", F.lit(1).alias("allowance"), "ts")
+    decided = keyed.drained(keyed.admitted(events, ttl, lateness), base)
+    kind = lookups.schema["lookup_id"].dataType
+    return decided.select(F.col("id").cast(kind).alias("lookup_id"), "key", "start", F.col("admitted").alias("refreshed"))
 
 
 def as_instant(column: str) -> Column:

@@ -1,11 +1,13 @@
 """Streams that stop and go on: state carried, nothing written twice."""
 
 import datetime as dt
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mailquarry.operators import access
-from mailquarry.streaming import jobs
+from mailquarry.streaming import jobs, keyed
 
 
 def request_rows(spark, ids):
@@ -29,6 +31,69 @@ def test_rate_limit_goes_on_after_a_stop(spark, tmp_path):
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
 
 
+def requests_at(spark, rows):
+    """Requests of (id, client, seconds or None)."""
+    at = [(i, "/api/x", None, None, c, None if t is None else dt.datetime.fromtimestamp(1_700_000_000 + t, dt.timezone.utc)) for i, c, t in rows]
+    return spark.createDataFrame(at, "request_id int, path string, forwarded_for string, real_ip string, peer_ip string, ts timestamp")
+
+
+def test_state_of_expired_keys_is_cleared(spark, tmp_path):
+    landing, base, day = str(tmp_path / "in"), str(tmp_path / "out"), 86_400
+    arrivals = [
+        [(i, f"c{i % 40}", i) for i in range(200)] + [(900, "c1", None)],
+        [(200 + i, "late", 5 * day + i) for i in range(20)],
+        [(300, "late", 5 * day + 10), (301, "late", 5 * day + 5000), (302, "c1", 5 * day + 6000)],
+    ]
+    held = []
+    for rows in arrivals:
+        requests_at(spark, rows).write.mode("append").parquet(landing)
+        stream = jobs.read_landing(spark, landing, requests_at(spark, rows).schema)
+        got = jobs.rate_limit_stream(stream, base, window=60, limits={"api": 3})
+        state = spark.read.format("statestore").option("stateVarName", "open").load(f"{base}/checkpoint")
+        held.append({r.key.key for r in state.select("key").collect()})
+    assert held[0] == {f"api:c{i}" for i in range(40)} and held[1] == {"api:late"} and held[2] == {"api:late", "api:c1"}
+    found = {r.request_id: (r.start, r.allowed) for r in got.collect()}
+    assert len(found) == got.count() == sum(map(len, arrivals)) and found[900] == (None, None)
+    # 200 requests of 40 clients, each every 40 seconds in windows of 60: at most two a window
+    assert all(found[i][1] for i in range(200))
+    first = 1_700_000_000 + 5 * day
+    assert [found[200 + i] for i in range(20)] == [(first, i < 3) for i in range(20)]
+    # the window goes on after a stop, and one that has ended opens anew
+    assert found[300] == (first, False) and found[301] == (first + 5000, True) and found[302] == (first + 6000, True)
+
+
+def test_decisions_equal_one_by_one():
+    rng = random.Random(6)
+    for _ in range(200):
+        seconds = sorted(rng.randint(0, 500) for _ in range(rng.randint(1, 60)))
+        window, limit = rng.choice([1, 30, 90]), rng.choice([0, 1, 3])
+        start, used = rng.choice([(None, 0), (seconds[0] - 10, 1)])
+        want, s, u = [], start, used
+        for t in seconds:
+            if s is None or t >= s + window:
+                s, u = t, 0
+            u += u < limit
+            want.append((s, u))
+        starts, admitted, s_end, u_end = keyed.decide(np.array(seconds), window, limit, start, used)
+        assert list(starts) == [x for x, _ in want] and s_end == s and u_end >= u
+        before, opened = used, start
+        for (s, u), a in zip(want, admitted, strict=True):
+            assert a == (u > (before if s == opened else 0))
+            before, opened = u, s
+
+
+def test_open_sessions_are_read_from_the_state(spark, tmp_path):
+    landing, base = str(tmp_path / "in"), str(tmp_path / "out")
+    found = []
+    for minutes in ([0, 10, 20, 100], [125, 140, 600]):
+        rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for m in minutes], "sender_email string, created_at timestamp")
+        rows.write.mode("append").parquet(landing)
+        sessions = jobs.drain_sessions(jobs.read_landing(spark, landing, rows.schema), base)
+        found.append({((r.start - dt.datetime(2024, 1, 1)).seconds // 60, r.mails, r.is_open) for r in sessions.collect()})
+    # the watermark of 01:40 less an hour hasn't passed the end of the first session
+    assert found == [{(0, 3, True), (100, 1, True)}, {(0, 3, False), (100, 3, False), (600, 1, True)}]
+
+
 def test_updates_keep_the_last_state(spark, tmp_path):
     facts = spark.createDataFrame(
         [(i, dt.datetime(2024, 1, 1, i % 3), "HIGH" if i % 2 else "LOW") for i in range(30)],
@@ -37,7 +102,7 @@ def test_updates_keep_the_last_state(spark, tmp_path):
     for part in ("n < 10", "n >= 10"):
         facts.filter(part).coalesce(1).write.mode("append").parquet(landing)
     stream = jobs.read_landing(spark, landing, facts.schema, 1)
-    got = {r.start.hour: (r.high, r.low, r.total) for r in jobs.drain_latest(jobs.tumbling_levels(stream), "t", ["start"]).collect()}
+    got = {r.start.hour: (r.high, r.low, r.total) for r in jobs.drain_latest(jobs.tumbling_levels(stream), str(tmp_path / "out"), ["start"]).collect()}
     assert got == {0: (5, 5, 10), 1: (5, 5, 10), 2: (5, 5, 10)}
 
 
