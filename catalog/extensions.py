@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import plain, register
+from catalog.reputation import FEEDS
 from datasets.views import view
 from mailquarry import lexicon as lx
 from mailquarry.lexicon import Rule
@@ -40,13 +41,12 @@ def ext_language(spark, sf):
 
 
 @register("ext_feed", """
-    SELECT ioc, count(*) AS sources_checked, round(avg(threat_score), 8) AS threat_score FROM (
-        SELECT ioc, CASE WHEN error IS NULL THEN (malicious + suspicious) / greatest(malicious + suspicious + harmless, 1)::DOUBLE END AS threat_score
-        FROM v_feeds WHERE source = 'virustotal_domain'
-        UNION ALL SELECT 'd' || (user_id % 97) || '.example.com' AS ioc, count_if(event_type = 'error') / count(*)::DOUBLE AS threat_score
-        FROM events GROUP BY 1) x GROUP BY ioc""")
+    SELECT ioc, count(*) AS sources_checked, round(coalesce(avg(threat_score), 0e0), 8) AS threat_score FROM (
+        SELECT ioc, ioc_type, threat_score FROM f_scores
+        UNION ALL SELECT 'd' || (user_id % 97) || '.example.com' AS ioc, 'domain' AS ioc_type, count_if(event_type = 'error') / count(*)::DOUBLE AS threat_score
+        FROM events GROUP BY 1) x GROUP BY ioc, ioc_type""", FEEDS)
 def ext_feed(spark, sf):
-    base = view(spark, sf, "v_feeds").filter("source = 'virustotal_domain'")
+    base = view(spark, sf, "v_feeds")
     # a new source: error share of the domain's events, as counts
     added = view(spark, sf, "events").groupBy(
         F.concat(F.lit("d"), (F.col("user_id") % 97).cast("string"), F.lit(".example.com")).alias("ioc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
@@ -22,21 +22,23 @@ def rule_matches(text: Column, lowered: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [has_any(lowered, [s.lower() for s in g]) for g in rule.groups])
 
 
-def matches(text: Column, lowered: Column, rules: list[Rule] | None = None) -> Column:
-    """array<struct<rule_name, category, severity, score>> of the rules that match.
+def with_matches(texts: DataFrame, text: str, lowered: str, rules: list[Rule] | None = None) -> DataFrame:
+    """Adds ``matches``, array<struct<rule_name, category, severity, score>> of the rules that match, and ``rule_score``, their highest
+    severity score (0 for none).
 
-    ``lowered`` must be a column of its own: an expression would be evaluated once per string.
+    Each rule is a column of its own first. Both results read it there, so a text is searched once for each string and in generated code.
     """
     rules = lx.RULES if rules is None else rules
+    names = [f"_rule_{i}" for i in range(len(rules))]
+    tested = texts.withColumns({n: F.coalesce(rule_matches(F.col(text), F.col(lowered), r), F.lit(False)) for n, r in zip(names, rules, strict=True)})
     found = [
-        F.when(rule_matches(text, lowered, r), F.struct(
+        F.when(F.col(n), F.struct(
             F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("category"),
             F.lit(r.severity).alias("severity"), F.lit(r.score).alias("score")))
-        for r in rules
+        for n, r in zip(names, rules, strict=True)
     ]
-    return F.coalesce(F.array_compact(F.array(*found)), F.array().cast(f"array<{MATCH}>"))
-
-
-def score(matched: Column) -> Column:
-    """Highest severity score of the matched rules, 0 for none."""
-    return F.coalesce(F.array_max(F.transform(matched, lambda m: m["score"])), F.lit(0.0))
+    scores = [F.when(F.col(n), F.lit(float(r.score))).otherwise(F.lit(0.0)) for n, r in zip(names, rules, strict=True)]
+    return tested.withColumns({
+        "matches": F.coalesce(F.array_compact(F.array(*found)), F.array().cast(f"array<{MATCH}>")),
+        "rule_score": F.greatest(F.lit(0.0), F.lit(0.0), *scores),
+    }).drop(*names)

@@ -55,7 +55,7 @@ def term_hits(text: Column, terms: list[str]) -> Column:
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """The terms that occur in the text, in list order."""
-    return F.filter(texts(terms), lambda t: F.contains(text, t))
+    return F.array_compact(F.array(*[F.when(has(text, t), F.lit(t)) for t in terms]))
 
 
 def occurrences(text: Column, piece: str) -> Column:

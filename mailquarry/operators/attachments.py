@@ -71,13 +71,8 @@ def scan(files: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
     decoded = files.withColumn("_data", F.try_to_binary("file_data", F.lit("base64")))
     scanned = decoded.withColumn("_bytes", F.when(F.length("_data") > 0, F.col("_data"))).drop("_data")
     text = F.when(F.col("_bytes").isNotNull(), F.decode("_bytes", "ISO-8859-1")).otherwise(F.lit(""))
-    return (
-        scanned.withColumn("file_hash", F.sha2("_bytes", 256))
-        .withColumn("_text", text).withColumn("_lower", F.lower("_text"))
-        .withColumn("matches", rl.matches(F.col("_text"), F.col("_lower"), rules))
-        .withColumn("rule_score", rl.score(F.col("matches")))
-        .drop("_bytes", "_text", "_lower", "file_data")
-    )
+    read = scanned.withColumn("file_hash", F.sha2("_bytes", 256)).withColumn("_text", text).withColumn("_lower", F.lower("_text"))
+    return rl.with_matches(read, "_text", "_lower", rules).drop("_bytes", "_text", "_lower", "file_data")
 
 
 def file_hashes(files: DataFrame) -> DataFrame:

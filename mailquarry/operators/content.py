@@ -112,11 +112,13 @@ def manipulation(emails: DataFrame) -> DataFrame:
     scores, terms = [], []
     for category in lx.MANIPULATION_CATEGORIES:
         lists = {code: categories[category] for code, categories in lx.MANIPULATION.items()}
-        scores.append(_by_language(lang, {
-            code: term_hits(text, t) / len(t) for code, t in lists.items()}).alias(category))
         terms.append(_by_language(lang, {
             code: matched_terms(text, t) for code, t in lists.items()}).alias(f"{category}_terms"))
-    scored = with_lowered(emails).select("message_id", lang.alias("detected_language"), *scores, *terms)
+        size = _by_language(F.col("detected_language"), {code: F.lit(len(t)) for code, t in lists.items()})
+        scores.append((F.size(f"{category}_terms") / size).alias(category))
+    # the terms are read twice, so they stay a projection of their own and a text is searched once
+    scored = with_lowered(emails).select("message_id", lang.alias("detected_language"), *terms).select(
+        "message_id", "detected_language", *scores, *[f"{c}_terms" for c in lx.MANIPULATION_CATEGORIES])
     return scored.withColumn(
         "manipulation_score", add([F.col(c) for c in lx.MANIPULATION_CATEGORIES]) / len(lx.MANIPULATION_CATEGORIES))
 
@@ -230,9 +232,9 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, max_terms: int
 
 def scan_text(emails: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
     """Rule score and matched rules per mail."""
-    scanned = with_lowered(emails).select(
-        "message_id", rl.matches(F.col("_text"), F.col("_lower"), rules).alias("matches"))
-    return scanned.withColumn("rule_score", rl.score(F.col("matches")))
+    found = rl.with_matches(with_lowered(emails).select("message_id", "_text", "_lower"), "_text", "_lower", rules)
+    # a generator of one row: a filter on the score stays above it, where below it would search the text anew for every string
+    return found.select("message_id", F.inline_outer(F.array(F.struct("matches", "rule_score"))))
 
 
 def rule_hits(scanned: DataFrame, key: str = "message_id") -> DataFrame:

@@ -26,7 +26,8 @@ INCIDENT_DESCRIPTION = "\n".join([
     "Email Information:", "- Message ID: %s", "- From: %s", "- Subject: %s", "- Received: %s",
     "Threat Analysis Results:", "- Overall Threat Score: %s",
 ])
-MAX_SUBSET_ITEMS = 8
+#: More mails of a bucket than this with one indicator are held as a bitmap.
+MAILS_AS_BITMAP = 64
 
 
 def action_rules(spark) -> DataFrame:
@@ -130,52 +131,49 @@ def detection_patterns(threats: DataFrame, bad_links: DataFrame, known: DataFram
     return found.join(known.select("type", "pattern").distinct(), ["type", "pattern"], "left_anti")
 
 
-def _subsets(items: DataFrame) -> DataFrame:
-    """Every non-empty subset of a mail's indicators as (key, sign)."""
-    n = F.size("items")
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), n).cast("int") - 1)
-    subset = F.transform(masks, lambda m: F.filter(
-        "items", lambda x, i: (F.floor(m / F.pow(F.lit(2.0), i)).cast("int") % 2) == 1))
-    return items.select("message_id", "is_threat", F.explode(subset).alias("s")).select(
-        "message_id", "is_threat", F.array_join("s", "\x01").alias("key"),
-        F.when(F.size("s") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
+def _has_bit(bits: Column, position: Column) -> Column:
+    """Whether a bitmap has the bit of a position; null bitmaps have none."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("getbit", byte, (position % 8).cast("int")) == 1, F.lit(False))
 
 
-def similar_threats(found: DataFrame, threats: DataFrame) -> DataFrame:
+def shared_rows(found: DataFrame, threats: DataFrame) -> DataFrame:
+    """(message_id, is_threat, id, bucket, position, indicator, n_mails, n_here): every indicator row with how many mails have
+    the indicator, in all and in the bucket of mails; ids number the mails, and a bucket is as many as a bitmap holds."""
+    flagged = threats.select("message_id", F.lit(True).alias("is_threat")).distinct()
+    mails = found.groupBy("message_id").agg(F.sort_array(F.collect_set("indicator")).alias("indicators")).join(flagged, "message_id", "left")
+    # written, so that a mail's number is the same wherever it is read
+    mails = staged(mails.select("message_id", F.coalesce("is_threat", F.lit(False)).alias("is_threat"), "indicators", F.monotonically_increasing_id().alias("id")), "numbered-mails")
+    rows = mails.select("message_id", "is_threat", "id", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("position"), F.explode("indicators").alias("indicator"))
+    here = rows.groupBy("indicator", "bucket").agg(F.count(F.lit(1)).alias("n_here"))
+    total = here.groupBy("indicator").agg(F.sum("n_here").alias("n_mails"))
+    return staged(rows.join(here.join(total, "indicator"), ["indicator", "bucket"]), "indicators")
+
+
+def similar_threats(found: DataFrame, threats: DataFrame, dense: int = MAILS_AS_BITMAP) -> DataFrame:
     """For each threat, how many other mails share an indicator with it and how many are threats.
 
-    Mails are never paired through a common indicator, however common it is. The mails sharing at
-    least one of a threat's indicators are counted by inclusion and exclusion: mails are counted
-    once per subset of their indicators, and the signed counts of a threat's own subsets add up to
-    the size of the union. Mails with more than eight indicators would have too many subsets; they
-    are rare and are matched directly, each against the mails that share an indicator. The
-    indicator rows are read by several branches and are written to the shared folder first.
+    Mails are never paired. Threats with the same shared indicators are one set, and the mails of a set are the union of those of its
+    indicators: where an indicator has more than ``dense`` mails of a bucket these are a bitmap, and the bitmaps of a set and bucket
+    are joined by OR; where it has fewer they stay rows, which count unless the bitmap has them. So the rows of a set are at most
+    ``dense`` a bucket and indicator, however common an indicator is and however many a mail has.
     """
-    flagged = threats.select("message_id", F.lit(True).alias("is_threat")).distinct()
-    marked = staged(found.join(flagged, "message_id", "left").withColumn(
-        "is_threat", F.coalesce("is_threat", F.lit(False))), "indicators")
-    sizes = marked.groupBy("message_id", "is_threat").agg(F.count(F.lit(1)).alias("n"))
-    narrow_ids = sizes.filter(F.col("n") <= MAX_SUBSET_ITEMS)
-    wide_ids = sizes.filter(F.col("n") > MAX_SUBSET_ITEMS).select("message_id", F.lit(True).alias("wide"))
-
-    narrow = marked.join(narrow_ids.select("message_id"), "message_id", "left_semi").groupBy("message_id", "is_threat").agg(
-        F.sort_array(F.collect_set("indicator")).alias("items"))
-    subsets = _subsets(narrow)
-    counts = subsets.groupBy("key").agg(
-        F.count(F.lit(1)).alias("mails"), F.count_if("is_threat").alias("threat_mails"))
-    by_subset = subsets.filter("is_threat").join(counts, "key").groupBy("message_id").agg(
-        (F.sum(F.col("sign") * F.col("mails")) - 1).alias("emails"),
-        (F.sum(F.col("sign") * F.col("threat_mails")) - 1).alias("threats"))
-
-    sized = marked.join(wide_ids, "message_id", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    left = sized.filter("is_threat").select("message_id", "indicator", "wide")
-    right = sized.select(F.col("message_id").alias("other"), "indicator",
-                         F.col("is_threat").alias("other_threat"), F.col("wide").alias("other_wide"))
-    direct = (
-        left.filter("not wide").join(right.filter("other_wide"), "indicator")
-        .unionByName(left.filter("wide").join(right, "indicator"))
-        .filter(F.col("message_id") != F.col("other"))
-        .select("message_id", "other", "other_threat").distinct()
-        .groupBy("message_id").agg(F.count(F.lit(1)).alias("emails"), F.count_if("other_threat").alias("threats")))
-    return by_subset.unionByName(direct).groupBy("message_id").agg(
-        F.sum("emails").alias("emails_scanned"), F.sum("threats").alias("threats_found"))
+    rows = shared_rows(found, threats)
+    shared = rows.filter("n_mails > 1")
+    own = rows.filter("is_threat").groupBy("message_id").agg(F.sort_array(F.collect_set(F.when(F.col("n_mails") > 1, F.col("indicator")))).alias("items"))
+    own = staged(own.withColumn("set", F.sha2(F.to_json("items"), 256)), "threat-sets")
+    sets = own.groupBy("set").agg(F.first("items").alias("items")).select("set", F.explode("items").alias("indicator"))
+    place = ["set", "bucket"]
+
+    maps = shared.filter(F.col("n_here") > dense).groupBy("indicator", "bucket").agg(
+        F.bitmap_construct_agg("position").alias("mails"), F.bitmap_construct_agg(F.when(F.col("is_threat"), F.col("position"))).alias("threat_mails"))
+    maps = sets.join(maps, "indicator").groupBy(*place).agg(F.bitmap_or_agg("mails").alias("mails"), F.bitmap_or_agg("threat_mails").alias("threat_mails"))
+    maps = staged(maps, "threat-bitmaps")
+    single = sets.join(shared.filter(F.col("n_here") <= dense).select("indicator", "bucket", "position", "is_threat"), "indicator")
+    single = single.select(*place, "position", "is_threat").distinct().join(maps.select(*place, "mails"), place, "left")
+    single = single.filter(~_has_bit(F.col("mails"), F.col("position"))).groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_threat").alias("n_threats"))
+    counted = maps.select("set", F.bitmap_count("mails").alias("n"), F.bitmap_count("threat_mails").alias("n_threats")).unionByName(single)
+    unions = counted.groupBy("set").agg(F.sum("n").alias("n"), F.sum("n_threats").alias("n_threats"))
+    # a threat is one of the mails of its set
+    return own.join(unions, "set", "left").select(
+        "message_id", (F.coalesce("n", F.lit(1)) - 1).alias("emails_scanned"), (F.coalesce("n_threats", F.lit(1)) - 1).alias("threats_found"))

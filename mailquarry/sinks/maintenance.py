@@ -76,8 +76,9 @@ def retain(facts: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 
 
 def retain_metrics(metrics: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Rows that aren't older than the cutoff; a row without a time stays."""
     cutoff = F.expr(f"cast('{as_of}' as timestamp_ntz) - interval {int(days)} days")
-    return metrics.filter(F.col("created_at") >= cutoff)
+    return metrics.filter(~F.coalesce(F.col("created_at") < cutoff, F.lit(False)))
 
 
 def without_orphans(children: DataFrame, parents: DataFrame, key: str = "email_analysis_id") -> DataFrame:

@@ -32,3 +32,4 @@ def test_retention_keeps_rows_without_time_or_flag(spark):
         [(1, "2020-01-01", None), (2, None, False), (3, "2020-01-01", False), (4, "2020-01-01", True), (5, "2030-01-01", False)],
         "id int, t string, is_quarantined boolean").withColumn("created_at", F.col("t").cast("timestamp_ntz"))
     assert sorted(r.id for r in maintenance.retain(rows, "2024-01-01 00:00:00").collect()) == [1, 2, 4, 5]
+    assert sorted(r.id for r in maintenance.retain_metrics(rows, "2024-01-01 00:00:00").collect()) == [2, 5]

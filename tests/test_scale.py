@@ -107,23 +107,37 @@ def test_walk_over_many_batches(spark):
     assert got == {(events[i][0], s) for i, s in starts.items()}
 
 
-@pytest.mark.parametrize("most", [2, 8])
-def test_similar_threats_against_pairs(spark, monkeypatch, most):
-    """Also with a low subset limit, so that many mails take the direct way."""
-    monkeypatch.setattr(respond, "MAX_SUBSET_ITEMS", most)
+@pytest.mark.parametrize("dense", [0, 3, 64])
+def test_similar_threats_against_pairs(spark, dense):
+    """With bitmaps for all, some and hardly any indicators; some mails have more than eight, one word is in half of all mails."""
     rng = random.Random(3)
-    holds = {f"m{i}": {"common"} if rng.random() < 0.4 else set() for i in range(60)}
-    for items in holds.values():
-        items.update(f"i{rng.randrange(12)}" for _ in range(rng.randrange(1, 5)))
-    bad = {m for m in holds if rng.random() < 0.3}
-    found = spark.createDataFrame([(m, x) for m, items in holds.items() for x in items], "message_id string, indicator string")
+    holds = {f"m{i}": {"common"} if rng.random() < 0.5 else set() for i in range(150)}
+    for m, items in holds.items():
+        items.update(f"i{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 4, 12, 20])))
+        items.add(f"only {m}")
+    holds["alone"] = {"only alone"}
+    bad = {m for m in holds if rng.random() < 0.3} | {"alone", "without indicators"}
+    found = spark.createDataFrame([(m, x) for m, items in holds.items() for x in items], "message_id string, indicator string").repartition(3)
     threats = spark.createDataFrame([(m,) for m in bad], "message_id string")
-    got = {r.message_id: (r.emails_scanned, r.threats_found) for r in respond.similar_threats(found, threats).collect()}
+    got = {r.message_id: (r.emails_scanned, r.threats_found) for r in respond.similar_threats(found, threats, dense).collect()}
     want = {}
-    for m in bad:
+    for m in bad & set(holds):
         near = {o for o in holds if o != m and holds[o] & holds[m]}
         want[m] = (len(near), len(near & bad))
-    assert got == want
+    assert got == want and want["alone"] == (0, 0)
+
+
+def test_similar_threats_of_a_campaign_stay_small(spark):
+    """A third of all mails with the same indicators are one set: no step makes more rows than there are indicator rows."""
+    n = 3000
+    found = spark.range(n).select(F.format_string("m%d", "id").alias("message_id"), F.explode(F.when(
+        F.col("id") % 3 == 0, F.array([F.lit(f"w{i}") for i in range(10)])).otherwise(F.array(F.lit("w0"), F.format_string("u%d", "id")))).alias("indicator"))
+    threats = spark.range(0, n, 3).select(F.format_string("m%d", "id").alias("message_id"))
+    rows = respond.shared_rows(found, threats)
+    assert rows.count() == n // 3 * 10 + n // 3 * 2 * 2
+    assert rows.filter("n_mails > 1 and is_threat").select("indicator").distinct().count() == 10
+    got = respond.similar_threats(found, threats)
+    assert got.groupBy("emails_scanned", "threats_found").count().collect() == [(n - 1, n // 3 - 1, n // 3)]
 
 
 def test_auc_against_pairs(spark):
