@@ -90,8 +90,7 @@ def rule_scan_text(spark, sf):
     SELECT message_id, rule_name, category, severity, score
     FROM ({oc.rule_rows('v_emails', 'message_id', 'content')}) r""")
 def join_rules(spark, sf):
-    rules = lx.rules_from(lx.rule_table(spark))
-    return plain(content.rule_hits(content.scan_text(view(spark, sf, "v_emails"), rules)))
+    return plain(content.scan_rule_table(view(spark, sf, "v_emails"), lx.rule_table(spark)))
 
 
 _RULE_VALUES = ", ".join(f"({q(r.name)}, {q(r.category)}, {q(r.severity)})" for r in lx.RULES)

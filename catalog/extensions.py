@@ -22,7 +22,7 @@ CUSTOM = [
     WHERE rule_name IN ('Hidden_Frame', 'Dollar_Amounts')""")
 def ext_custom_rules(spark, sf):
     table = lx.rule_table(spark).unionByName(lx.rule_table(spark, CUSTOM))
-    found = content.rule_hits(content.scan_text(view(spark, sf, "v_emails"), lx.rules_from(table)))
+    found = content.scan_rule_table(view(spark, sf, "v_emails"), table)
     return plain(found.filter(F.col("rule_name").isin([r.name for r in CUSTOM])))
 
 
@@ -55,3 +55,35 @@ def ext_feed(spark, sf):
         F.lit(0).cast("bigint").alias("suspicious"), (F.col("n") - F.col("malicious")).alias("harmless"))
     merged = reputation.normalise_feeds(base.unionByName(added, allowMissingColumns=True))
     return plain(reputation.aggregate_verdicts(merged).select("ioc", "sources_checked", "threat_score"))
+
+
+# tables of terms and rules that grow with the data: each run of three words of the benchmark, and a rule for each of its texts
+_WIDE_TERMS = """
+    SELECT DISTINCT lower(array_to_string(w[i:i+2], ' ')) AS term FROM (
+        SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT string_split(text, ' ') AS w FROM benchmark) a) b"""
+
+
+@register("join_lexicon_wide", f"""
+    SELECT message_id, 'benchmark' AS category, count(*) AS hits, md5(string_agg(term, '|' ORDER BY term)) AS terms
+    FROM v_emails JOIN ({_WIDE_TERMS}) t ON contains(lower(content), term) GROUP BY message_id""")
+def join_lexicon_wide(spark, sf):
+    words = view(spark, sf, "benchmark").select(F.split("text", " ").alias("w")).filter("size(w) > 2")
+    runs = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i"))
+    terms = runs.select(F.lower(F.array_join(F.slice("w", F.col("i"), 3), " ")).alias("term")).distinct()
+    lexicon = terms.select(F.lit("wide").alias("lexicon"), F.lit("any").alias("lang"), F.lit("benchmark").alias("category"), F.lit(0).alias("position"), "term")
+    found = content.lexicon_hits(view(spark, sf, "v_emails"), lexicon, "wide", most_inline=0).filter("hits > 0")
+    return plain(found.select("message_id", "category", F.col("hits").cast("bigint").alias("hits"), F.md5(F.array_join(F.sort_array("terms"), "|")).alias("terms")))
+
+
+@register("join_rules_wide", """
+    SELECT message_id, 'item_' || item_id AS rule_name, 'benchmark' AS category, 'high' AS severity, 0.8e0 AS score
+    FROM v_emails JOIN (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) b
+      ON (contains(lower(content), w[1]) OR contains(lower(content), w[2])) AND contains(lower(content), w[3]) AND contains(lower(content), w[4])
+    WHERE len(w) >= 4""")
+def join_rules_wide(spark, sf):
+    words = view(spark, sf, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w")).filter("size(w) >= 4")
+    one = [F.array(F.col("w")[i]) for i in (2, 3)]
+    rules = words.select(
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule_name"), F.lit("benchmark").alias("category"), F.lit("high").alias("severity"),
+        F.array(F.slice("w", 1, 2), *one).alias("groups"), F.lit(None).cast("string").alias("pattern"), F.lit(0).alias("more_than"))
+    return plain(content.scan_rule_table(view(spark, sf, "v_emails"), rules, most_inline=0))

@@ -11,6 +11,9 @@ from mailquarry.functions.text import (
     SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, count_pattern, has_any, matched_terms, occurrences, plain_spaces,
     sentence_count, term_hits, word_count, word_letters,
 )
+from mailquarry.operators.terms import body_key, terms_in
+from mailquarry.plans.skew import small
+from mailquarry.sinks.facts import staged
 
 _START = f"(?<![{WORD_CHARS}])"
 _END = f"(?![{WORD_CHARS}])"
@@ -200,18 +203,23 @@ def style_by_group(emails: DataFrame, *group: str) -> DataFrame:
         F.sum("lower_starts").alias("lower_starts"))
 
 
-def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, max_terms: int = 20_000) -> DataFrame:
+#: Up to this many terms or rules become expressions or one broadcast row; larger tables are indexed by their rarest grams.
+MOST_INLINE = 1000
+#: Pattern rules that meet a text at once.
+PATTERN_BLOCK = 500
+
+
+def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, most_inline: int = MOST_INLINE) -> DataFrame:
     """Terms of a lexicon table found in each text: (message_id, category, hits, size, terms).
 
-    The table is small by contract and refused above ``max_terms``. It becomes one row per
-    language and is joined on the language, so each text is read once. A language without its
-    own terms uses the default language; 'any' terms apply to all.
+    A language without its own terms uses the default language; 'any' terms apply to all. Up to ``most_inline`` terms become
+    one broadcast row per language, so each text is read once; a larger lexicon is searched through :mod:`terms`.
     """
-    terms = lexicon.filter(F.col("lexicon") == name).limit(max_terms + 1)
-    if terms.count() > max_terms:
-        raise ValueError(f"lexicon {name} has more than {max_terms} terms")
-    languages = [r.lang for r in terms.select("lang").distinct().collect()]
-    per_category = terms.groupBy("lang", "category").agg(
+    chosen = lexicon.filter(F.col("lexicon") == name)
+    if chosen.limit(most_inline + 1).count() > most_inline:
+        return _indexed_lexicon_hits(texts, chosen)
+    languages = [r.lang for r in chosen.select("lang").distinct().collect()]  # at most most_inline
+    per_category = chosen.groupBy("lang", "category").agg(
         F.array_sort(F.collect_list(F.struct("position", "term"))).alias("t"))
     per_language = per_category.groupBy("lang").agg(
         F.collect_list(F.struct("category", F.col("t.term").alias("terms"))).alias("categories")
@@ -230,6 +238,23 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame, name: str, max_terms: int
     )
 
 
+def _indexed_lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The same rows for a lexicon of any size: only (text, term) pairs that hold are joined with its rows."""
+    fallback = "any" if lexicon.filter("lang = 'any'").limit(1).count() else lx.DEFAULT_LANGUAGE
+    known = lexicon.select(F.col("lang").alias("_known")).filter("_known IS NOT NULL").distinct()
+    bodies = texts.select("message_id", "lang", F.lower(F.coalesce("content", F.lit(""))).alias("text")).withColumn("body", body_key(F.col("text")))
+    keyed = bodies.drop("text").join(small(known), F.col("lang") == F.col("_known"), "left").select(
+        "message_id", "body", F.coalesce("_known", F.lit(fallback)).alias("lang"))
+    entries = lexicon.select("lang", "category", "position", "term")
+    # of one text and language: at most the terms it holds
+    held = terms_in(bodies, entries).join(entries, "term").groupBy("body", "lang", "category").agg(
+        F.array_sort(F.collect_list(F.struct("position", "term"))).alias("held"))
+    sizes = entries.groupBy("lang", "category").agg(F.count("*").cast("int").alias("size"))
+    rows = keyed.join(small(sizes.filter("category IS NOT NULL")), "lang").join(held, ["body", "lang", "category"], "left")
+    found = F.coalesce(F.col("held.term"), F.array().cast("array<string>"))
+    return rows.select("message_id", "category", F.size(found).alias("hits"), "size", found.alias("terms"))
+
+
 def scan_text(emails: DataFrame, rules: list[lx.Rule] | None = None) -> DataFrame:
     """Rule score and matched rules per mail."""
     found = rl.with_matches(with_lowered(emails).select("message_id", "_text", "_lower"), "_text", "_lower", rules)
@@ -237,6 +262,36 @@ def scan_text(emails: DataFrame, rules: list[lx.Rule] | None = None) -> DataFram
     return found.select("message_id", F.inline_outer(F.array(F.struct("matches", "rule_score"))))
 
 
+def scan_rule_table(emails: DataFrame, rules: DataFrame, most_inline: int = MOST_INLINE) -> DataFrame:
+    """One row per (mail, matched rule) for a rule table of any size: (message_id, rule_name, category, severity, score).
+
+    Up to ``most_inline`` rules become expressions. Of more, the strings are searched through :mod:`terms` and a rule matches where each
+    of its groups has a string in the text; pattern rules can't be indexed and meet every text in blocks. A repeated rule matches as often as it
+    stands in the table, a repeated mail as often as it occurs.
+    """
+    if rules.limit(most_inline + 1).count() <= most_inline:
+        return rule_hits(scan_text(emails, lx.rules_from(rules, most_inline)))
+    named = rules.select("rule_name", "category", "severity", "groups", "pattern", F.coalesce("more_than", F.lit(0)).alias("more_than"))
+    named = staged(named.groupBy(*named.columns).agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumn(
+        "rule", F.sha2(F.to_json(F.struct("rule_name", "category", "severity", "groups", "pattern", "more_than")), 256)), "rules")
+    bodies = emails.select("message_id", F.coalesce("content", F.lit("")).alias("_text")).withColumn("text", F.lower("_text")).withColumn(
+        "body", body_key(F.col("_text")))
+    strings = named.filter("pattern IS NULL").select("rule", F.size("groups").alias("n"), F.posexplode("groups").alias("at", "strings")).select(
+        "rule", "n", "at", F.explode("strings").alias("term")).withColumn("term", F.lower("term")).distinct()
+    by_string = terms_in(bodies, strings).join(strings, "term").groupBy("body", "rule", "n").agg(
+        F.count_distinct("at").alias("met")).filter("met = n").select("body", "rule")
+    patterns = named.filter("pattern IS NOT NULL")
+    n_blocks = -(-patterns.count() // PATTERN_BLOCK) or 1
+    blocks = patterns.groupBy(F.pmod(F.xxhash64("rule"), F.lit(n_blocks)).alias("block")).agg(
+        F.collect_list(F.struct("rule", "pattern", "more_than")).alias("patterns")).drop("block")
+    by_pattern = bodies.crossJoin(small(blocks)).select("body", F.explode(F.filter(
+        "patterns", lambda p: F.size(F.regexp_extract_all(F.col("_text"), p["pattern"], F.lit(0))) > p["more_than"])).alias("p")).select("body", "p.rule")
+    score = F.coalesce(F.create_map(*[F.lit(x) for pair in lx.SEVERITY_SCORES.items() for x in pair])[F.col("severity")], F.lit(0.5))
+    matched = by_string.unionByName(by_pattern).distinct().join(named, "rule")
+    matched = matched.select("body", "rule_name", "category", "severity", score.cast("double").alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
+    return bodies.select("message_id", "body").join(matched, "body").drop("body", "_copy")
+
+
 def rule_hits(scanned: DataFrame, key: str = "message_id") -> DataFrame:
     """One row per (mail, matched rule)."""
     return scanned.select(key, F.inline_outer("matches")).filter("rule_name is not null")
@@ -252,16 +307,19 @@ def rule_statistics(hits: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(emails: DataFrame, lexicon: DataFrame, max_terms: int = 20_000) -> DataFrame:
-    """Every lexicon term with the number of mails that contain it."""
-    terms = [r.term for r in lexicon.select("term").distinct().orderBy("term").limit(max_terms + 1).collect()]
-    if len(terms) > max_terms:
-        raise ValueError(f"lexicon has more than {max_terms} terms")
-    texts = emails.select(F.lower(F.concat_ws(" ", "subject", "content")).alias("_lower"))
-    found = texts.select(F.explode_outer(matched_terms(F.col("_lower"), terms)).alias("term")).filter("term is not null")
-    counts = found.groupBy("term").agg(
-        F.count(F.lit(1)).alias("mails"))
-    return lexicon.join(F.broadcast(counts), "term", "left").select(
+def term_frequencies(emails: DataFrame, lexicon: DataFrame, most_inline: int = MOST_INLINE) -> DataFrame:
+    """Every lexicon term with the number of mails that contain it. Up to ``most_inline`` distinct terms are tests of their own, more are
+    searched through :mod:`terms`."""
+    distinct = [r.term for r in lexicon.select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(most_inline + 1).collect()]
+    texts = emails.select(F.lower(F.concat_ws(" ", "subject", "content")).alias("text"))
+    if len(distinct) > most_inline:
+        texts = texts.withColumn("body", body_key(F.col("text")))
+        mails = texts.groupBy("body").agg(F.count(F.lit(1)).alias("mails"))
+        counts = terms_in(texts, lexicon).join(mails, "body").groupBy("term").agg(F.sum("mails").alias("mails"))
+    else:
+        found = texts.select(F.explode_outer(matched_terms(F.col("text"), distinct)).alias("term")).filter("term is not null")
+        counts = F.broadcast(found.groupBy("term").agg(F.count(F.lit(1)).alias("mails")))
+    return lexicon.join(counts, "term", "left").select(
         "lexicon", "lang", "category", "term", F.coalesce("mails", F.lit(0)).alias("mails"))
 
 
