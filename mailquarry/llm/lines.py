@@ -1,19 +1,23 @@
 """Line dedup with a log-template tree.
 
 A line is cut at white space into tokens; a token with a digit is a variable field. The tree has a
-fixed depth: the first level is the token count, the next ``LEADING`` levels are the leading tokens.
-In a leaf, a token is constant at its position if at least ``max(2, CONSTANT_SHARE * lines)`` of the
-leaf's distinct lines have it there, else variable too. A line's template is its constant tokens,
-with ``<*>`` for the others; it counts where at least ``SIMILARITY`` of its tokens are constant. A
-template recurs if lines of it stand in more than one document; exact repeats of a line always share
-one. Lines of a recurring template are dropped from all documents but the first one (smallest
-doc_id), which keeps them, so that no content is lost. Lines of fewer than ``MIN_TOKENS`` tokens are
-left alone.
+fixed depth: the first level is the token count, the next ``LEADING`` levels are the leading tokens, and the
+last level are two tokens in their places. For that, the tokens of a line that other lines of the leaf have in the same place are put
+in order of how few do; each two of the ``RAREST`` first are a branch, so a line stands in up to six. The lines of a template meet in
+the branch of its two rarest constants, beside few others however large the leaf is.
+
+In a branch, a token is constant if at least ``max(2, CONSTANT_SHARE * lines)`` of the branch's lines have it in that place, else
+variable. A template is the constant tokens with ``<*>`` for the others; it counts for a line where at least
+``SIMILARITY`` of its tokens are constant. A line takes the one of its templates that has most lines (of equal ones that with
+more constants, then by places), so it is in one group. A template recurs if the lines that took it stand in more than one document; exact
+repeats of a line always share one. Lines of a recurring template are dropped from all documents but the first one (smallest
+doc_id), which keeps them, so that no content is lost. Lines of fewer than ``MIN_TOKENS`` tokens are left alone.
 
 One pass over the texts writes hashes of leaf and line. Grouping them (which reduces before the
 shuffle, so a line that a third of all documents share is one row for each task) finds repeats and
 the leaves with several lines; only the lines of those leaves are read again, cut into tokens and
-counted by (leaf, position, token).
+counted by (leaf, position, token). Lines with too few shared tokens for any template end there; the others are counted by
+(branch, position, token), with up to six rows a token.
 
 Cases: a null text has no lines and stays null; a text that loses all its lines becomes empty. Rows with
 the same doc_id count as one document; so do rows without doc_id that have the same text, and
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from mailquarry.llm.common import apart, hash_filter, perhaps_in, same_row
 from mailquarry.sinks.facts import staged
 
-LEADING = 3
+LEADING, RAREST = 3, 4
 MIN_TOKENS = 5
 SIMILARITY = 0.8
 CONSTANT_SHARE = 0.1
@@ -82,6 +86,13 @@ def _owner_key(owner: Column, owner_hash: Column) -> Column:
     return F.xxhash64(owner, F.coalesce(owner_hash, F.lit(0).cast("long")))
 
 
+def _branches(cells: Column) -> Column:
+    """Each two of the rarest cells of a line, as one hash."""
+    cell = [F.get(cells, F.lit(i)) for i in range(RAREST)]
+    pairs = [(a, b) for i, a in enumerate(cell) for b in cell[i + 1:]]
+    return F.array_compact(F.array(*[F.when(b.isNotNull(), F.xxhash64(F.least(a, b), F.greatest(a, b))) for a, b in pairs]))
+
+
 def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY,
               constant_share: float = CONSTANT_SHARE) -> DataFrame:
     """(leaf, key, owner, owner_hash) of the lines whose template recurs."""
@@ -96,17 +107,32 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tok
     held = docs.withColumn("hash", F.xxhash64("text"))
     held = perhaps_in(held, _owner_key(*_document()), wanted).select("doc_id", "text")
     texts = perhaps_in(lines_of(held, leading, min_tokens).select("leaf", "key", "line"), F.col("key"), wanted).distinct()
-    cells = texts.join(mixed, ["leaf", "key"]).select(
-        "leaf", "key", "variants", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    cells = cells.select("leaf", "key", "variants", F.xxhash64("leaf", "at", "token").alias("cell"))
+    texts = staged(texts.join(mixed.select("leaf", "key"), ["leaf", "key"]).select("leaf", "key", F.split("line", " ").alias("tokens")), "llm-leaf-lines")
+    cells = texts.select("leaf", "key", F.size("tokens").alias("tokens"), F.posexplode("tokens").alias("at", "token"))
+    cells = cells.select("leaf", "key", "tokens", "at", F.xxhash64("leaf", "at", "token").alias("cell"))
     support = cells.groupBy("cell").agg(F.count("*").alias("support")).where("support > 1")
-    constant = F.col("support") >= F.ceil(F.col("variants") * constant_share)
-    shapes = cells.join(support, "cell").where(constant).groupBy("leaf", "key").agg(
-        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.bit_xor(F.xxhash64("cell")).alias("shape2"))
-    sizes = texts.select("leaf", "key", token_count(F.col("line")).alias("tokens"))
-    templates = mixed.join(sizes, ["leaf", "key"]).join(shapes, ["leaf", "key"]).where(F.col("constants") >= F.ceil(F.col("tokens") * similarity))
-    templates = staged(templates.select("leaf", "key", "shape", "shape2", "owner", "owner_hash", "last", "last_hash"), "llm-templates")
+    needed = F.ceil(F.col("tokens") * similarity)
+    shared = cells.join(support, "cell").groupBy("leaf", "key", "tokens").agg(F.array_sort(F.collect_list(F.struct("support", "at", "cell"))).alias("own"))
+    shared = staged(shared.where(F.size("own") >= needed), "llm-shared")
+    # of a line: its templates in all its branches
+    branched = shared.select("leaf", "key", "tokens", "own", F.explode(_branches(F.col("own.cell"))).alias("branch"))
+    sizes = branched.groupBy("branch").agg(F.count("*").alias("variants")).where("variants > 1")
+    placed = staged(branched.join(sizes, "branch").select("leaf", "key", "tokens", "branch", "variants", F.expr("transform(own, x -> struct(x.at, x.cell))").alias("own")), "llm-branches")
+    counted = placed.select("branch", "variants", F.explode("own.cell").alias("cell")).groupBy("branch", "cell").agg(
+        F.count("*").alias("n"), F.min("variants").alias("variants"))
+    constant = counted.where((F.col("n") > 1) & (F.col("n") >= F.ceil(F.col("variants") * constant_share))).select("branch", "cell")
+    at = F.col("at").cast("long")
+    shapes = placed.select("leaf", "key", "tokens", "branch", F.inline("own")).join(constant, ["branch", "cell"]).groupBy("leaf", "key", "tokens", "branch").agg(
+        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.bit_xor(F.xxhash64("cell")).alias("shape2"),
+        F.sum(at).alias("at1"), F.sum(at * at).alias("at2"))
+    # one row for a line and template, found by whatever branch
     shape = ["leaf", "shape", "shape2"]
+    shapes = staged(shapes.where(F.col("constants") >= needed).groupBy(*shape, "key").agg(
+        F.min("constants").alias("constants"), F.min("at1").alias("at1"), F.min("at2").alias("at2")), "llm-shapes")
+    popular = shapes.groupBy(*shape).agg(F.count("*").alias("n")).where("n > 1")
+    best = F.struct((-F.col("n")).alias("n"), (-F.col("constants")).alias("constants"), "at1", "at2", "shape", "shape2")
+    taken = shapes.join(popular, shape).groupBy("leaf", "key").agg(F.min(best).alias("best")).select("leaf", "key", "best.shape", "best.shape2")
+    templates = staged(taken.join(mixed, ["leaf", "key"]), "llm-templates")
     groups = templates.groupBy(*shape).agg(*_span()).where(_several())
     general = templates.select(*shape, "key").join(groups, shape)
     found = ["leaf", "key", "owner", "owner_hash"]
@@ -154,20 +180,38 @@ leaves AS (SELECT leaf, count(*) AS variants FROM counts GROUP BY leaf HAVING co
 exploded AS (
   SELECT leaf, line, last, owner, variants, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos
   FROM counts JOIN leaves USING (leaf)),
-support AS (SELECT leaf, pos, token, count(*) AS support FROM exploded GROUP BY leaf, pos, token),
-judged AS (
-  SELECT *, support >= greatest(2, ceil(variants * CAST({CONSTANT_SHARE} AS DOUBLE))) AS constant
-  FROM exploded JOIN support USING (leaf, pos, token)),
+support AS (SELECT leaf, pos, token, count(*) AS support FROM exploded GROUP BY leaf, pos, token HAVING count(*) > 1),
+shared AS (
+  SELECT * FROM (
+    SELECT leaf, line, pos, token, last, owner, support, len(string_split(line, ' ')) AS tokens, count(*) OVER (PARTITION BY leaf, line) AS n,
+           row_number() OVER (PARTITION BY leaf, line ORDER BY support, pos) AS rarity
+    FROM exploded JOIN support USING (leaf, pos, token)) x
+  WHERE n >= ceil(tokens * CAST({SIMILARITY} AS DOUBLE))),
+branches AS (
+  SELECT leaf, a.line, a.pos AS p1, a.token AS t1, b.pos AS p2, b.token AS t2
+  FROM shared a JOIN shared b USING (leaf, line) WHERE a.rarity <= {RAREST} AND b.rarity <= {RAREST} AND a.pos < b.pos),
+sizes AS (SELECT leaf, p1, t1, p2, t2, count(*) AS lines FROM branches GROUP BY ALL HAVING count(*) > 1),
+placed AS (
+  SELECT leaf, line, p1, t1, p2, t2, lines, pos, token, tokens FROM branches JOIN sizes USING (leaf, p1, t1, p2, t2) JOIN shared USING (leaf, line)),
+constants AS (
+  SELECT leaf, p1, t1, p2, t2, pos, token FROM placed GROUP BY ALL
+  HAVING count(*) >= greatest(2, ceil(any_value(lines) * CAST({CONSTANT_SHARE} AS DOUBLE)))),
 templates AS (
-  SELECT leaf, line, max(last) AS last, min(owner) AS owner,
-         string_agg(CASE WHEN constant THEN token ELSE '{FIELD}{FIELD}' END, ' ' ORDER BY pos) AS template
-  FROM judged GROUP BY leaf, line HAVING count(*) FILTER (constant) >= ceil(count(*) * CAST({SIMILARITY} AS DOUBLE))),
+  SELECT DISTINCT leaf, line, template, constants, at1, at2 FROM (
+    SELECT leaf, line, string_agg(pos || ' ' || token, ' ' ORDER BY pos) AS template, count(*) AS constants, sum(pos) AS at1, sum(pos * pos) AS at2, any_value(tokens) AS tokens
+    FROM placed JOIN constants USING (leaf, p1, t1, p2, t2, pos, token) GROUP BY leaf, line, p1, t1, p2, t2) y
+  WHERE constants >= ceil(tokens * CAST({SIMILARITY} AS DOUBLE))),
+popular AS (SELECT leaf, template, count(*) AS n FROM templates GROUP BY leaf, template HAVING count(*) > 1),
+taken AS (
+  SELECT leaf, line, template, last, owner FROM (
+    SELECT *, row_number() OVER (PARTITION BY leaf, line ORDER BY n DESC, constants DESC, at1, at2) AS choice
+    FROM templates JOIN popular USING (leaf, template)) z JOIN counts USING (leaf, line) WHERE choice = 1),
 groups AS (
-  SELECT leaf, template, min(owner) AS owner FROM templates GROUP BY leaf, template HAVING min(owner) <> max(last)),
+  SELECT leaf, template, min(owner) AS owner FROM taken GROUP BY leaf, template HAVING min(owner) <> max(last)),
 owners AS (
   SELECT line, min(owner) AS owner FROM (
     SELECT line, owner FROM counts WHERE owner <> last
-    UNION ALL SELECT line, groups.owner FROM templates JOIN groups USING (leaf, template)) GROUP BY line),
+    UNION ALL SELECT line, groups.owner FROM taken JOIN groups USING (leaf, template)) GROUP BY line),
 drops AS (SELECT doc_id, pos FROM long_lines JOIN owners USING (line) WHERE doc_id <> owner),
 left_over AS (
   SELECT doc_id, count(*) AS n_lines, count(drops.doc_id) AS n_dropped,

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, with nulls, empty tables, repeats and clashing columns."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -142,6 +143,17 @@ def test_line_template_with_a_variable_word(spark):
     assert sorted(r.n_dropped for r in got.collect())[0] == 0 and got.where("n_dropped >= 1").count() == 11
 
 
+@pytest.mark.parametrize("others", [440, 940, 99_940])
+def test_small_template_in_a_large_leaf(spark, others):
+    """Sixty lines of one template beside other lines with the same leading tokens and length."""
+    rng = random.Random(others)
+    words = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "mnprst"]
+    texts = [f"1 2 3 the backup of {a}{b}q was stored on the second disk" for a, b in itertools.islice(itertools.product(words, "xyz"), 60)]
+    texts += [" ".join(["1 2 3", *rng.choices(words, k=10)]) for _ in range(others)]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_dropped > 0").select("doc_id").collect()
+    assert {r.doc_id for r in got} >= set(range(1, 60)) and len(got) <= 59 + others // 1000
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(11)
     items = [[sentence(rng, 30) for _ in range(3)], "short test item", None, "", "--"]

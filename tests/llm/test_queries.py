@@ -1,10 +1,11 @@
 """The pipeline, the rules and the site posteriors against brute force; classifiers on held-out rows."""
 
+import itertools
 import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
@@ -67,13 +68,34 @@ def brute_lines(rows):
         for line in own:
             for cell in enumerate(line):
                 support[leaf, cell] += 1
-    groups, first = defaultdict(set), {}
+    first, branches, groups, taken = {}, defaultdict(set), defaultdict(set), defaultdict(set)
+    shared = {}
     for leaf, own in leaves.items():
+        for line in own:
+            cells = sorted((support[leaf, (at, t)], at, t) for at, t in enumerate(line) if support[leaf, (at, t)] > 1)
+            if len(cells) >= math.ceil(len(line) * lines.SIMILARITY):
+                shared[line] = {(at, t) for _, at, t in cells}
+                for pair in itertools.combinations(sorted(c[1:] for c in cells[: lines.RAREST]), 2):
+                    branches[leaf, pair].add(line)
+    for own in branches.values():
+        counted = Counter(cell for line in own for cell in shared[line])
         least = max(2, math.ceil(len(own) * lines.CONSTANT_SHARE))
         for line in own:
-            template = tuple(t if support[leaf, (at, t)] >= least else None for at, t in enumerate(line))
-            if len(own) > 1 and sum(t is not None for t in template) >= math.ceil(len(line) * lines.SIMILARITY):
-                groups[leaf, template].add(line)
+            template = tuple(t if (at, t) in shared[line] and counted[at, t] >= least else None for at, t in enumerate(line))
+            if sum(t is not None for t in template) >= math.ceil(len(line) * lines.SIMILARITY):
+                groups[template, line[: lines.LEADING]].add(line)
+
+    def rank(key):
+        places = [at for at, t in enumerate(key[0]) if t is not None]
+        return -len(groups[key]), -len(places), sum(places), sum(x * x for x in places)
+
+    of_line = defaultdict(list)
+    for key, own in groups.items():
+        for line in own if len(own) > 1 else ():
+            of_line[line].append(key)
+    for line, keys in of_line.items():
+        taken[min(keys, key=rank)].add(line)
+    groups = taken
     for line, own in holders.items():
         if len(own) > 1:
             first[line] = min(own)
@@ -85,6 +107,18 @@ def brute_lines(rows):
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if first.get(masked(x), i) == i) for i, t in rows}
 
 
+def test_line_templates_equal_brute_force(spark):
+    """Few words and few leaves, so that branches, templates and ties meet in all ways."""
+    rng = random.Random(17)
+    shapes = [[rng.choice(["on", "the", "of"]) for _ in range(3)] + [rng.choice(["ka", "lo", "mi", "nu", "pe", None, None]) for _ in range(n)] for n in (3, 5, 7, 9, 9) for _ in range(3)]
+    line = lambda: " ".join(t or rng.choice("abcdefgh") for t in rng.choice(shapes)).replace("pe", rng.choice(["pe", "pe", "p7", "qu"]))
+    rows = [(i // 2 if i % 9 else 3, "\n".join(line() for _ in range(rng.randrange(4)))) for i in range(300)]
+    rows = list(dict(rows).items())
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == brute_lines(rows)
+    assert sum(r.n_dropped for r in got.values()) > 50
+
+
 def brute_leak(text, items):
     """Whether a text holds one of the items (token lists), every way of laying them on it tried."""
     tokens = [x for x in (re.sub(r"[\W_]+", "", t.lower()) for t in (text or "").split()) if x]
