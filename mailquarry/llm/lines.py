@@ -17,7 +17,7 @@ One pass over the texts writes hashes of leaf and line. Grouping them (which red
 shuffle, so a line that a third of all documents share is one row for each task) finds repeats and
 the leaves with several lines; only the lines of those leaves are read again, cut into tokens and
 counted by (leaf, position, token). Lines with too few shared tokens for any template end there; the others are counted by
-(branch, position, token), with up to six rows a token.
+(branch, position, token), once for branches of the same lines, and take the constants of their branch as one list.
 
 Cases: a null text has no lines and stays null; a text that loses all its lines becomes empty. Rows with
 the same doc_id count as one document; so do rows without doc_id that have the same text, and
@@ -43,6 +43,8 @@ FIELD = "<*>"
 SPACES, WITH_DIGIT = r"[ \t\r\f\x0B]+", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 ODD_SPACES, DIGIT = r"  |[\t\r\f\x0B]", "[0-9]"
 LAST_ID = 2**63 - 1
+#: Bits of a token's hash beside its place, where only tokens of one leaf are compared.
+HASH_BITS = 40
 
 
 def masked_lines(text: Column) -> Column:
@@ -86,6 +88,11 @@ def _owner_key(owner: Column, owner_hash: Column) -> Column:
     return F.xxhash64(owner, F.coalesce(owner_hash, F.lit(0).cast("long")))
 
 
+def _packed(at: Column, cell: Column) -> Column:
+    """Place and hash of a token as one number, to compare tokens of one leaf."""
+    return F.shiftleft(at.cast("long"), HASH_BITS).bitwiseOR(cell.bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long")))
+
+
 def _branches(cells: Column) -> Column:
     """Each two of the rarest cells of a line, as one hash."""
     cell = [F.get(cells, F.lit(i)) for i in range(RAREST)]
@@ -112,23 +119,30 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tok
     cells = cells.select("leaf", "key", "tokens", "at", F.xxhash64("leaf", "at", "token").alias("cell"))
     support = cells.groupBy("cell").agg(F.count("*").alias("support")).where("support > 1")
     needed = F.ceil(F.col("tokens") * similarity)
-    shared = cells.join(support, "cell").groupBy("leaf", "key", "tokens").agg(F.array_sort(F.collect_list(F.struct("support", "at", "cell"))).alias("own"))
+    rarest_first = F.transform(F.array_sort(F.collect_list(F.struct("support", "at", "cell"))), lambda x: _packed(x["at"], x["cell"]))
+    shared = cells.join(support, "cell").groupBy("leaf", "key", "tokens").agg(rarest_first.alias("own"))
     shared = staged(shared.where(F.size("own") >= needed), "llm-shared")
-    # of a line: its templates in all its branches
-    branched = shared.select("leaf", "key", "tokens", "own", F.explode(_branches(F.col("own.cell"))).alias("branch"))
-    sizes = branched.groupBy("branch").agg(F.count("*").alias("variants")).where("variants > 1")
-    placed = staged(branched.join(sizes, "branch").select("leaf", "key", "tokens", "branch", "variants", F.expr("transform(own, x -> struct(x.at, x.cell))").alias("own")), "llm-branches")
-    counted = placed.select("branch", "variants", F.explode("own.cell").alias("cell")).groupBy("branch", "cell").agg(
+    # branches of the same lines are one
+    branched = shared.select("leaf", "key", F.explode(_branches(F.col("own"))).alias("branch"))
+    same = branched.groupBy("leaf", "branch").agg(F.count("*").alias("variants"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")).where("variants > 1")
+    same = same.select("leaf", "branch", F.struct(F.xxhash64("variants", "x", "y").alias("lines"), "variants").alias("set"))
+    sets = branched.join(same, ["leaf", "branch"]).groupBy("leaf", "key").agg(F.collect_set("set").alias("sets"))
+    placed = staged(shared.join(sets, ["leaf", "key"]).select("leaf", "key", "tokens", "own", F.inline("sets")), "llm-branches")
+    counted = placed.select("leaf", "lines", "variants", F.explode("own").alias("cell")).groupBy("leaf", "lines", "cell").agg(
         F.count("*").alias("n"), F.min("variants").alias("variants"))
-    constant = counted.where((F.col("n") > 1) & (F.col("n") >= F.ceil(F.col("variants") * constant_share))).select("branch", "cell")
-    at = F.col("at").cast("long")
-    shapes = placed.select("leaf", "key", "tokens", "branch", F.inline("own")).join(constant, ["branch", "cell"]).groupBy("leaf", "key", "tokens", "branch").agg(
-        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.bit_xor(F.xxhash64("cell")).alias("shape2"),
-        F.sum(at).alias("at1"), F.sum(at * at).alias("at2"))
+    # of one branch: at most ten for each place
+    constant = counted.where((F.col("n") > 1) & (F.col("n") >= F.ceil(F.col("variants") * constant_share))).groupBy("leaf", "lines").agg(
+        F.collect_list("cell").alias("constant"))
+    own = placed.join(constant, ["leaf", "lines"]).select("leaf", "key", "tokens", F.array_intersect("own", "constant").alias("own"))
+    places, none = F.transform("own", lambda x: F.shiftright(x, HASH_BITS)), F.lit(0).cast("long")
     # one row for a line and template, found by whatever branch
     shape = ["leaf", "shape", "shape2"]
-    shapes = staged(shapes.where(F.col("constants") >= needed).groupBy(*shape, "key").agg(
-        F.min("constants").alias("constants"), F.min("at1").alias("at1"), F.min("at2").alias("at2")), "llm-shapes")
+    shapes = staged(own.where(F.size("own") >= needed).select(
+        "leaf", "key", F.size("own").alias("constants"),
+        F.aggregate("own", none, lambda a, x: a.bitwiseXOR(F.xxhash64(x))).alias("shape"),
+        F.aggregate("own", none, lambda a, x: a.bitwiseXOR(F.xxhash64(x, F.lit(1)))).alias("shape2"),
+        F.aggregate(places, none, lambda a, x: a + x).alias("at1"),
+        F.aggregate(places, none, lambda a, x: a + x * x).alias("at2")).distinct(), "llm-shapes")
     popular = shapes.groupBy(*shape).agg(F.count("*").alias("n")).where("n > 1")
     best = F.struct((-F.col("n")).alias("n"), (-F.col("constants")).alias("constants"), "at1", "at2", "shape", "shape2")
     taken = shapes.join(popular, shape).groupBy("leaf", "key").agg(F.min(best).alias("best")).select("leaf", "key", "best.shape", "best.shape2")
