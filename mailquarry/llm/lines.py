@@ -16,8 +16,9 @@ doc_id), which keeps them, so that no content is lost. Lines of fewer than ``MIN
 One pass over the texts writes hashes of leaf and line. Grouping them (which reduces before the
 shuffle, so a line that a third of all documents share is one row for each task) finds repeats and
 the leaves with several lines; only the lines of those leaves are read again, cut into tokens and
-counted by (leaf, position, token). Lines with too few shared tokens for any template end there; the others are counted by
-(branch, position, token), with up to six rows a token.
+counted by (leaf, position, token). Lines with too few shared tokens for any template end there. Hashes of the others' branches are
+counted; to a branch with several lines their tokens' hashes follow as arrays, and a task counts whole branches one after the
+other. Those of more than ``MOST_CELLS`` tokens are counted by (branch, position, token) over all tasks.
 
 Cases: a null text has no lines and stays null; a text that loses all its lines becomes empty. Rows with
 the same doc_id count as one document; so do rows without doc_id that have the same text, and
@@ -30,14 +31,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import apart, hash_filter, perhaps_in, same_row
+from mailquarry.llm.common import apart, hash_filter, in_arrow, perhaps_in, same_row
 from mailquarry.sinks.facts import staged
 
 LEADING, RAREST = 3, 4
 MIN_TOKENS = 5
 SIMILARITY = 0.8
 CONSTANT_SHARE = 0.1
+#: Tokens of all lines of a branch that one task holds at a time.
+MOST_CELLS = 2**16
 FIELD = "<*>"
+SHAPES = "leaf long, key long, shape long, constants long, at1 long, at2 long"
 #: White space is collapsed first; then tokens with a digit become fields. The look-behind keeps the
 #: search linear.
 SPACES, WITH_DIGIT = r"[ \t\r\f\x0B]+", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
@@ -93,9 +97,77 @@ def _branches(cells: Column) -> Column:
     return F.array_compact(F.array(*[F.when(b.isNotNull(), F.xxhash64(F.least(a, b), F.greatest(a, b))) for a, b in pairs]))
 
 
+def _small_branches(constant_share: float):
+    """Templates of the lines of whole branches, from rows in order of the branch."""
+    def shapes(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        branch = batch.column("branch").to_numpy()
+        lists = batch.column("cells").combine_chunks()
+        starts = lists.offsets.to_numpy()
+        cells = lists.values.to_numpy()[starts[0]:starts[-1]]
+        at = batch.column("ats").combine_chunks().flatten().to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        row = np.repeat(np.arange(len(branch)), np.diff(starts))
+        group = np.cumsum(np.r_[0, branch[1:] != branch[:-1]])[row]
+        order = np.lexsort((cells, group))
+        change = np.r_[True, (cells[order][1:] != cells[order][:-1]) | (group[order][1:] != group[order][:-1])]
+        run = np.cumsum(change) - 1
+        support = np.empty(len(cells), dtype=np.int64)
+        support[order] = np.bincount(run)[run]
+        least = np.maximum(2, np.ceil(batch.column("variants").to_numpy() * constant_share))
+        constant = support >= least[row]
+        first = starts[:-1]
+        constants = np.add.reduceat(constant.astype(np.int64), first)
+        found = constants >= batch.column("needed").to_numpy()
+        at = np.where(constant, at, 0)
+        columns = {"leaf": batch.column("leaf").to_numpy(), "key": batch.column("key").to_numpy(),
+                   "shape": np.bitwise_xor.reduceat(np.where(constant, cells, 0), first), "constants": constants,
+                   "at1": np.add.reduceat(at, first), "at2": np.add.reduceat(at * at, first)}
+        return pa.RecordBatch.from_pydict({k: v[found] for k, v in columns.items()})
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            branch = rows.column("branch").to_numpy()
+            # the last branch may go on in the next batch
+            whole = int(np.searchsorted(branch, branch[-1]))
+            if whole:
+                yield shapes(rows.slice(0, whole).combine_chunks())
+            rest = rows.slice(whole).combine_chunks()
+        if rest is not None:
+            yield shapes(rest)
+
+    return run
+
+
+def _large_branches(placed: DataFrame, constant_share: float) -> DataFrame:
+    """The same for branches of any size: counts by (branch, cell), joined back to the lines."""
+    counted = placed.select("branch", "variants", F.explode("cells").alias("cell")).groupBy("branch", "cell").agg(
+        F.count("*").alias("n"), F.min("variants").alias("variants"))
+    constant = counted.where((F.col("n") > 1) & (F.col("n") >= F.ceil(F.col("variants") * constant_share))).select("branch", "cell")
+    at = F.col("at").cast("long")
+    own = F.arrays_zip(F.col("ats").alias("at"), F.col("cells").alias("cell"))
+    return placed.select("leaf", "key", "needed", "branch", F.inline(own).alias("at", "cell")).join(constant, ["branch", "cell"]).groupBy(
+        "leaf", "key", "needed", "branch").agg(
+        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.sum(at).alias("at1"), F.sum(at * at).alias("at2")
+    ).where(F.col("constants") >= F.col("needed")).select("leaf", "key", "shape", "constants", "at1", "at2")
+
+
 def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY,
-              constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """(leaf, key, owner, owner_hash) of the lines whose template recurs."""
+              constant_share: float = CONSTANT_SHARE, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(leaf, key, owner, owner_hash) of the lines whose template recurs.
+
+    Branches of up to ``most_cells`` tokens in all are whole in a task, larger ones are spread; both give the same.
+    """
     owner, owner_hash = _document()
     counts = staged(lines.select("leaf", "key", owner.alias("owner"), owner_hash.alias("owner_hash")).groupBy("leaf", "key").agg(
         F.min("owner").alias("owner"), F.min("owner_hash").alias("owner_hash"), F.max("owner").alias("last"), F.max("owner_hash").alias("last_hash")), "llm-lines")
@@ -111,27 +183,26 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_tok
     cells = texts.select("leaf", "key", F.size("tokens").alias("tokens"), F.posexplode("tokens").alias("at", "token"))
     cells = cells.select("leaf", "key", "tokens", "at", F.xxhash64("leaf", "at", "token").alias("cell"))
     support = cells.groupBy("cell").agg(F.count("*").alias("support")).where("support > 1")
-    needed = F.ceil(F.col("tokens") * similarity)
-    shared = cells.join(support, "cell").groupBy("leaf", "key", "tokens").agg(F.array_sort(F.collect_list(F.struct("support", "at", "cell"))).alias("own"))
-    shared = staged(shared.where(F.size("own") >= needed), "llm-shared")
-    # of a line: its templates in all its branches
-    branched = shared.select("leaf", "key", "tokens", "own", F.explode(_branches(F.col("own.cell"))).alias("branch"))
-    sizes = branched.groupBy("branch").agg(F.count("*").alias("variants")).where("variants > 1")
-    placed = staged(branched.join(sizes, "branch").select("leaf", "key", "tokens", "branch", "variants", F.expr("transform(own, x -> struct(x.at, x.cell))").alias("own")), "llm-branches")
-    counted = placed.select("branch", "variants", F.explode("own.cell").alias("cell")).groupBy("branch", "cell").agg(
-        F.count("*").alias("n"), F.min("variants").alias("variants"))
-    constant = counted.where((F.col("n") > 1) & (F.col("n") >= F.ceil(F.col("variants") * constant_share))).select("branch", "cell")
-    at = F.col("at").cast("long")
-    shapes = placed.select("leaf", "key", "tokens", "branch", F.inline("own")).join(constant, ["branch", "cell"]).groupBy("leaf", "key", "tokens", "branch").agg(
-        F.count("*").alias("constants"), F.bit_xor("cell").alias("shape"), F.bit_xor(F.xxhash64("cell")).alias("shape2"),
-        F.sum(at).alias("at1"), F.sum(at * at).alias("at2"))
+    needed = F.ceil(F.col("tokens") * similarity).alias("needed")
+    line = ["leaf", "key", "needed"]
+    shared = cells.select("leaf", "key", needed, "at", "cell").join(support, "cell").groupBy(*line).agg(
+        F.array_sort(F.collect_list(F.struct("support", "at", "cell"))).alias("own"))
+    shared = staged(shared.where(F.size("own") >= F.col("needed")).select(*line, F.col("own.at").alias("ats"), F.col("own.cell").alias("cells")), "llm-shared")
+    # hashes alone find the branches with several lines; the cells of a line follow once to each of these
+    branched = shared.select("leaf", "key", F.size("cells").alias("size"), F.explode(_branches(F.col("cells"))).alias("branch"))
+    sizes = branched.groupBy("branch").agg(F.count("*").alias("variants"), F.sum("size").alias("in_all")).where("variants > 1")
+    members = branched.drop("size").join(sizes, "branch").groupBy("leaf", "key").agg(F.collect_list(F.struct("branch", "variants", "in_all")).alias("branches"))
+    placed = staged(shared.join(members, ["leaf", "key"]), "llm-branches").select(*line, "cells", "ats", F.inline("branches"))
+    small = placed.where(F.col("in_all") <= most_cells).select("branch", "variants", *line, "cells", "ats")
+    small = in_arrow(small.repartition("branch").sortWithinPartitions("branch"), _small_branches(constant_share), SHAPES)
+    large = _large_branches(placed.where(F.col("in_all") > most_cells), constant_share)
     # one row for a line and template, found by whatever branch
-    shape = ["leaf", "shape", "shape2"]
-    shapes = staged(shapes.where(F.col("constants") >= needed).groupBy(*shape, "key").agg(
-        F.min("constants").alias("constants"), F.min("at1").alias("at1"), F.min("at2").alias("at2")), "llm-shapes")
+    shape = ["leaf", "shape", "constants", "at1", "at2"]
+    shapes = staged(small.unionByName(large).select(*shape, "key").distinct(), "llm-shapes")
     popular = shapes.groupBy(*shape).agg(F.count("*").alias("n")).where("n > 1")
-    best = F.struct((-F.col("n")).alias("n"), (-F.col("constants")).alias("constants"), "at1", "at2", "shape", "shape2")
-    taken = shapes.join(popular, shape).groupBy("leaf", "key").agg(F.min(best).alias("best")).select("leaf", "key", "best.shape", "best.shape2")
+    best = F.struct((-F.col("n")).alias("n"), (-F.col("constants")).alias("order"), "at1", "at2", "shape", "constants")
+    taken = shapes.join(popular, shape).groupBy("leaf", "key").agg(F.min(best).alias("best")).select(
+        "leaf", "key", "best.shape", "best.constants", "best.at1", "best.at2")
     templates = staged(taken.join(mixed, ["leaf", "key"]), "llm-templates")
     groups = templates.groupBy(*shape).agg(*_span()).where(_several())
     general = templates.select(*shape, "key").join(groups, shape)

@@ -107,14 +107,20 @@ def brute_lines(rows):
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if first.get(masked(x), i) == i) for i, t in rows}
 
 
-def test_line_templates_equal_brute_force(spark):
-    """Few words and few leaves, so that branches, templates and ties meet in all ways."""
+@pytest.mark.parametrize(("most_cells", "rows_in_batch"), [(lines.MOST_CELLS, 1000), (60, 3), (0, 1000)])
+def test_line_templates_equal_brute_force(spark, most_cells, rows_in_batch):
+    """Few words and few leaves, so that branches, templates and ties meet in all ways; branches whole, cut by batches and spread."""
     rng = random.Random(17)
     shapes = [[rng.choice(["on", "the", "of"]) for _ in range(3)] + [rng.choice(["ka", "lo", "mi", "nu", "pe", None, None]) for _ in range(n)] for n in (3, 5, 7, 9, 9) for _ in range(3)]
     line = lambda: " ".join(t or rng.choice("abcdefgh") for t in rng.choice(shapes)).replace("pe", rng.choice(["pe", "pe", "p7", "qu"]))
     rows = [(i // 2 if i % 9 else 3, "\n".join(line() for _ in range(rng.randrange(4)))) for i in range(300)]
     rows = list(dict(rows).items())
-    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
+    try:
+        got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), most_cells=most_cells).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {i: r.text for i, r in got.items()} == brute_lines(rows)
     assert sum(r.n_dropped for r in got.values()) > 50
 
