@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from mailquarry import lexicon as lx
 from mailquarry.functions.text import has_any
 from mailquarry.plans.skew import top_per_key
+from mailquarry.sinks.facts import staged
 
 AUDIT_LIMIT = 100
+#: Blocks of anchored windows: their length, and how many of a key are walked one after the other.
+WINDOWS_IN_BLOCK, MOST_BLOCKS = 16, 64
+LAST_SECOND = 2**62
+STEP = ["key", "block", "entry", "exit", "since"]
 
 
 def client_ip() -> Column:
@@ -53,56 +58,129 @@ def request_class() -> Column:
             .when(F.col("path").startswith("/api/"), "api").otherwise("web"))
 
 
-def _walk(window: int):
-    """Walker over batches of (key, second, carried) sorted by key and second.
+def _walk(batches):
+    """The entries that a chain visits in each group, over batches of (key, block, entry, exit, since) in that order.
 
-    Holds one window start between batches, so a key of any length needs no more memory than a batch.
+    A chain starts with the first entry from ``since`` on and goes to the first one from the visited entry's ``exit`` on.
+    Holds one number between batches, so a group of any length needs no more memory than a batch.
     """
-    def starts(batches):
+    import numpy as np
+    import pandas as pd
+
+    group, since = None, None
+    for pdf in batches:
+        keys, blocks = pdf["key"].to_numpy(), pdf["block"].to_numpy()
+        entries, exits, froms = pdf["entry"].to_numpy(), pdf["exit"].to_numpy(), pdf["since"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])]) if len(keys) else []
+        out_keys, out_entries = [], []
+        for lo, hi in zip(first, np.r_[first[1:], len(keys)] if len(keys) else []):
+            if (keys[lo], blocks[lo]) != group:
+                group, since = (keys[lo], blocks[lo]), froms[lo]
+            own = entries[lo:hi]
+            at = int(np.searchsorted(own, since))
+            while at < len(own):
+                out_keys.append(keys[lo])
+                out_entries.append(int(own[at]))
+                since = exits[lo + at]
+                at = int(np.searchsorted(own, since))
+        yield pd.DataFrame({"key": pd.Series(out_keys, dtype=object), "entry": np.array(out_entries, dtype="int64")})
+
+
+def _compose(length: int, window: int):
+    """Per block of ``length`` seconds: where a chain leaves it, for each entry at which one can come in.
+
+    A chain comes in less than a window after the block's start or at the first entry after that. A task holds one block
+    beside a batch.
+    """
+    def composed(rows):
+        import numpy as np
+
+        keys, block = rows["key"].to_numpy(), rows["block"].to_numpy()
+        entry, leave = rows["entry"].to_numpy(), rows["exit"].to_numpy()
+        opens = np.r_[True, (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])]
+        group = np.cumsum(opens) - 1
+        begin = block * length
+        # one ascending axis for all blocks; an exit lies at most a window beyond its block
+        axis = group * (length + window + 1) - begin
+        place = np.arange(len(rows))
+        to = np.searchsorted(axis + entry, axis + leave)
+        inside = to < len(rows)
+        inside[inside] = group[to[inside]] == group[inside]
+        to = np.where(inside, to, place)
+        while not np.array_equal(further := to[to], to):
+            to = further
+        late = entry - begin >= window
+        kept = ~late | opens | np.r_[False, ~late[:-1]]
+        return rows.assign(exit=leave[to])[kept][["key", "entry", "exit"]]
+
+    def run(batches):
         import numpy as np
         import pandas as pd
 
-        key, start = None, -1
+        held = []
         for pdf in batches:
-            keys = pdf["key"].to_numpy()
-            seconds = pdf["second"].to_numpy()
-            carried = pdf["carried"].to_numpy()
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-            out_keys, out_starts = [], []
-            for lo, hi in zip(first, np.r_[first[1:], len(keys)] if len(keys) else []):
-                if keys[lo] != key:
-                    key, start = keys[lo], int(carried[lo])
-                    if start >= 0:
-                        out_keys.append(key)
-                        out_starts.append(start)
-                own = seconds[lo:hi]
-                at = 0 if start < 0 else int(np.searchsorted(own, start + window))
-                while at < len(own):
-                    start = int(own[at])
-                    out_keys.append(key)
-                    out_starts.append(start)
-                    at = int(np.searchsorted(own, start + window))
-            yield pd.DataFrame({"key": pd.Series(out_keys, dtype=object), "start": np.array(out_starts, dtype="int64")})
+            if not len(pdf):
+                continue
+            last = (pdf["key"].iloc[-1], pdf["block"].iloc[-1])
+            if held and (held[0]["key"].iloc[0], held[0]["block"].iloc[0]) == last:
+                held.append(pdf)
+                continue
+            in_last = (pdf["key"].to_numpy() == last[0]) & (pdf["block"].to_numpy() == last[1])
+            cut = int(np.argmax(in_last))
+            whole = [*held, pdf.iloc[:cut]]
+            if sum(map(len, whole)):
+                yield composed(pd.concat(whole, ignore_index=True))
+            held = [pdf.iloc[cut:]]
+        if held:
+            yield composed(pd.concat(held, ignore_index=True))
+
+    return run
 
-    return starts
 
+def _in_blocks(steps: DataFrame, length: int) -> DataFrame:
+    return steps.withColumn("block", F.floor(F.col("entry") / length))
 
-def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = None) -> DataFrame:
+
+def _in_order(steps: DataFrame) -> DataFrame:
+    return steps.repartition("key", "block").sortWithinPartitions("key", "block", "entry")
+
+
+def anchored_windows(events: DataFrame, window: int, carry: DataFrame | None = None,
+                     windows_in_block: int = WINDOWS_IN_BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """(key, start) of windows that open at the first event after the previous one ended.
 
-    ``events`` has key and second (whole seconds). Each start depends on the one before, so a key
-    is walked in order, but only over its distinct seconds: at most 86,400 numbers per day and key
-    whatever the traffic, made unique before the shuffle, sorted on disk where needed and read in
-    batches. ``carry`` (key, start, ...) holds the last window of an earlier run.
+    ``events`` has key and second (whole seconds). Each start depends on the one before. The distinct
+    seconds of a key are cut into blocks of ``windows_in_block`` windows. Each block by itself gives the
+    map from the seconds at which a chain of windows can come in (at most a window's length of them) to the second
+    from which the next start is looked for. Blocks of blocks are composed in the same way until no key has more than
+    ``most_blocks``; the chain is walked over these, and then inside each block from its entry, all blocks
+    at once. So a busy key is spread over tasks on every level but the last, which is that short.
+    ``carry`` (key, start, ...) holds the last window of an earlier run.
     """
-    seconds = events.select("key", "second").filter("second IS NOT NULL").distinct()
+    seconds = staged(events.select("key", F.col("second").alias("entry")).filter("entry IS NOT NULL").distinct(), "window-seconds")
+    span = seconds.groupBy("key").agg((F.max("entry") - F.min("entry")).alias("span")).agg(F.max("span")).first()[0] or 0
+    levels, length = [seconds.withColumn("exit", F.col("entry") + window)], window
+    lengths = []
+    while span / length > most_blocks:
+        length *= windows_in_block
+        blocks = _in_order(_in_blocks(levels[-1], length))
+        levels.append(staged(blocks.mapInPandas(_compose(length, window), "key string, entry bigint, exit bigint"), "window-blocks"))
+        lengths.append(length)
+    top = levels[-1].withColumn("block", F.lit(0).cast("bigint"))
     if carry is None:
-        marked = seconds.withColumn("carried", F.lit(-1).cast("bigint"))
+        top = top.withColumn("since", F.lit(-LAST_SECOND))
     else:
-        last = carry.select("key", F.col("start").alias("carried"))
-        marked = seconds.join(last, "key", "left").withColumn("carried", F.coalesce("carried", F.lit(-1).cast("bigint")))
-    ordered = marked.repartition("key").sortWithinPartitions("key", "second")
-    return ordered.mapInPandas(_walk(window), "key string, start bigint")
+        after = carry.select("key", (F.col("start") + window).alias("since"))
+        top = top.join(after, "key", "left").withColumn("since", F.coalesce("since", F.lit(-LAST_SECOND)))
+    visited = _in_order(top).select(*STEP).mapInPandas(_walk, "key string, entry bigint")
+    for steps, length in zip(levels[-2::-1], lengths[::-1]):
+        entered = _in_blocks(visited, length).groupBy("key", "block").agg(F.min("entry").alias("since"))
+        inside = _in_blocks(steps, length).join(entered, ["key", "block"])
+        visited = _in_order(inside).select(*STEP).mapInPandas(_walk, "key string, entry bigint")
+    starts = visited.withColumnRenamed("entry", "start")
+    if carry is not None:
+        starts = starts.unionByName(carry.select("key", "start").join(seconds.select("key").distinct(), "key", "left_semi"))
+    return starts
 
 
 def from_carried(events: DataFrame, carry: DataFrame | None) -> DataFrame:

@@ -107,6 +107,34 @@ def test_walk_over_many_batches(spark):
     assert got == {(events[i][0], s) for i, s in starts.items()}
 
 
+@pytest.mark.parametrize(("windows_in_block", "most_blocks"), [(2, 1), (3, 2), (16, 64)])
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_windows_by_blocks_equal_a_walk(spark, windows_in_block, most_blocks, batch):
+    """Several levels of blocks, gaps longer than blocks, and times before 1970."""
+    rng = random.Random(batch)
+    events = [(k, at + rng.randrange(700)) for k, n in (("hot", 250), ("b", 20), ("c", 1)) for at in [rng.randrange(-9000, 30_000)] * 9 for _ in range(n // 9 + 1)]
+    events += [("gap", at) for at in (-5000, 0, 59, 60, 61, 119, 120, 50_000, 50_060)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame(events, "key string, second bigint")
+        got = sorted((r.key, r.start) for r in access.anchored_windows(df, 60, None, windows_in_block, most_blocks).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted({(events[i][0], s) for i, s in brute_windows(events, 60).items()})
+
+
+def test_windows_of_one_key_with_a_million_seconds(spark):
+    """One key is spread over blocks on several levels; the starts are those of a plain walk."""
+    df = spark.range(1_000_000).select(F.lit("hot").alias("key"), (F.col("id") * 2 + F.pmod(F.xxhash64("id"), F.lit(2))).alias("second"))
+    got = [r.start for r in access.anchored_windows(df, 60).orderBy("start").collect()]
+    want, end = [], None
+    for (second,) in df.select("second").orderBy("second").toPandas().itertuples(index=False):
+        if end is None or second >= end:
+            want.append(second)
+            end = second + 60
+    assert got == want
+
+
 @pytest.mark.parametrize("dense", [0, 3, 64])
 def test_similar_threats_against_pairs(spark, dense):
     """With bitmaps for all, some and hardly any indicators; some mails have more than eight, one word is in half of all mails."""
