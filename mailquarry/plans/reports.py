@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailquarry.sinks.facts import staged
+
 
 def since(as_of: str, column: str, interval: str, open_start: bool = False) -> Column:
     """From ``as_of`` minus the interval (left out with ``open_start``) up to ``as_of``.
@@ -231,13 +233,48 @@ def recent_activity(facts: DataFrame, n: int = 10) -> DataFrame:
         F.desc("created_at"), "email_id").limit(n)
 
 
-def quarantine_page(facts: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
-    """One page of the quarantine, newest first."""
-    return (
-        facts.filter("is_quarantined")
-        .select("email_id", "sender_email", "subject", "threat_level", "threat_score", "created_at")
-        .orderBy(F.desc("created_at"), "email_id").offset((page - 1) * limit).limit(limit)
-    )
+def quarantine_index(facts: DataFrame) -> DataFrame:
+    """(second, n): mails in quarantine by second of ``created_at`` as text, empty for those without a time."""
+    second = F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    return facts.filter("is_quarantined").groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _holding(counts: DataFrame, skip: int, limit: int) -> tuple[str, str, int] | None:
+    """Of (part, n): the newest and the oldest part with rows from ``skip`` to ``skip + limit``, and the rows before the first."""
+    newest, oldest, before, seen = None, None, 0, 0
+    for part, n in sorted(counts.collect(), reverse=True):
+        if newest is None and seen + n > skip:
+            newest, before = part, seen
+        oldest, seen = part, seen + n
+        if seen >= skip + limit:
+            break
+    return None if newest is None else (newest, oldest, before)
+
+
+def quarantine_page(facts: DataFrame, page: int = 1, limit: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """One page of the quarantine, newest first; mails without a time come last.
+
+    The counts of ``index`` (see ``quarantine_index``; made here if not given, written once for many pages) lead to the days and
+    then to the seconds that hold the page. Only that range of ``created_at`` is read and sorted, however far back it lies. The
+    driver sees one number for each day, and for each second of the page's days.
+    """
+    found = facts.filter("is_quarantined").select("email_id", "sender_email", "subject", "threat_level", "threat_score", "created_at")
+    index = staged(quarantine_index(facts), "quarantine-index") if index is None else index
+    skip = (page - 1) * limit
+    day = F.substring("second", 1, 10)
+    days = _holding(index.groupBy(day.alias("part")).agg(F.sum("n").alias("n")), skip, limit)
+    if days is None:
+        return found.limit(0)
+    newest, oldest, before = days
+    skip -= before
+    newest, oldest, before = _holding(index.filter(day.between(oldest, newest)).select(F.col("second").alias("part"), "n"), skip, limit)
+    at = F.col("created_at")
+    time = facts.schema["created_at"].dataType
+    inside = at.isNull()
+    if newest:
+        inside = at < F.lit(newest).cast(time) + F.expr("interval 1 second")
+        inside = (inside & (at >= F.lit(oldest).cast(time))) if oldest else (inside | at.isNull())
+    return found.filter(inside).orderBy(F.desc("created_at"), "email_id").offset(skip - before).limit(limit)
 
 
 def monitoring_rollup(facts: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Shape of the physical plans: pruning, pushdown, no pairs, no Python in the scoring plan."""
 
+from pyspark.sql import functions as F
+
 import catalog
 from catalog import ensemble, urls
 from datasets.views import AS_OF, table, view
@@ -66,3 +68,28 @@ def test_reports_prune_day_partitions(spark, sf):
     day = reports.daily_summary(stored, "2024-01-20")
     assert "PartitionFilters: [isnotnull(day" in plan(day)
     assert day.collect() == reports.daily_summary(facts, "2024-01-20").collect()
+
+
+def test_a_far_page_reads_one_range(spark, tmp_path):
+    """Pages by the index equal those by offset; ties of a time, rows without one and the end included."""
+    rows = [(f"m{i * 7919 % 2000:04d}", i % 3 > 0, None if i % 40 == 0 else f"2024-01-{i % 20 + 1:02d} 10:{i % 50:02d}:00.{i % 4}00") for i in range(2000)]
+    facts = spark.createDataFrame(rows, "email_id string, is_quarantined boolean, at string").selectExpr(
+        "*", "cast(at as timestamp_ntz) as created_at", "'s' as sender_email", "'x' as subject", "'HIGH' as threat_level", "0.8D as threat_score")
+    facts.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    reports.quarantine_index(facts).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    want = [r.email_id for r in facts.where("is_quarantined").orderBy(F.desc("created_at"), "email_id").collect()]
+    for page in (1, 2, 17, 26, 27, 28, 100):
+        got = [r.email_id for r in reports.quarantine_page(facts, page, 50, index).collect()]
+        assert got == want[(page - 1) * 50: page * 50]
+    length = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        text = plan(reports.quarantine_page(facts, 17, 50, index))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", length)
+    pushed = text.split("PushedFilters: [")[1].split("]")[0]
+    assert "LessThan(created_at" in pushed and "GreaterThanOrEqual(created_at" in pushed
+    assert reports.quarantine_page(facts.where("false"), 1).count() == 0
+    assert [r.email_id for r in reports.quarantine_page(facts, 2).collect()] == want[50:100]
