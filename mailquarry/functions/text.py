@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # Unicode white space, as a character class body
 SPACE = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-WORD = f"[^{SPACE}]+"
 # the part of it that is ASCII; a much faster class to test
 ASCII_SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}"
 SENTENCE_END = "[.!?]+"
@@ -65,27 +64,32 @@ def occurrences(text: Column, piece: str) -> Column:
 def plain_spaces(text: Column) -> Column:
     """True when only ASCII white space can occur, so that the short class is enough.
 
-    Make it a column of its own; the counts below take it as ``plain``.
+    Make it a column of its own.
     """
     ascii_only = F.octet_length(text) == F.length(text)
     # one range that covers all the wider spaces: quick to test, and a false alarm costs only time
     return ascii_only | ~text.rlike(r"[\x{85}\x{a0}\x{1680}-\x{3000}]")
 
 
-def count_pattern(text: Column, pattern: str, plain: Column) -> Column:
-    """Matches of a pattern written with SPACE."""
-    short = pattern.replace(SPACE, ASCII_SPACE)
-    return F.when(plain, F.regexp_count(text, F.lit(short))).otherwise(F.regexp_count(text, F.lit(pattern)))
+def single_spaced(text: Column, plain: Column) -> Column:
+    """The words with one space between them; ``plain`` as of :func:`plain_spaces`.
+
+    Make it a column of its own. Single spaces, the most common, are no match, so little is replaced.
+    """
+    def runs(space: str) -> str:
+        return f"[{space}]{{2,}}|[{space.replace('{20}', '{1f}')}]"
+
+    return F.trim(F.when(plain, F.regexp_replace(text, runs(ASCII_SPACE), " ")).otherwise(F.regexp_replace(text, runs(SPACE), " ")))
 
 
-def word_count(text: Column, plain: Column) -> Column:
-    return count_pattern(text, WORD, plain)
+def word_letters(spaced: Column) -> Column:
+    """Characters that are not white space, of a text from :func:`single_spaced`."""
+    return F.length(F.replace(spaced, F.lit(" "), F.lit("")))
 
 
-def word_letters(text: Column, plain: Column) -> Column:
-    """Characters that are not white space."""
-    return F.length(F.when(plain, F.regexp_replace(text, f"[{ASCII_SPACE}]+", ""))
-                    .otherwise(F.regexp_replace(text, f"[{SPACE}]+", "")))
+def word_count(spaced: Column, letters: Column) -> Column:
+    """Words of a text from :func:`single_spaced` with so many letters."""
+    return F.when(letters > 0, F.length(spaced) - letters + 1).otherwise(0)
 
 
 def sentence_count(text: Column) -> Column:

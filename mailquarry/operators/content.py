@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions import rules as rl
+from mailquarry.functions.syllables import words_and_syllables
 from mailquarry.functions.text import (
-    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, count_pattern, has_any, matched_terms, occurrences, plain_spaces,
-    sentence_count, term_hits, word_count, word_letters,
+    SENTENCE_END, SPACE, WORD_CHARS, add, cap, clamp, has_any, matched_terms, occurrences, plain_spaces, sentence_count,
+    single_spaced, term_hits, word_count, word_letters,
 )
 from mailquarry.operators.terms import body_key, terms_in
 from mailquarry.plans.skew import small
@@ -23,11 +24,6 @@ GRAMMAR = [
     _START + f"(your|you're)[{SPACE}]+(welcome|wellcome)" + _END,
     _START + f"(there|their|they're)[{SPACE}]+(are|is)" + _END,
 ]
-_TOKEN_START = f"(?<![^{SPACE}])"
-_TOKEN_END = f"(?![^{SPACE}])"
-NO_VOWEL = _TOKEN_START + f"[^{SPACE}aeiouy]+" + _TOKEN_END
-# at least two vowel groups and a final e
-SILENT_E = _TOKEN_START + f"[^{SPACE}aeiouy]*+[aeiouy]++[^{SPACE}aeiouy]++[^{SPACE}]*+(?<=e)" + _TOKEN_END
 
 
 def split_body(emails: DataFrame) -> DataFrame:
@@ -69,7 +65,8 @@ def with_content_features(emails: DataFrame, keep: list) -> DataFrame:
     """The columns in ``keep`` and the text features."""
     mails = split_body(emails).withColumn("_raw", _full_text()).withColumn("_text", F.lower("_raw")).withColumn(
         "_plain", plain_spaces(F.col("_text")))
-    mails = mails.withColumn("_words", word_count(F.col("_text"), F.col("_plain")))
+    mails = mails.withColumn("_spaced", single_spaced(F.col("_text"), F.col("_plain"))).withColumn(
+        "_letters", word_letters(F.col("_spaced"))).withColumn("_words", word_count(F.col("_spaced"), F.col("_letters")))
     text, html, words = F.col("_text"), F.col("body_html"), F.col("_words")
     is_html = html != ""
     return mails.select(
@@ -77,7 +74,7 @@ def with_content_features(emails: DataFrame, keep: list) -> DataFrame:
         F.length(text).alias("text_length"),
         words.alias("word_count"),
         sentence_count(text).alias("sentence_count"),
-        F.coalesce(F.try_divide(word_letters(text, F.col("_plain")), words), F.lit(0.0)).alias("avg_word_length"),
+        F.coalesce(F.try_divide(F.col("_letters"), words), F.lit(0.0)).alias("avg_word_length"),
         term_hits(text, lx.URGENT).alias("urgent_words_count"),
         term_hits(text, lx.SUSPICIOUS).alias("suspicious_words_count"),
         term_hits(text, lx.FINANCIAL).alias("financial_words_count"),
@@ -177,14 +174,13 @@ def scam_level(emails: DataFrame) -> DataFrame:
 
 def style(emails: DataFrame) -> DataFrame:
     """Readability, polarity and sentence figures per mail."""
-    raw, text, plain = F.col("_text"), F.col("_lower"), F.col("_plain")
-    syllables = (F.regexp_count(text, F.lit("[aeiouy]+")) - count_pattern(text, SILENT_E, plain)
-                 + count_pattern(text, NO_VOWEL, plain))
+    raw, text, counts = F.col("_text"), F.col("_lower"), F.col("_counts")
     positive, negative = term_hits(text, lx.SENTIMENT_POSITIVE), term_hits(text, lx.SENTIMENT_NEGATIVE)
-    counted = with_lowered(emails).withColumn("_plain", plain_spaces(F.col("_lower"))).select(
-        "message_id", "sender", "lang", word_count(raw, plain).alias("words"), sentence_count(raw).alias("sentences"),
-        syllables.alias("syllables"), positive.alias("positive"), negative.alias("negative"),
-        F.regexp_count(raw, F.lit(f"(?:^|{SENTENCE_END})[{SPACE}]*\\p{{Ll}}")).alias("lower_starts"))
+    counted = with_lowered(emails).select(
+        "message_id", "sender", "lang", words_and_syllables(text).alias("_counts"), sentence_count(raw).alias("sentences"),
+        positive.alias("positive"), negative.alias("negative"),
+        F.regexp_count(raw, F.lit(f"(?:^|{SENTENCE_END})[{SPACE}]*\\p{{Ll}}")).alias("lower_starts"),
+    ).withColumns({"words": counts.words, "syllables": counts.syllables})
     score = (F.lit(206.835) - F.lit(1.015) * (F.col("words") / F.col("sentences"))
              - F.lit(84.6) * (F.col("syllables") / F.col("words")))
     return counted.select(
