@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from mailquarry.operators import access
@@ -82,6 +83,39 @@ def test_decisions_equal_one_by_one():
             before, opened = u, s
 
 
+def test_a_key_costs_few_calls_of_the_state():
+    """Each call is a message to the JVM: one to read and one to write the window, and the timer only where the window is another one."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held.get("k")
+
+        def update(self, value):
+            calls.append("update")
+            held["k"] = value
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    windows, got = keyed.AnchoredWindows(60), []
+    windows.init(Handle())
+    for seconds in ([40, 5], [64], [65, 200]):
+        rows = [Row(id=s, key="k", allowance=2, at=None, micros=s * keyed.MICROS + 7) for s in seconds]
+        found = list(windows.handleInputRows(("k",), iter(rows), None))
+        assert len(found) == 1 and found[0].key == "k"
+        got += zip(found[0].id.tolist(), found[0].start.tolist(), found[0].admitted.tolist(), strict=True)
+    assert got == [(5, 5, True), (40, 5, True), (64, 5, False), (65, 65, True), (200, 200, True)]
+    assert calls == ["get", "update", ("register", 65_000), "get", "update", "get", "update", ("delete", 65_000), ("register", 260_000)]
+
+
 def test_open_sessions_are_read_from_the_state(spark, tmp_path):
     landing, base = str(tmp_path / "in"), str(tmp_path / "out")
     found = []
