@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lexicon as lx
 from mailquarry.functions.text import SPACE
-from mailquarry.plans.skew import small
+from mailquarry.plans.skew import position_within, small
 from mailquarry.sinks.facts import staged
 
 # Fixed texts of alerts and incidents
@@ -26,8 +26,12 @@ INCIDENT_DESCRIPTION = "\n".join([
     "Email Information:", "- Message ID: %s", "- From: %s", "- Subject: %s", "- Received: %s",
     "Threat Analysis Results:", "- Overall Threat Score: %s",
 ])
-#: More mails of a bucket than this with one indicator are held as a bitmap.
-MAILS_AS_BITMAP = 64
+#: An indicator of more mails than this is a common one.
+MAILS_OF_COMMON = 64
+#: Over how many parts the rows of an indicator are counted, and in how many parts groups are numbered.
+PARTS, NUMBERED_PARTS = 64, 1024
+#: Bits of a count; those of the second count of a group follow.
+COUNT_BITS = 63
 
 
 def action_rules(spark) -> DataFrame:
@@ -131,49 +135,75 @@ def detection_patterns(threats: DataFrame, bad_links: DataFrame, known: DataFram
     return found.join(known.select("type", "pattern").distinct(), ["type", "pattern"], "left_anti")
 
 
-def _has_bit(bits: Column, position: Column) -> Column:
-    """Whether a bitmap has the bit of a position; null bitmaps have none."""
-    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("getbit", byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
 def shared_rows(found: DataFrame, threats: DataFrame) -> DataFrame:
-    """(message_id, is_threat, id, bucket, position, indicator, n_mails, n_here): every indicator row with how many mails have
-    the indicator, in all and in the bucket of mails; ids number the mails, and a bucket is as many as a bitmap holds."""
+    """(message_id, is_threat, indicator, n_mails): every indicator row with how many mails have the indicator."""
     flagged = threats.select("message_id", F.lit(True).alias("is_threat")).distinct()
-    mails = found.groupBy("message_id").agg(F.sort_array(F.collect_set("indicator")).alias("indicators")).join(flagged, "message_id", "left")
-    # written, so that a mail's number is the same wherever it is read
-    mails = staged(mails.select("message_id", F.coalesce("is_threat", F.lit(False)).alias("is_threat"), "indicators", F.monotonically_increasing_id().alias("id")), "numbered-mails")
-    rows = mails.select("message_id", "is_threat", "id", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("position"), F.explode("indicators").alias("indicator"))
-    here = rows.groupBy("indicator", "bucket").agg(F.count(F.lit(1)).alias("n_here"))
+    mails = found.groupBy("message_id").agg(F.collect_set("indicator").alias("indicators")).join(flagged, "message_id", "left")
+    mails = staged(mails.select("message_id", F.coalesce("is_threat", F.lit(False)).alias("is_threat"), "indicators"), "indicator-mails")
+    rows = mails.select("message_id", "is_threat", F.pmod(F.xxhash64("message_id"), F.lit(PARTS)).alias("part"), F.explode("indicators").alias("indicator"))
+    here = rows.groupBy("indicator", "part").agg(F.count(F.lit(1)).alias("n_here"))
     total = here.groupBy("indicator").agg(F.sum("n_here").alias("n_mails"))
-    return staged(rows.join(here.join(total, "indicator"), ["indicator", "bucket"]), "indicators")
+    counted = rows.join(here.select("indicator", "part").join(total, "indicator"), ["indicator", "part"])
+    return staged(counted.select("message_id", "is_threat", "indicator", "n_mails"), "indicators")
+
 
+def _bits(count: Column, base: int) -> Column:
+    """The places of the bits that are set in a count, from ``base``."""
+    places = F.sequence(F.lit(0), F.lit(COUNT_BITS - 1))
+    return F.transform(F.filter(places, lambda b: F.call_function("getbit", count, b) == 1), lambda b: b + base)
 
-def similar_threats(found: DataFrame, threats: DataFrame, dense: int = MAILS_AS_BITMAP) -> DataFrame:
+
+def group_unions(groups: DataFrame) -> DataFrame:
+    """(commons, n, n_threats) of groups of mails with the same ``commons``, for those with a threat: how many mails and threats are in all
+    groups that share an indicator with it.
+
+    A bitmap has the groups that have an indicator, not their mails, and there is one for each bit of the groups' counts: the groups of a
+    union with that bit, counted, times its value, are its part of the sum. So its size depends on the distinct groups alone.
+    """
+    numbered = position_within(groups, [], F.pmod(F.xxhash64("commons"), F.lit(NUMBERED_PARTS)), [F.asc("commons")], "number")
+    # written, so that a group's number is the same wherever it is read
+    numbered = staged(numbered, "numbered-groups")
+    planes = F.explode(F.concat(_bits(F.col("n"), 0), _bits(F.col("n_threats"), COUNT_BITS))).alias("plane")
+    placed = numbered.select("commons", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("position"), planes)
+    maps = placed.select(F.explode("commons").alias("indicator"), "bucket", "plane", "position").groupBy(
+        "indicator", "bucket", "plane").agg(F.bitmap_construct_agg("position").alias("groups"))
+    wanted = numbered.filter("n_threats > 0")
+    unions = wanted.select("number", F.explode("commons").alias("indicator")).join(maps, "indicator").groupBy(
+        "number", "bucket", "plane").agg(F.bitmap_count(F.bitmap_or_agg("groups")).alias("n_groups"))
+
+    def total(base: int) -> Column:
+        of = F.col("plane").between(base, base + COUNT_BITS - 1)
+        return F.coalesce(F.sum(F.when(of, F.col("n_groups") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("plane") - base))), F.lit(0))
+
+    sums = unions.groupBy("number").agg(total(0).alias("n"), total(COUNT_BITS).alias("n_threats"))
+    return wanted.select("number", "commons").join(sums, "number").drop("number")
+
+
+def similar_threats(found: DataFrame, threats: DataFrame, dense: int = MAILS_OF_COMMON) -> DataFrame:
     """For each threat, how many other mails share an indicator with it and how many are threats.
 
-    Mails are never paired. Threats with the same shared indicators are one set, and the mails of a set are the union of those of its
-    indicators: where an indicator has more than ``dense`` mails of a bucket these are a bitmap, and the bitmaps of a set and bucket
-    are joined by OR; where it has fewer they stay rows, which count unless the bitmap has them. So the rows of a set are at most
-    ``dense`` a bucket and indicator, however common an indicator is and however many a mail has.
+    Indicators of more than ``dense`` mails are common, others rare. Mails with the same common indicators are one group, and the mails that
+    share a common indicator with a threat are those of the groups that do (:func:`group_unions`). The mails that share only a rare one
+    are added: at most ``dense`` for each rare indicator of a distinct set of indicators. No step has a row for each set and part of the mails.
     """
     rows = shared_rows(found, threats)
-    shared = rows.filter("n_mails > 1")
-    own = rows.filter("is_threat").groupBy("message_id").agg(F.sort_array(F.collect_set(F.when(F.col("n_mails") > 1, F.col("indicator")))).alias("items"))
-    own = staged(own.withColumn("set", F.sha2(F.to_json("items"), 256)), "threat-sets")
-    sets = own.groupBy("set").agg(F.first("items").alias("items")).select("set", F.explode("items").alias("indicator"))
-    place = ["set", "bucket"]
-
-    maps = shared.filter(F.col("n_here") > dense).groupBy("indicator", "bucket").agg(
-        F.bitmap_construct_agg("position").alias("mails"), F.bitmap_construct_agg(F.when(F.col("is_threat"), F.col("position"))).alias("threat_mails"))
-    maps = sets.join(maps, "indicator").groupBy(*place).agg(F.bitmap_or_agg("mails").alias("mails"), F.bitmap_or_agg("threat_mails").alias("threat_mails"))
-    maps = staged(maps, "threat-bitmaps")
-    single = sets.join(shared.filter(F.col("n_here") <= dense).select("indicator", "bucket", "position", "is_threat"), "indicator")
-    single = single.select(*place, "position", "is_threat").distinct().join(maps.select(*place, "mails"), place, "left")
-    single = single.filter(~_has_bit(F.col("mails"), F.col("position"))).groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_threat").alias("n_threats"))
-    counted = maps.select("set", F.bitmap_count("mails").alias("n"), F.bitmap_count("threat_mails").alias("n_threats")).unionByName(single)
-    unions = counted.groupBy("set").agg(F.sum("n").alias("n"), F.sum("n_threats").alias("n_threats"))
-    # a threat is one of the mails of its set
-    return own.join(unions, "set", "left").select(
-        "message_id", (F.coalesce("n", F.lit(1)) - 1).alias("emails_scanned"), (F.coalesce("n_threats", F.lit(1)) - 1).alias("threats_found"))
+    shared, common = F.col("n_mails") > 1, F.col("n_mails") > dense
+    mails = staged(rows.groupBy("message_id").agg(
+        F.bool_or("is_threat").alias("is_threat"),
+        F.sort_array(F.collect_set(F.when(shared & common, F.col("indicator")))).alias("commons"),
+        F.sort_array(F.collect_set(F.when(shared & ~common, F.col("indicator")))).alias("rares")), "mails-by-indicators")
+    groups = mails.filter(F.size("commons") > 0).groupBy("commons").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_threat").alias("n_threats"))
+    unions = group_unions(groups)
+
+    own = mails.filter("is_threat").withColumn("set", F.when(F.size("rares") > 0, F.sha2(F.to_json(F.struct("commons", "rares")), 256)))
+    sets = own.filter("set IS NOT NULL").select("set", "commons", "rares").distinct().select("set", "commons", F.explode("rares").alias("indicator"))
+    others = mails.select("message_id", "is_threat", F.col("commons").alias("others"), F.explode("rares").alias("indicator"))
+    only_rare = sets.join(others, "indicator").filter(~F.arrays_overlap("commons", "others")).select("set", "message_id", "is_threat").distinct().groupBy(
+        "set").agg(F.count(F.lit(1)).alias("n_rare"), F.count_if("is_threat").alias("n_rare_threats"))
+
+    def others_of(by_groups: str, by_rares: str) -> Column:
+        # a threat is one of the mails that share with it
+        return F.greatest(F.coalesce(by_groups, F.lit(0)) + F.coalesce(by_rares, F.lit(0)) - 1, F.lit(0))
+
+    return own.join(unions, "commons", "left").join(only_rare, "set", "left").select(
+        "message_id", others_of("n", "n_rare").alias("emails_scanned"), others_of("n_threats", "n_rare_threats").alias("threats_found"))

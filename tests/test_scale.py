@@ -168,6 +168,29 @@ def test_similar_threats_of_a_campaign_stay_small(spark):
     assert got.groupBy("emails_scanned", "threats_found").count().collect() == [(n - 1, n // 3 - 1, n // 3)]
 
 
+def test_bitmaps_of_similar_threats_grow_with_groups_not_mails(spark, monkeypatch):
+    """The same indicators on forty times the mails: not one row more in any table but those of the mails themselves."""
+    def sizes(n):
+        made = {}
+
+        def noted(df, name):
+            made[name] = df.count()
+            return df.localCheckpoint()
+
+        monkeypatch.setattr(respond, "staged", noted)
+        # every mail has a domain, a word and a link, all common, with all combinations equally often
+        found = spark.range(n * 30).select(F.format_string("m%d", "id").alias("message_id"), F.explode(F.array(
+            F.format_string("d%d", F.col("id") % 2), F.format_string("w%d", F.col("id") % 3), F.format_string("u%d", F.col("id") % 5))).alias("indicator"))
+        threats = spark.range(0, n * 30, 2).select(F.format_string("m%d", "id").alias("message_id"))
+        got = respond.similar_threats(found, threats, 4)
+        # 8 of 30 combinations share nothing; those of the threats' own domain all do
+        assert got.groupBy("emails_scanned", "threats_found").count().collect() == [(22 * n - 1, 15 * n - 1, 15 * n)]
+        return {name: count for name, count in made.items() if count < n * 30}
+
+    few, many = sizes(50), sizes(2000)
+    assert few == many and many["numbered-groups"] == 30
+
+
 def test_auc_against_pairs(spark):
     rng = random.Random(5)
     rows = [("m", rng.randrange(2), rng.randrange(50) / 49) for _ in range(400)]
