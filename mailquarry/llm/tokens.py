@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 import re
 
 import numpy as np
@@ -93,6 +94,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark runs a task on every core: threads of the library's own wait for each other more than they encode
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:

@@ -1,7 +1,10 @@
 """The corpus operators against brute force, with nulls, empty tables, repeats and clashing columns."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -170,6 +173,24 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(none, bench).count() == 0
 
 
+def test_encoder_starts_no_threads():
+    """A task has one core; threads of the library's own cost time on the cores of other tasks."""
+    code = """
+import os
+import pyarrow as pa
+from mailquarry.llm.registry import tokenizer_file
+from mailquarry.llm.tokens import Encoder
+one = Encoder(tokenizer_file("byte_bpe_50k.json"))
+before = len(os.listdir("/proc/self/task"))
+one.encode(pa.array([f"word{i} and {i} more \u4e2d\u6587" for i in range(3000)] + [f"plain{i} words" for i in range(3000)]))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    free = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], env=free, cwd=root, capture_output=True, text=True, timeout=100, check=True)
+    assert int(done.stdout.split()[-1]) == 0
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     rng = random.Random(1)
