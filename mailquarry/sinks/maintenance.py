@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.sinks.facts import new_table_path, write_days
+from mailquarry.sinks.facts import new_table_path, staged, write_days
 
 # replaced when a mail is analysed again; sender, recipient, subject and created_at stay
 REPLACED = ["threat_level", "threat_score", "is_phishing", "confidence", "analysis_details"]
@@ -49,21 +49,23 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.select(columns)
 
 
-def upsert_table(spark, path: str, incoming: DataFrame) -> None:
+def upsert_table(spark, path: str, incoming: DataFrame, facts: DataFrame | None = None) -> None:
     """Apply results to a fact table partitioned by ``day``, rewriting only the days they touch.
 
-    The days of known mails are found by reading two columns. The merged rows are written to a
-    staging folder first, then the touched partitions are replaced; a repeat gives the same rows.
+    The days of known mails are found by reading two columns. They are a table of their own, which prunes the partitions to read: a long
+    history has very many days, too many for a list in the plan. The merged rows are written to a staging folder first, then the
+    touched partitions are replaced; a repeat gives the same rows. ``facts`` is the table where it has been opened already: its folders
+    are listed only once then.
     """
     new = latest_results(incoming).select("email_id", "first_at")
-    facts = spark.read.parquet(path)
+    facts = spark.read.parquet(path) if facts is None else facts
     touched = facts.select("email_id", "day").join(new.select("email_id"), "email_id", "left_semi").select("day").union(
         new.select(F.to_date("first_at").alias("day"))).distinct()
     # one row per calendar day
-    days = [r.day for r in touched.collect()]
-    if not days:
+    touched = staged(touched, "touched-days")
+    if touched.isEmpty():
         return
-    merged = upsert(facts.filter(F.col("day").isin(days)).drop("day"), incoming).withColumn("day", F.to_date("created_at"))
+    merged = upsert(facts.join(F.broadcast(touched), "day", "left_semi").drop("day"), incoming).withColumn("day", F.to_date("created_at"))
     staging = new_table_path(spark, "upsert")
     merged.write.parquet(staging)
     write_days(spark.read.parquet(staging), path, "overwrite")

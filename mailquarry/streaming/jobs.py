@@ -131,7 +131,7 @@ def dedup(notifications: DataFrame, lateness: str = "1 day") -> DataFrame:
 def upsert_or_create(spark: SparkSession, path: str, results: DataFrame) -> None:
     """Apply results to the fact table, creating it with the first batch."""
     try:
-        spark.read.parquet(path)
+        facts = spark.read.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -140,7 +140,7 @@ def upsert_or_create(spark: SparkSession, path: str, results: DataFrame) -> None
             F.col("received_at").alias("created_at"), F.col("received_at").alias("updated_at"))
         append(maintenance.upsert(empty, results), path, "created_at")
         return
-    maintenance.upsert_table(spark, path, results)
+    maintenance.upsert_table(spark, path, results, facts)
 
 
 def score_stream(mails: DataFrame, score: Callable[[DataFrame], DataFrame], base: str) -> str:

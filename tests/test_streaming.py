@@ -152,3 +152,28 @@ def test_repeated_scores_change_nothing(spark, tmp_path):
     rows = {r.email_id: (r.threat_level, r.is_quarantined, str(r.day)) for r in spark.read.parquet(path).collect()}
     assert rows == {"a": ("HIGH", True, "2024-01-01"), "b": ("LOW", False, "2024-01-02")}
     assert spark.read.parquet(path).where("updated_at IS NULL").count() == spark.read.parquet(path).count() == 2
+
+
+def test_touched_days_pass_no_driver(spark, tmp_path, monkeypatch):
+    """The days of an upsert are joined, not gathered into the plan, and untouched days keep their files."""
+    def results(ids, level):
+        return spark.createDataFrame(
+            [(f"m{i}", "s", "r", "x", level, 0.8, True, 0.6, "d", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 1) for i in ids],
+            "email_id string, sender_email string, recipient_email string, subject string, threat_level string, threat_score double, "
+            "is_phishing boolean, confidence double, analysis_details string, received_at timestamp, seq int")
+
+    path = str(tmp_path / "facts")
+    jobs.upsert_or_create(spark, path, results(range(6), "LOW"))
+    files = {f for f in (tmp_path / "facts").rglob("*.parquet")}
+    again = results([2, 7], "HIGH")
+
+    def collected(self):
+        raise AssertionError("rows passed the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(again), "collect", collected)
+        jobs.upsert_or_create(spark, path, again)
+    left = {f for f in (tmp_path / "facts").rglob("*.parquet")}
+    assert {f.parent.name for f in files - left} == {"day=2024-01-03"} and {f.parent.name for f in left - files} == {"day=2024-01-03", "day=2024-01-08"}
+    rows = {r.email_id: (r.threat_level, str(r.day)) for r in spark.read.parquet(path).collect()}
+    assert rows == {f"m{i}": ("HIGH" if i in (2, 7) else "LOW", f"2024-01-{i + 1:02d}") for i in (0, 1, 2, 3, 4, 5, 7)}
