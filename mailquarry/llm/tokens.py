@@ -3,7 +3,8 @@
 The library spends most of its time on text that it has seen before. Here a text is cut into the pieces of the tokenizer's
 pre-tokenizer, each distinct piece is encoded once by the library, and the ids of the texts are put together from those. The cut
 is only made in texts of characters for which it provably equals the library's own (Latin letters, digits, common
-punctuation and white space); any other text goes through the library as a whole.
+punctuation and white space); any other text goes through the library as a whole. The cut is made over the characters of many texts
+at once, as arrays; strings of their own are only the distinct pieces of such a run.
 """
 
 from __future__ import annotations
@@ -24,13 +25,66 @@ END_ID = 2
 PLAIN = r"^[\t\n\r\x20-\x7E¡-¬®-įı-ž–—‘’“”…€]*$"
 #: Letters and numbers among them.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ž", "0-9²³¹¼½¾"
-#: What the pre-tokenizers keep together, by the kind of tokenizer; fixed values of their files. The second kind sees lower case only.
-BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: Kinds of these characters by code point; none of the texts has a zero, which stands behind each text.
+END, LETTER, NUMBER, OTHER, SPACE, WHITE = range(6)
+KINDS = np.full(ord("€") + 1, OTHER, dtype=np.uint8)
+for _kind, _of in ((LETTER, LETTERS), (NUMBER, NUMBERS), (WHITE, r"\t\n\r")):
+    KINDS[[ord(c) for c in re.findall(f"[{_of}]", "".join(map(chr, range(len(KINDS)))))]] = _kind
+KINDS[0], KINDS[ord(" ")] = END, SPACE
 #: What a worker keeps of pieces and ids at most; beyond, the rarest go. An entry is a string, a number and a place in the table.
 MOST_KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
-#: Text that is cut at once: its pieces are strings of their own for a while.
-CUT_BYTES = 1 << 20
+#: Characters of text that are cut at once; the arrays of it take about ten times that.
+CUT_BYTES = 2 << 20
+
+
+def cut(texts: list[str], by_byte: bool) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """(pieces, ends): what the pre-tokenizer keeps together in plain texts, and where each text ends among the pieces, from 0.
+
+    The first kind of tokenizer (``by_byte``) has the pieces ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+``, the second one
+    ``'s|'t|'re|'ve|'m|'ll|'d|L+|N|[^\\sLN]+``, with L a letter and N a number; its texts must be in lower case.
+    """
+    joined = "\0".join((*texts, "", ""))
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    kind = KINDS[points]
+    before = np.concatenate((KINDS[:1], kind[:-1]))
+    first = kind != before
+    if by_byte:
+        # the last white space before a word is a piece of its own, or the word's if it is a space
+        white = kind >= SPACE
+        word_next = np.append((kind[1:] != END) & ~white[1:], False)
+        first = np.where(white, (before < SPACE) | word_next, first & (before != SPACE))
+    else:
+        first |= kind == NUMBER
+    first |= kind == END
+    marks = np.flatnonzero(points == ord("'"))
+    marks = marks[first[marks]]
+    one, two = points[marks + 1], points[marks + 2]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(long, 3, np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0))
+    marks, size = marks[size > 0], size[size > 0]
+    first[marks + 1], first[marks + size] = False, True
+    starts = np.flatnonzero(first)
+    kinds = kind[starts]
+    stay = (kinds != END) & (by_byte | (kinds < SPACE))
+    ends = np.concatenate(([0], np.cumsum(stay)[kinds == END][:len(texts)]))
+    data = joined.encode()
+    if len(data) > len(points):
+        after = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF))  # no plain character has four bytes
+        starts = np.concatenate(([0], after))[starts]
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+    return pieces.filter(pa.array(stay)), ends
+
+
+def _byte_letters() -> np.ndarray:
+    """The letter that a byte-level model has for each byte, as code points; zero stays."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = np.arange(256, dtype="<u4")
+    letters[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
+    letters[0] = 0
+    return letters
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Slots(dict):
@@ -53,9 +107,11 @@ class Pool:
         self.slots, self.kept, self.hits = Slots(), 0, np.zeros(0, dtype=np.int64)
         self.ids, self.starts, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def places(self, pieces: list[str], encode) -> np.ndarray:
+    def places(self, pieces: pa.Array, encode) -> np.ndarray:
         """Slots of pieces; ``encode`` gives (sizes, ids) of those that weren't here."""
-        place = np.fromiter(map(self.slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        coded = pieces.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.slots.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         new, self.slots.new = self.slots.new, []
         if new:
             sizes, ids = encode(new)
@@ -63,8 +119,8 @@ class Pool:
             self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
             self.kept += ENTRY_BYTES * len(new) + sum(map(len, new)) + ids.nbytes
             self.hits = np.concatenate((self.hits, np.zeros(len(new), dtype=np.int64)))
-        self.hits += np.bincount(place, minlength=len(self.hits))
-        return place
+        self.hits[place] += np.bincount(codes, minlength=len(place))
+        return place[codes]
 
     def shrunk(self, most_bytes: int) -> Pool:
         """The pool, or while it is over the bound one of its more frequent pieces of at most half of it."""
@@ -99,22 +155,27 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
-            by_byte = json.load(file)["pre_tokenizer"].get("use_regex", False)
-        self.cut = BYTE_PIECES.findall if by_byte else lambda text: WORD_PIECES.findall(text.lower())
+            self.by_byte = json.load(file)["pre_tokenizer"].get("use_regex", False)
         self.pieces = Pool()
 
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        encoded = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._flat([x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces through the library's model alone: these tokenizers don't normalise, and a piece needs no further cut."""
+        letters = BYTE_LETTERS[np.frombuffer("\0".join(pieces).encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.library.model.tokenize
+        return self._flat([[token.id for token in tokenize(piece)] for piece in letters.split("\0")])
+
+    @staticmethod
+    def _flat(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         return sizes, np.fromiter(itertools.chain.from_iterable(encoded), dtype=np.uint32, count=int(sizes.sum()))
 
     def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.pieces = self.pieces.shrunk(MOST_KEPT_BYTES)
-        pieces, counts = [], [0]
-        for text in texts:
-            pieces += self.cut(text)
-            counts.append(len(pieces))
-        ends, ids = self.pieces.joined(self.pieces.places(pieces, self._by_library))
+        pieces, counts = cut(texts if self.by_byte else [text.lower() for text in texts], self.by_byte)
+        ends, ids = self.pieces.joined(self.pieces.places(pieces, self._by_model if self.by_byte else self._by_library))
         return np.diff(ends[counts]), ids
 
     def _in_parts(self, texts: list[str], how) -> tuple[np.ndarray, np.ndarray]:
