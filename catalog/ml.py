@@ -107,12 +107,23 @@ def ml_split(spark, sf):
     return plain(prepare.split(rows, F.col("doc_id")).select("doc_id", "label", "part"))
 
 
-def training_rows(spark, sf):
-    """Labelled feature rows, written once: the classifiers read them many times."""
+_FEATURES: dict = {}
+
+
+def mail_features(spark, sf):
+    """Text features of every mail, written once per session and data set: training and scoring read them, and a body is searched once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FEATURES:
+        _FEATURES[key] = staged(content.content_features(view(spark, sf, "v_emails")), "mail-features")
+    return _FEATURES[key]
+
+
+def training_rows(spark, sf, mails=None):
+    """Labelled feature rows, written once: the classifiers read them many times. ``mails`` are the mails' features, where at hand."""
+    mails = content.content_features(view(spark, sf, "v_emails")) if mails is None else mails
     labels = view(spark, sf, "labels").select(
         F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("message_id"), F.col("toxic").alias("label"))
-    rows = content.content_features(view(spark, sf, "v_emails")).join(labels, "message_id")
-    aligned = prepare.align(rows, features.CONTENT, ["message_id", "label"])
+    aligned = prepare.align(mails.join(labels, "message_id"), features.CONTENT, ["message_id", "label"])
     parted = prepare.split(aligned, F.col("message_id"))
     return staged(prepare.spread(parted, labels.count(), "message_id"), "training")
 
@@ -124,7 +135,7 @@ def fitted(spark, sf):
     """Rows and models, trained once per session and data set for the jobs below."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
-        rows = training_rows(spark, sf)
+        rows = training_rows(spark, sf, mail_features(spark, sf))
         _FITTED[key] = (rows, train.train_all(rows, features.CONTENT))
     return _FITTED[key]
 
@@ -177,8 +188,9 @@ def scored_mails(trained, rows):
 @register("ml_batch_score")
 def ml_batch_score(spark, sf):
     _, trained = fitted(spark, sf)
-    mails = prepare.align(content.content_features(view(spark, sf, "v_emails")), features.CONTENT, ["message_id"])
-    long = scored_mails(trained, mails).withColumn("error", F.lit(None).cast("string"))
+    mails = prepare.align(mail_features(spark, sf), features.CONTENT, ["message_id"])
+    dealt = prepare.spread(mails, mails.count(), "message_id")
+    long = scored_mails(trained, dealt).withColumn("error", F.lit(None).cast("string"))
     return plain(ensemble.soft_average(long))
 
 
