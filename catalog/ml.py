@@ -125,7 +125,11 @@ def training_rows(spark, sf, mails=None):
         F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("message_id"), F.col("toxic").alias("label"))
     aligned = prepare.align(mails.join(labels, "message_id"), features.CONTENT, ["message_id", "label"])
     parted = prepare.split(aligned, F.col("message_id"))
-    return staged(prepare.spread(parted, labels.count(), "message_id"), "training")
+    dealt = prepare.spread(parted, labels.count(), "message_id")
+    # the forest draws by place: in the order of the split, however the rows came through the joins
+    hashed = F.md5(F.concat_ws("-", "message_id", F.lit(str(prepare.SEED))))
+    place = F.array_position(F.array(F.lit("test"), F.lit("validation"), F.lit("train")), F.col("part"))
+    return staged(dealt.sortWithinPartitions("label", hashed, place), "training")
 
 
 _FITTED: dict = {}

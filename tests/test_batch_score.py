@@ -42,3 +42,6 @@ def test_bodies_are_searched_once(spark, monkeypatch, tmp_path):
     want = plain(ensemble.soft_average(long))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.count() == 110
+    keys = ["label", "message_id", "part"]
+    shared = ml.training_rows(spark, sf, ml.mail_features(spark, sf)).select(keys).collect()
+    assert shared == ml.training_rows(spark, sf).select(keys).collect()
